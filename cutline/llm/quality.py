@@ -147,16 +147,16 @@ def _sql_contains(text: str) -> str:
 ORACLE_SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
-             list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
 g AS (SELECT r, i, ws[i:i + 4] AS g FROM (SELECT r, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) >= 5)),
 dup AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM g) WHERE n > 1),
 cov AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest(range(i, i + 5)) AS j FROM dup) GROUP BY r),
 b AS (SELECT w.r, doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
              length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
              (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(cov.n, 0)::BIGINT AS n_repeat_words,
-             list_filter(ls, x -> NOT ({_sql_contains('lower(x)')}
+             list_filter(ls, lambda x: NOT ({_sql_contains('lower(x)')}
                OR length(regexp_replace(x, '[^#*$%&|<>]', '', 'g')) > 0.1 * length(regexp_replace(x, '[\x20\x09-\x0D]', '', 'g'))
-               OR (length(x) < 25 AND NOT contains('{CLOSING}', right(regexp_replace(x, '[\x20\x09-\x0D]+$', ''), 1))))) AS good
+               OR (length(x) < 25 AND NOT contains('{CLOSING.replace(chr(39), chr(39) * 2)}', right(regexp_replace(x, '[\x20\x09-\x0D]+$', ''), 1))))) AS good
       FROM w LEFT JOIN cov ON w.r = cov.r),
 k AS (SELECT *, len(regexp_extract_all(array_to_string(good, chr(10)), '[^\x20\x09-\x0D]+')) AS left_words,
              n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM b)
