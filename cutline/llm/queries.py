@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, quality, simhash
-from .common import read_table
+from . import decontaminate, packing, quality, simhash, token_files
+from .common import read_table, shared_path
 
 QUALITY_COLUMNS = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
 
@@ -22,12 +23,22 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.contamination(docs, read_table(spark, sf_dir, "benchmark")).select("doc_id", *DECONTAMINATION_COLUMNS)
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "tokens")
+    token_files.write_token_files(read_table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_files.token_digests(token_files.read_token_files(spark, path))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_benchmark_decontamination, op6_quality_rules, op9_simhash_near_dedup)}
+    return {f.__name__: f for f in (op4_benchmark_decontamination, op6_quality_rules, op7_best_fit_packing, op9_simhash_near_dedup, op10_token_files)}
 
 
 def oracle_sql() -> dict:
