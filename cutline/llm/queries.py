@@ -5,12 +5,20 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, packing, quality, simhash, token_files
+from . import decontaminate, packing, quality, simhash, suffix_dedup, token_files
 from .common import read_table, shared_path
 
 QUALITY_COLUMNS = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
 
 
+REPEAT_COLUMNS = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+
+
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.remove_repeats(docs, with_text=False).select(*REPEAT_COLUMNS)
+
+
 DECONTAMINATION_COLUMNS = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
 
 
@@ -38,7 +46,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_benchmark_decontamination, op6_quality_rules, op7_best_fit_packing, op9_simhash_near_dedup, op10_token_files)}
+    return {f.__name__: f for f in (op2_suffix_array_dedup, op4_benchmark_decontamination, op6_quality_rules, op7_best_fit_packing, op9_simhash_near_dedup, op10_token_files)}
 
 
 def oracle_sql() -> dict:
