@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, packing, quality, simhash, suffix_dedup, token_files
+from . import decontaminate, language, packing, quality, simhash, suffix_dedup, token_files
 from .common import read_table, shared_path
 
 QUALITY_COLUMNS = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
@@ -22,6 +22,10 @@ def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 DECONTAMINATION_COLUMNS = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(read_table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_columns(read_table(spark, sf_dir, "documents").select("doc_id", "text")).select(*QUALITY_COLUMNS)
 
@@ -46,7 +50,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_suffix_array_dedup, op4_benchmark_decontamination, op6_quality_rules, op7_best_fit_packing, op9_simhash_near_dedup, op10_token_files)}
+    return {f.__name__: f for f in (op2_suffix_array_dedup, op4_benchmark_decontamination, op5_language_id, op6_quality_rules, op7_best_fit_packing, op9_simhash_near_dedup, op10_token_files)}
 
 
 def oracle_sql() -> dict:
