@@ -11,25 +11,43 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import regex
 
 #: Units that a worker remembers; the cache is emptied beyond, which costs time only.
-CACHE_UNITS = 600_000
+CACHE_UNITS = 500_000
 
 _RUNS = re.compile(r"\s\s|^\s|\s$")
 _OTHER_SPACE = re.compile(r"[^\S \n]")
+#: Beyond these characters a unit is left to the library's own splitting.
+_LATIN = re.compile(r"[\x00-\u024f]*")
+#: How the two kinds of vocabulary split text into pre-tokens.
+_SPLIT_SPACED = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+_SPLIT_BARE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+
+
+def _byte_letters() -> dict[int, int]:
+    """The printable character that stands for each byte in byte-level vocabularies."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: b for b in shown} | {b: 256 + k for k, b in enumerate(hidden)}
+
+
+_LETTERS = _byte_letters()
 
 _LOADED: dict[str, "CachedTokenizer"] = {}
 
 
-class _Units(dict):
-    def __init__(self, encode):
+class _Cache(dict):
+    """Remembers what ``make`` gives, up to ``CACHE_UNITS`` keys."""
+
+    def __init__(self, make):
         super().__init__()
-        self.encode = encode
+        self.make = make
 
-    def __missing__(self, unit):
+    def __missing__(self, key):
         if len(self) >= CACHE_UNITS:
             self.clear()
-        found = self[unit] = self.encode(unit)
+        found = self[key] = self.make(key)
         return found
 
 
@@ -41,17 +59,27 @@ class CachedTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.drops_space = self.tokenizer.normalizer is not None
-        self.bare = _Units(self.encode)
-        self.spaced = _Units(lambda word: self.encode(" " + word))
+        self.model, self.normalizer = self.tokenizer.model, self.tokenizer.normalizer
+        self.pieces = _Cache(self._merge)
+        self.bare = _Cache(self._unit)
+        self.spaced = _Cache(lambda word: self._unit(" " + word))
         self.newline = self.encode("\n")
 
     def encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _merge(self, piece: str) -> bytes:
+        return np.array([t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(_LETTERS))], "<u4").tobytes()
+
+    def _unit(self, unit: str) -> bytes:
+        if not _LATIN.fullmatch(unit):
+            return self.encode(unit)
+        parts = _SPLIT_BARE.findall(self.normalizer.normalize_str(unit)) if self.normalizer else _SPLIT_SPACED.findall(unit)
+        return b"".join(map(self.pieces.__getitem__, parts))
 
     def ids(self, text: str) -> bytes:
         """The ids of ``text``, without special tokens."""
-        if self.drops_space:
+        if self.normalizer:
             return b"".join(map(self.bare.__getitem__, text.replace("\n", " ").split(" ")))
         if _RUNS.search(text) or _OTHER_SPACE.search(text):
             return self.encode(text) if text else b""
