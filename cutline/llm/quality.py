@@ -139,6 +139,16 @@ def quality_columns(df: DataFrame, text: str = "text", *, short: int = 25, symbo
     return rows.select("*", (~F.col("base_failed") & (F.col("n_kept_words") >= F.lit(least_kept) * F.col("n_words"))).alias("kept"))
 
 
+def passing(df: DataFrame, text: str = "text", **rules) -> DataFrame:
+    """The rows of ``quality_columns`` that are kept.
+
+    A filter on a column of rows that also have a number of their own is not moved
+    below them; moved, it would repeat the verdict's expressions many times over.
+    """
+    judged = quality_columns(df, text, **rules).withColumn("__row", F.monotonically_increasing_id())
+    return judged.where(F.col("kept") & (F.col("__row") >= 0)).drop("__row")
+
+
 def _sql_contains(text: str) -> str:
     return "(" + " OR ".join(f"contains({text}, '{x}')" for x in BOILERPLATE) + ")"
 

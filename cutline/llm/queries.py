@@ -5,13 +5,19 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, packing, quality, simhash, suffix_dedup, token_files
+from . import chunk_dedup, decontaminate, language, licenses, lm_scoring, packing, quality, simhash, suffix_dedup, token_files
 from .common import read_table, shared_path
 
 QUALITY_COLUMNS = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
 
 
 REPEAT_COLUMNS = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+DECONTAMINATION_COLUMNS = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+
+
+def op1_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licenses.license_scan(docs, licenses.registry(spark)).drop("text")
 
 
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,7 +25,9 @@ def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(docs, with_text=False).select(*REPEAT_COLUMNS)
 
 
-DECONTAMINATION_COLUMNS = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return chunk_dedup.remove_repeated_chunks(docs, with_text=False)
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +47,10 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_documents(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -50,8 +62,20 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_suffix_array_dedup, op4_benchmark_decontamination, op5_language_id, op6_quality_rules, op7_best_fit_packing, op9_simhash_near_dedup, op10_token_files)}
+    every = (
+        op1_license_scans,
+        op2_suffix_array_dedup,
+        op3_substring_dedup,
+        op4_benchmark_decontamination,
+        op5_language_id,
+        op6_quality_rules,
+        op7_best_fit_packing,
+        op8_lm_scoring,
+        op9_simhash_near_dedup,
+        op10_token_files,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict:
-    return {"op6_quality_rules": quality.ORACLE_SQL}
+    return {"op1_license_scans": licenses.ORACLE_SQL, "op6_quality_rules": quality.ORACLE_SQL}

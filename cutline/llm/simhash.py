@@ -37,7 +37,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import keep, ship
@@ -214,3 +214,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", *
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     labels = named.join(least, "root").select("fp", "component_id")
     return fps.join(labels, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text: str = "text", *, shingle: int = 3, radius: int = 2) -> DataFrame:
+    """The rows of ``df`` that have their group's least id; of rows that share it, the one with the least text hash."""
+    groups = near_duplicates(df, id_col, text, shingle=shingle, radius=radius)
+    stays = groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__stays")).distinct()
+    kept = df.join(stays, F.col(id_col).eqNullSafe(F.col("__stays")), "left_semi")
+    order = Window.partitionBy(id_col).orderBy(F.xxhash64(text))
+    return kept.withColumn("__nth", F.row_number().over(order)).where("__nth = 1").drop("__nth")
