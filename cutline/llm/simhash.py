@@ -66,16 +66,16 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text: str = "text", *, shingle: int = 3) -> DataFrame:
-    """``id_col`` and ``fp`` (the fingerprint as a signed long) of each row."""
+    """``id_col``, ``fp`` (the fingerprint as a signed long) and ``k`` (a hash of the text) of each row."""
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = np.array([fingerprint(x.as_py(), shingle) for x in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values)], [id_col, "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values), batch.column(2)], [id_col, "fp", "k"])
 
     kind = dict(df.dtypes)[id_col]
-    return df.select(id_col, text).mapInArrow(run, f"`{id_col}` {kind}, fp bigint")
+    return df.select(id_col, text, F.xxhash64(text).alias("__k")).mapInArrow(run, f"`{id_col}` {kind}, fp bigint, k bigint")
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -205,21 +205,28 @@ def components(links: DataFrame, what: str = "links") -> DataFrame:
             return current.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", *, shingle: int = 3, radius: int = 2) -> DataFrame:
-    """``id_col, fingerprint`` (16 hex digits) and ``component_id`` of each row."""
+def _labelled(df: DataFrame, id_col: str, text: str, shingle: int, radius: int) -> DataFrame:
+    """``id_col, fp, k, root, component_id`` of each row."""
     fps = keep(fingerprints(df, id_col, text, shingle=shingle), "fingerprints")
     nodes = keep(fps.groupBy("fp").agg(F.min(id_col).alias("least")), "nodes")
     rooted = components(bucket_links(nodes.select("fp"), radius))
     named = nodes.join(rooted, nodes.fp == rooted.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = named.join(least, "root").select("fp", "component_id")
-    return fps.join(labels, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return fps.join(named.join(least, "root").select("fp", "root", "component_id"), "fp")
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", *, shingle: int = 3, radius: int = 2) -> DataFrame:
+    """``id_col, fingerprint`` (16 hex digits) and ``component_id`` of each row."""
+    return _labelled(df, id_col, text, shingle, radius).select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text: str = "text", *, shingle: int = 3, radius: int = 2) -> DataFrame:
-    """The rows of ``df`` that have their group's least id; of rows that share it, the one with the least text hash."""
-    groups = near_duplicates(df, id_col, text, shingle=shingle, radius=radius)
-    stays = groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__stays")).distinct()
-    kept = df.join(stays, F.col(id_col).eqNullSafe(F.col("__stays")), "left_semi")
-    order = Window.partitionBy(id_col).orderBy(F.xxhash64(text))
+    """One row of ``df`` for each group: the one with the least id, and of those the least text hash.
+
+    A null id only stays where its group has no other; of equal rows one stays.
+    """
+    stays = _labelled(df, id_col, text, shingle, radius).groupBy("root").agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("k"))).alias("s"))
+    stays = stays.select(F.col("s.id").alias("__id"), F.col("s.k").alias("__k"))
+    kept = df.join(stays, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__k")), "left_semi")
+    order = Window.partitionBy(id_col, F.xxhash64(text)).orderBy(F.lit(0))
     return kept.withColumn("__nth", F.row_number().over(order)).where("__nth = 1").drop("__nth")

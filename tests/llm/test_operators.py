@@ -1,0 +1,326 @@
+"""Corpus operators against brute force, on a small fixture with nulls, ties, copies and long texts."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import duckdb
+import numpy as np
+import pandas as pd
+import pytest
+import xxhash
+
+from cutline.llm import chunk_dedup, decontaminate, language, licenses, lm_scoring, packing, quality, recurrent, simhash, suffix_dedup, token_files
+
+WORDS = "alpha beta gamma delta été über niño 1984 x1 the of to Kappa's e-mail ...".split()
+
+
+def prose(rng, n):
+    return " ".join(rng.choice(WORDS) + str(rng.randrange(60)) for _ in range(n))
+
+
+def corpus():
+    rng = random.Random(5)
+    texts = [prose(rng, rng.randrange(1, 300)) for _ in range(24)]
+    passage = prose(rng, 120)
+    texts += [prose(rng, 40) + " " + passage + " " + prose(rng, 50) for _ in range(4)]
+    texts += [texts[0], texts[0], passage, prose(rng, 6000), None, "", "   \n\t", "word", "a b", texts[3] + " end", texts[3].upper()]
+    texts.append("Line one is here.\n\nmenu | home | <a> | #x\nclick here\nLine one is here.\nA much longer line that ends well enough.\n" * 3)
+    return list(enumerate(texts))
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, "en" if i % 2 else "fr", "s", len(t or ""), f"clash{i}") for i, t in corpus()]
+    return spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, kept string").repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(docs):
+    return docs.limit(0)
+
+
+def by_id(df):
+    return {r["doc_id"]: r.asDict() for r in df.collect()}
+
+
+def test_licences(spark, docs, empty):
+    mit = licenses.LICENCES["MIT"]
+    texts = [mit, "Copyright (c) 2020 Some One\n\n" + mit.upper().replace(". ", ".\n  "), mit.replace("Software", "Hardware"), "x\nReleased under the MIT License.\nLicenced under CC BY 4.0", None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = by_id(licenses.license_scan(df, licenses.registry(spark)))
+    assert [found[i]["licence"] for i in range(6)] == ["MIT", "MIT", None, None, None, None]
+    assert (found[3]["n_notices"], found[3]["notice_licences"], found[3]["licensed"]) == (2, "CC-BY-4.0,MIT", True)
+    frame = df.unionByName(docs.selectExpr("doc_id + 100 AS doc_id", "text")).toPandas()
+    con = duckdb.connect()
+    con.register("documents", frame)
+    want = {r[0]: r for r in con.execute(licenses.ORACLE_SQL).fetchall()}
+    both = licenses.license_scan(spark.createDataFrame(frame, "doc_id bigint, text string"), licenses.registry(spark)).drop("text")
+    assert {r[0]: tuple(r) for r in both.collect()} == want
+    assert licenses.license_scan(empty, licenses.registry(spark)).count() == 0
+
+
+def removed_bytes(texts, length):
+    seen = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
+    out = []
+    for t in texts:
+        gone = np.zeros(len(t), bool)
+        for i in range(len(t) - length + 1):
+            if seen[t[i : i + length]] > 1:
+                gone[i : i + length] = True
+        out.append(gone)
+    return out
+
+
+@pytest.mark.parametrize("crowd", [4000, 1])
+def test_suffix_array_dedup(docs, empty, monkeypatch, crowd):
+    monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
+    found = by_id(suffix_dedup.remove_repeats(docs))
+    raws = [(t or "").encode() for _, t in corpus()]
+    for (i, _), raw, gone in zip(corpus(), raws, removed_bytes(raws, 400)):
+        kept = bytes(b for b, g in zip(raw, gone) if not g)
+        spans = int(np.count_nonzero(np.diff(np.r_[0, gone.astype(int)]) == 1))
+        row = found[i]
+        assert (row["n_bytes"], row["n_removed"], row["n_spans"], row["kept_sha256"]) == (len(raw), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest())
+    assert suffix_dedup.remove_repeats(empty).count() == 0
+
+
+def test_column_wise_construction(tmp_path):
+    rng = random.Random(1)
+    strings = [np.array([rng.randrange(1, 3) for _ in range(rng.randrange(0, 40))], np.int64) for _ in range(12)]
+    found = suffix_dedup.repeated_suffixes(strings, 5, str(tmp_path))
+    seen = Counter(tuple(s[i : i + 5]) for s in strings for i in range(len(s) - 4))
+    assert [list(f) for f in found] == [[i for i in range(len(s) - 4) if seen[tuple(s[i : i + 5])] > 1] for s in strings]
+
+
+def test_chunk_dedup(docs, empty):
+    found = by_id(chunk_dedup.remove_repeated_chunks(docs))
+    first, chunks = {}, defaultdict(list)
+    for i, t in corpus():
+        raw, last = (t or "").encode(), 0
+        for n, end in enumerate(chunk_dedup.cut_points(raw)):
+            piece = raw[last:end]
+            if first.setdefault(piece, (i, n)) != (i, n):
+                chunks[i].append((n, last, end))
+            last = end
+    for i, t in corpus():
+        raw = (t or "").encode()
+        spans = chunk_dedup.long_runs(chunks[i], chunk_dedup.RUN)
+        kept = b"".join(raw[a:b] for a, b in zip([0, *[b for _, b in spans]], [*[a for a, _ in spans], len(raw)]))
+        assert (found[i]["n_repeated_chunks"], found[i]["n_removed"], found[i]["kept_sha256"]) == (len(chunks[i]), len(raw) - len(kept), hashlib.sha256(kept).hexdigest())
+    assert all(found[i]["n_removed"] > 300 for i in (25, 26, 27))  # the shared passage
+    assert chunk_dedup.remove_repeated_chunks(empty).count() == 0
+
+
+def test_cut_points_resist_shifts():
+    rng = random.Random(3)
+    raw = prose(rng, 2000).encode()
+    a = {raw[i:j] for i, j in zip([0, *chunk_dedup.cut_points(raw)], chunk_dedup.cut_points(raw))}
+    moved = b"inserted " + raw
+    ends = chunk_dedup.cut_points(moved)
+    assert len(a & {moved[i:j] for i, j in zip([0, *ends], ends)}) > 0.95 * len(a)
+    h, gear = 0, chunk_dedup._GEAR
+    for b in raw[:50]:
+        h = ((h << 1) + int(gear[b])) & 0xFFFF
+    assert h == int(chunk_dedup.gear_hashes(raw)[49])
+
+
+def test_decontamination(spark, docs, empty):
+    texts = dict(corpus())
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
+    items = [(1, " ".join(texts[1].split()[:20])), (2, "a B"), (3, None), (4, " ... "), (5, texts[24]), (10, "A b"), (6, "not there at all")]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    for size in (1_000_000, 200):
+        found = by_id(decontaminate.contamination(docs, bench, block_bytes=size))
+        for i, t in corpus():
+            words, hit, of = split(t), set(), set()
+            for item, text in items:
+                w = split(text)
+                n = min(13, len(w))
+                windows = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if n else set()
+                for k in range(len(words) - n + 1) if n else ():
+                    if tuple(words[k : k + n]) in windows:
+                        hit |= set(range(k, k + n))
+                        of.add(str(item))
+            digest = hashlib.sha256(",".join(sorted(of)).encode()).hexdigest()
+            row = found[i]
+            assert (row["n_words"], row["n_hit"], row["n_items"], row["items_sha256"], row["contaminated"]) == (len(words), len(hit), len(of), digest, bool(hit) and 20 * len(hit) >= len(words))
+            assert len(split(row["clean_text"])) == len(words) - len(hit)
+    assert decontaminate.contamination(empty, bench).count() == 0
+    assert not any(r["contaminated"] for r in decontaminate.contamination(docs, bench.limit(0)).collect())
+
+
+def test_language(spark, empty):
+    rng = random.Random(2)
+    pools = {"en": "the and with would those".split(), "fr": "une été où dans leurs".split(), "de": "über nicht eine straße und".split()}
+    rows = [(i, " ".join(rng.choice(pools[g]) for _ in range(30)), g) for i in range(200) for g in [rng.choice(list(pools))]]
+    rows += [(900, None, "en"), (901, "123 !!", "en"), (902, "the and", None), (None, "the and with", "en")]
+    found = language.identify(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    got = {r.doc_id: r for r in found.collect()}
+    right = [got[i].lang_pred == g for i, _, g in rows[:200] if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert all(got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i in range(200))
+    assert len(right) > 20 and np.mean(right) > 0.95
+    assert got[900].lang_pred == got[901].lang_pred == "und" and got[902].lang_pred == "en" and all(0 <= r.score <= 1 for r in got.values())
+    assert language.identify(empty).count() == 0
+
+
+def test_quality(docs, empty):
+    frame = docs.select("doc_id", "text").toPandas()
+    con = duckdb.connect()
+    con.register("documents", frame)
+    want = {r[0]: r for r in con.execute(quality.ORACLE_SQL).fetchall()}
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    assert {r[0]: tuple(r) for r in quality.quality_columns(docs).select(*columns).collect()} == want
+    kept = {r.doc_id for r in quality.passing(docs).collect()}
+    assert kept == {i for i, r in want.items() if r[-1]}
+    assert quality.quality_columns(empty).count() == 0
+
+
+def vocabulary(name):
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def library_ids(name, text, end=0):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(vocabulary(name))
+    t.encode_special_tokens = True
+    return t.encode(text or "", add_special_tokens=False).ids + [end]
+
+
+def test_packing(docs, empty):
+    rows = packing.pack_documents(docs, vocabulary("word_bpe_49k.json")).collect()
+    pieces, used = defaultdict(dict), defaultdict(list)
+    for r in rows:
+        pieces[r.doc_id][r.piece] = r
+        used[r.sequence_id].append((r.offset, r.length))
+    for i, t in corpus():
+        ids = np.array(library_ids("word_bpe_49k.json", t), "<u4")
+        own = [pieces[i][k] for k in range(len(pieces[i]))]
+        assert [p.start for p in own] == list(range(0, len(ids), 2048))
+        assert [p.ids_crc32 for p in own] == [zlib.crc32(ids[k : k + 2048].tobytes()) for k in range(0, len(ids), 2048)]
+    for places in used.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    assert len(used) <= math.ceil(sum(r.length for r in rows) / 2048) + 1
+    assert packing.pack_documents(empty, vocabulary("word_bpe_49k.json")).count() == 0
+
+
+def test_plan_is_tight():
+    rng = np.random.default_rng(0)
+    sizes, counts = np.unique(np.minimum(2048, rng.lognormal(5.7, 1, 20000).astype(int) + 1), return_counts=True)
+    runs = packing.plan(dict(zip(sizes.tolist(), counts.tolist())))
+    placed = Counter()
+    for n, lengths in runs:
+        assert sum(lengths) <= 2048
+        for x in lengths:
+            placed[x] += n
+    assert placed == dict(zip(sizes.tolist(), counts.tolist()))
+    assert sum(n for n, _ in runs) <= math.ceil((sizes * counts).sum() / 2048) + 2
+
+
+def test_token_files(spark, docs, empty, tmp_path):
+    path = str(tmp_path / "ids")
+    token_files.write_token_files(docs, path, vocabulary("byte_bpe_50k.json"))
+    read = token_files.read_token_files(spark, path)
+    got = by_id(token_files.token_digests(read))
+    at = 0
+    for i, t in corpus():
+        ids = np.array(library_ids("byte_bpe_50k.json", t), "<u4")
+        assert (got[i]["start"], got[i]["n_tokens"], got[i]["ids_crc32"]) == (at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
+    assert [r.ids for r in read.where("doc_id = 7").collect()] == [library_ids("byte_bpe_50k.json", dict(corpus())[7])]
+    token_files.write_token_files(empty, str(tmp_path / "none"), vocabulary("byte_bpe_50k.json"))
+    assert token_files.token_digests(token_files.read_token_files(spark, str(tmp_path / "none"))).count() == 0
+
+
+def test_lm_scoring(docs, empty):
+    found = by_id(lm_scoring.score_documents(docs.select("doc_id", "text"), vocabulary=200))
+    tokens = {i: [*re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate({c: c + 32 for c in range(65, 91)})), " "] for i, t in corpus()}
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in tokens}
+    c = Counter(w for i, ws in tokens.items() if not held[i] for w in ws)
+    n, v = sum(c.values()), len(c)
+    for i, ws in tokens.items():
+        row = found[i]
+        assert (row["held_out"], row["n_tokens"], row["n_known"], row["train_tokens"]) == (held[i], len(ws), sum(c[w] > 0 for w in ws), n)
+        assert math.isclose(row["base_score"], sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws), rel_tol=1e-9)
+        assert row["score"] < 0
+    assert lm_scoring.score_documents(empty.select("doc_id", "text")).count() == 0
+
+
+def test_recurrent_gradients_and_carried_state():
+    rng = np.random.default_rng(0)
+    head = rng.integers(1, 9, (recurrent.HEAD_CLASSES, recurrent.HEAD_SIZE)).astype(float)
+    w = {k: (x + 0.1 * rng.standard_normal(x.shape)).astype(np.float64) for k, x in recurrent.initial(rng.random(recurrent.CLASSES) * 9, head).items()}
+    goal, member = rng.integers(0, recurrent.CLASSES, (6, 1)), rng.integers(0, recurrent.HEAD_SIZE, (6, 1))
+    loss = lambda: -recurrent.score(w, [goal[:, 0]], [member[:, 0]])[0]
+    _, g = recurrent.gradients(w, np.zeros((1, recurrent.STATE)), np.array([recurrent.CLASSES]), goal, member)
+    for k in w:
+        at = np.unravel_index(np.argmax(np.abs(g[k])), g[k].shape)
+        old, step = w[k][at], 1e-4
+        w[k][at] = old + step
+        up = loss()
+        w[k][at] = old - step
+        assert math.isclose((up - loss()) / (2 * step), g[k][at], rel_tol=2e-2, abs_tol=1e-3)
+        w[k][at] = old
+
+
+def test_simhash(docs, empty):
+    found = by_id(simhash.near_duplicates(docs))
+    fps = {}
+    for i, t in corpus():
+        ws = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
+        shingles = [" ".join(ws[k : k + 3]) for k in range(max(1, len(ws) - 2))] if ws else []
+        hs = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+        fps[i] = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs)) if hs else 0
+    root = {i: i for i in fps}
+    for _ in fps:
+        for a in fps:
+            for b in fps:
+                if (fps[a] ^ fps[b]).bit_count() <= 2:
+                    root[a] = root[b] = min(root[a], root[b])
+    assert {i: (r["fingerprint"], r["component_id"]) for i, r in found.items()} == {i: (f"{fps[i]:016x}", root[i]) for i in fps}
+    assert {r.doc_id for r in simhash.keep_one(docs).collect()} == set(root.values())
+    assert simhash.near_duplicates(empty).count() == 0
+
+
+def test_gray_index_loses_no_link():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**63, 60, dtype=np.uint64)
+    values = np.unique(np.concatenate([base, *[base ^ (np.uint64(1) << rng.integers(0, 64, 60).astype(np.uint64)) for _ in range(4)]]))
+    index = simhash.GrayIndex(values)
+    parent = list(range(len(values)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in index.links(2):
+        parent[find(a)] = find(b)
+    own = index.values
+    for a in range(len(own)):
+        for b in np.flatnonzero(np.bitwise_count(own ^ own[a]) <= 2):
+            assert find(a) == find(int(b))
+
+
+def test_pipeline_stages(spark, docs):
+    import corpus_pipeline as pipeline
+
+    assert [n for n, _ in pipeline.STAGES] == ["quality rules", "SimHash near-dedup", "suffix-array dedup", "benchmark decontamination", "best-fit packing"]
+    base = docs.drop("kept")
+    kept = pipeline.STAGES[0][1](spark, base, "")
+    assert kept.columns == base.columns and 0 < kept.count() < base.count()
+    one = pipeline.STAGES[1][1](spark, kept, "")
+    assert one.columns == base.columns and one.count() <= kept.count()
+    less = pipeline.STAGES[2][1](spark, one, "")
+    assert less.columns == base.columns and less.count() == one.count()
+    assert isinstance(less.toPandas(), pd.DataFrame)
