@@ -9,6 +9,7 @@ are encoded whole by the library.
 from __future__ import annotations
 
 import re
+import struct
 
 import numpy as np
 import regex
@@ -16,8 +17,9 @@ import regex
 #: Units that a worker remembers; the cache is emptied beyond, which costs time only.
 CACHE_UNITS = 500_000
 
-_RUNS = re.compile(r"\s\s|^\s|\s$")
-_OTHER_SPACE = re.compile(r"[^\S \n]")
+_DOUBLES = ("  ", "\n\n", " \n", "\n ")
+#: White space other than space and line feed.
+_OTHER_SPACES = "\t\v\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Beyond these characters a unit is left to the library's own splitting.
 _LATIN = re.compile(r"[\x00-\u024f]*")
 #: How the two kinds of vocabulary split text into pre-tokens.
@@ -51,6 +53,19 @@ class _Cache(dict):
         return found
 
 
+def single_spaced(text: str) -> bool:
+    """White space is single spaces and line feeds between words; each test runs through the text at memory speed."""
+    if not text or text[0] in " \n" or text[-1] in " \n":
+        return False
+    for run in _DOUBLES:
+        if run in text:
+            return False
+    for space in _OTHER_SPACES:
+        if space in text:
+            return False
+    return True
+
+
 class CachedTokenizer:
     """Ids as little-endian unsigned 32-bit bytes."""
 
@@ -62,16 +77,24 @@ class CachedTokenizer:
         self.model, self.normalizer = self.tokenizer.model, self.tokenizer.normalizer
         self.pieces = _Cache(self._merge)
         self.bare = _Cache(self._unit)
-        self.spaced = _Cache(lambda word: self._unit(" " + word))
+        self.spaced = _Cache(lambda word: self._unit(word, " "))
         self.newline = self.encode("\n")
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _merge(self, piece: str) -> bytes:
-        return np.array([t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(_LETTERS))], "<u4").tobytes()
-
-    def _unit(self, unit: str) -> bytes:
+        if piece.isascii() and piece.isprintable():  # every byte but the space stands for itself
+            letters = piece.replace(" ", chr(_LETTERS[32]))
+        else:
+            letters = piece.encode().decode("latin-1").translate(_LETTERS)
+        ids = [t.id for t in self.model.tokenize(letters)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _unit(self, unit: str, space: str = "") -> bytes:
+        if unit.isalpha() and unit.isascii():  # one pre-token in either kind of vocabulary
+            return self.pieces[unit.lower() if self.normalizer else space + unit]
+        unit = space + unit
         if not _LATIN.fullmatch(unit):
             return self.encode(unit)
         parts = _SPLIT_BARE.findall(self.normalizer.normalize_str(unit)) if self.normalizer else _SPLIT_SPACED.findall(unit)
@@ -81,7 +104,7 @@ class CachedTokenizer:
         """The ids of ``text``, without special tokens."""
         if self.normalizer:
             return b"".join(map(self.bare.__getitem__, text.replace("\n", " ").split(" ")))
-        if _RUNS.search(text) or _OTHER_SPACE.search(text):
+        if not single_spaced(text):
             return self.encode(text) if text else b""
         out = []
         spaced = self.spaced.__getitem__
