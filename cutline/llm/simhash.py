@@ -220,13 +220,18 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", *
     return _labelled(df, id_col, text, shingle, radius).select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def one_each(df: DataFrame, rooted: DataFrame, id_col: str, text: str) -> DataFrame:
+    """One row of ``df`` for each root of ``rooted (id_col, k, root)``: least id, then least text hash, nulls last."""
+    stays = rooted.groupBy("root").agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("k"))).alias("s"))
+    stays = stays.select(F.col("s.id").alias("__id"), F.col("s.k").alias("__k"))
+    kept = df.join(stays, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__k")), "left_semi")
+    order = Window.partitionBy(id_col, F.xxhash64(text)).orderBy(F.lit(0))
+    return kept.withColumn("__nth", F.row_number().over(order)).where("__nth = 1").drop("__nth")
+
+
 def keep_one(df: DataFrame, id_col: str = "doc_id", text: str = "text", *, shingle: int = 3, radius: int = 2) -> DataFrame:
     """One row of ``df`` for each group: the one with the least id, and of those the least text hash.
 
     A null id only stays where its group has no other; of equal rows one stays.
     """
-    stays = _labelled(df, id_col, text, shingle, radius).groupBy("root").agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("k"))).alias("s"))
-    stays = stays.select(F.col("s.id").alias("__id"), F.col("s.k").alias("__k"))
-    kept = df.join(stays, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__k")), "left_semi")
-    order = Window.partitionBy(id_col, F.xxhash64(text)).orderBy(F.lit(0))
-    return kept.withColumn("__nth", F.row_number().over(order)).where("__nth = 1").drop("__nth")
+    return one_each(df, _labelled(df, id_col, text, shingle, radius), id_col, text)
