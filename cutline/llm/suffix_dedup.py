@@ -23,7 +23,9 @@ in the order reaches ``length`` bytes.
 *Size.* Shuffles move hashes and places; of texts, only those with a member of a
 collection or a removed span are shuffled. An anchor with more than ``CROWD``
 members is split by the bytes that all windows of a range of starts share, which
-equal windows share too.
+equal windows share too. Ranges that still have more than ``CROWD`` members are
+split to single windows, which are counted by digest with partial sums in each
+task, so no collection holds more members of an anchor or range than that.
 
 Defined results: texts are UTF-8; a null text is empty and stays null in
 ``clean_text``; shorter texts than ``length`` lose nothing; equal rows are repeats
@@ -347,6 +349,30 @@ def _collections(members: DataFrame, length: int, symbol: int) -> DataFrame:
     return members.repartition("part").sortWithinPartitions("part").mapInPandas(run, "anchor bigint, digest bigint, low bigint, high bigint")
 
 
+def _crowded(ranged: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members of ranges, those of bounded ranges and those of crowded ones."""
+    full = F.broadcast(ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWD).select("part"))
+    return ranged.join(full, "part", "left_anti"), ranged.join(full, "part", "left_semi")
+
+
+def _counted(members: DataFrame, length: int) -> DataFrame:
+    """``anchor, digest, low, high`` as of ``_collections``, by counts of single windows; members are distinct."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for anchor, digest, shift, raw in zip(batch["anchor"], batch["digest"], batch["shift"], batch["raw"]):
+                for start in range(len(raw) - length + 1):
+                    both = xxhash.xxh3_128_intdigest(raw[start : start + length])
+                    rows.append(((both >> 64) - 2**63, (both & 2**64 - 1) - 2**63, anchor, digest, shift + start))
+            yield pd.DataFrame(rows, columns=["h1", "h2", "anchor", "digest", "low"])
+
+    windows = members.select("anchor", "digest", "shift", "raw").mapInPandas(run, "h1 bigint, h2 bigint, anchor bigint, digest bigint, low bigint")
+    windows = keep(windows, "windows")
+    twice = windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2")
+    return windows.join(twice, ["h1", "h2"], "left_semi").select("anchor", "digest", "low", F.col("low").alias("high"))
+
+
 def repeated_spans(docs: DataFrame, text: str = "text", *, length: int = LENGTH, gram: int = GRAM, symbol: int = SYMBOL) -> DataFrame:
     """``k1, k2, spans`` for each text with repeated windows: (start, end) in bytes, neither sorted nor merged."""
     if length % symbol or not 0 < gram < length:
@@ -362,7 +388,12 @@ def repeated_spans(docs: DataFrame, text: str = "text", *, length: int = LENGTH,
     wanted = distinct.join(crowds, "anchor").select("at.k1", "at.k2", F.struct("anchor", "digest", "at.first", "at.windows", "at.place", (F.col("size") > CROWD).alias("crowded")).alias("w"))
     wanted = wanted.groupBy("k1", "k2").agg(F.collect_list("w").alias("wanted"))
     texts = keyed.join(wanted, ["k1", "k2"])
-    found = _collections(_members(texts, length), length, symbol)
+    crowded = lambda of: texts.withColumn("wanted", F.filter("wanted", lambda w: w["crowded"] == of)).where(F.size("wanted") > 0)
+    found = _collections(_members(crowded(False), length), length, symbol)
+    if crowds.where(F.col("size") > CROWD).limit(1).count():
+        ranged = keep(_members(crowded(True), length).dropDuplicates(["part", "anchor", "digest", "shift"]), "ranges")
+        bounded, full = _crowded(ranged)
+        found = found.unionByName(_collections(bounded, length, symbol)).unionByName(_counted(full, length))
     whole = distinct.where("n > 1").select("anchor", "digest", F.lit(0).cast("long").alias("low"), (F.col("at.windows") - 1).cast("long").alias("high"))
     alone = distinct.where("n = 1").select("anchor", "digest")
     ranges = whole.unionByName(found.join(alone, ["anchor", "digest"]))
