@@ -207,7 +207,7 @@ def contamination(
     for block in itertools.chain([first, second], blocks):
         part = keep(_spans(base.select(F.col(text).alias("t")).distinct(), block, length), "spans")
         spans = part if spans is None else spans.unionByName(part)
-    merged = spans.groupBy("k1", "k2").agg(F.flatten(F.collect_list("spans")).alias("__spans"), F.flatten(F.collect_list("items")).alias("__items"))
+    merged = spans.groupBy("k1", "k2").agg(F.flatten(F.collect_list("spans")).alias("__spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("__items"))
     keyed = base.select("*", *[k.alias(f"__{n}") for k, n in zip(text_key(F.col(text)), ("k1", "k2"))])
     joined = keyed.join(merged, (F.col("__k1") == F.col("k1")) & (F.col("__k2") == F.col("k2")), "left").drop("k1", "k2", "__k1", "__k2")
     return _finish(joined, rest, text, share)
