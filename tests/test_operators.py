@@ -64,7 +64,7 @@ def test_ranks_quantiles_and_correlation(spark):
     assert rows(df.where("g = 'g'").select(ranks.average_rank(["g"], "x")))[:3] == [(1.0,), (2.5,), (2.5,)]
     assert ranks.nearest_quantiles(df.where("g = 'g'"), ["g"], "x", [0.1, 0.9]).first()[1:] == (2.0, 6.0)
     found = {r.g: r.spearman for r in ranks.spearman(df, ["g"], "x", "y").collect()}
-    assert found["h"] is None and found["i"] is None and math.isclose(found["g"], 0.6909, abs_tol=0.02)
+    assert found["h"] is None and found["i"] is None and math.isclose(found["g"], 17.25 / math.sqrt(27.5 * 27), rel_tol=1e-9)
 
 
 def test_column_null_rules(spark):
