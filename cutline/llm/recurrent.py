@@ -1,183 +1,259 @@
-"""A gated recurrent language model with a class-factored output, in numpy.
-
-Words are known by their class: the state reads the class of the last word, the
-output is a softmax over classes times the probability of the word in its class.
-*Head* classes hold ``HEAD_SIZE`` frequent words each and have a softmax of their
-own on the state; in the other classes a word has its share of the class's count.
-The state runs through whole documents; training cuts gradients at window ends
-(truncated backpropagation).
+"""A gated recurrent language model with a class-factored output softmax, in numpy.
+
+The state reads every word by a vector of its own. The output is a softmax over
+classes times a softmax over the words of the target's class, so a word costs
+``classes + members`` products, not one for each word. Codes below ``classes *
+members`` are words, most frequent first; ``members`` neighbours make a class. All
+further codes share one more class, whose inside is not this model's.
+
+The state runs through whole documents. Training puts documents one after another
+in lanes, starts each from an empty state, carries the state from window to window
+and cuts gradients at window ends (truncated backpropagation).
 """
 
 from __future__ import annotations
 
-import numpy as np
+import heapq
+from collections.abc import Sequence
 
-STATE = 20
-HEAD_CLASSES, HEAD_SIZE = 12, 32
-TAIL_CLASSES = 20
-#: Class of the words outside the vocabulary.
-RARE = HEAD_CLASSES + TAIL_CLASSES
-CLASSES = RARE + 1
-WINDOW = 16
+import numpy as np
 
+STATE = 16
+CLASSES, MEMBERS = 128, 128
+#: Steps of a training window, and lanes side by side.
+WINDOW, LANES = 16, 256
+#: Positions of a scoring window, at most (lanes times steps).
+POSITIONS = 16_384
 
-def assign_classes(counts: np.ndarray) -> np.ndarray:
-    """Class of each vocabulary word, most frequent first; tail classes have about equal counts."""
-    out = np.empty(len(counts), np.int32)
-    head = min(len(counts), HEAD_CLASSES * HEAD_SIZE)
-    out[:head] = np.arange(head) // HEAD_SIZE
-    if len(counts) > head:
-        share = np.cumsum(counts[head:], dtype=np.float64)
-        out[head:] = HEAD_CLASSES + np.minimum((share - counts[head:] / 2) / share[-1] * TAIL_CLASSES, TAIL_CLASSES - 1).astype(np.int32)
-    return out
+Weights = dict[str, np.ndarray]
 
 
-def initial(class_mass: np.ndarray, head_counts: np.ndarray, seed: int = 0) -> dict[str, np.ndarray]:
-    """Weights that start as the class unigram."""
+def initial(class_mass: np.ndarray, counts: np.ndarray, state: int = STATE, seed: int = 0) -> Weights:
+    """Weights that start as unigrams: ``class_mass`` of each class, the shared one last, and ``counts`` (classes by members)."""
+    classes, members = counts.shape
     rng = np.random.default_rng(seed)
     small = lambda *shape: (rng.standard_normal(shape) * 0.1).astype(np.float32)
     return {
-        "read": small(CLASSES + 1, 3 * STATE),  # the last row is for the start of a document
-        "gates": small(STATE, 2 * STATE),
-        "fresh": small(STATE, STATE),
-        "out": np.zeros((STATE, CLASSES), np.float32),
-        "bias": np.log(class_mass + 1).astype(np.float32) - np.float32(np.log(class_mass.sum() + CLASSES)),
-        "word": np.zeros((HEAD_CLASSES, HEAD_SIZE, STATE), np.float32),
-        "word_bias": np.where(head_counts > 0, np.log(np.maximum(head_counts, 1)), -30.0).astype(np.float32),
+        "read": small(classes * members + 2, 3 * state),  # the last rows: words of the shared class, the start of a document
+        "gates": small(state, 2 * state),
+        "fresh": small(state, state),
+        "out": np.zeros((state, classes + 1), np.float32),
+        "bias": np.log((class_mass + 1) / (class_mass.sum() + classes + 1)).astype(np.float32),
+        "word": np.zeros((classes, state, members), np.float32),
+        "word_bias": np.where(counts > 0, np.log(np.maximum(counts, 1)), -30.0).astype(np.float32),
     }
 
 
+def inputs_of(w: Weights, codes: np.ndarray) -> np.ndarray:
+    """Rows of ``read`` for each code; those before position 0 are ``-1``, the start."""
+    kept = len(w["read"]) - 2
+    return np.where(codes < 0, kept + 1, np.minimum(codes, kept))
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return np.float32(1) / (np.float32(1) + np.exp(-x))
+    x *= np.float32(0.5)
+    np.tanh(x, out=x)
+    x += np.float32(1)
+    x *= np.float32(0.5)
+    return x
+
 
+def run(w: Weights, state: np.ndarray, rows: np.ndarray, fresh_start: np.ndarray | None, traced: bool = False) -> tuple[np.ndarray, list[tuple]]:
+    """States after each of ``rows`` (time by lanes, rows of ``read``); ``fresh_start`` marks where a lane begins anew."""
+    steps, n = rows.shape
+    size = w["gates"].shape[0]
+    read = w["read"][rows]
+    states, trace = np.empty((steps, n, size), np.float32), []
+    for t in range(steps):
+        if fresh_start is not None and fresh_start[t].any():
+            state = np.where(fresh_start[t][:, None], np.float32(0), state)
+        gates = state @ w["gates"]
+        gates += read[t, :, : 2 * size]
+        _sigmoid(gates)
+        update, reset = gates[:, :size], gates[:, size:]
+        kept = reset * state
+        new = kept @ w["fresh"]
+        new += read[t, :, 2 * size :]
+        np.tanh(new, out=new)
+        after = states[t]
+        np.subtract(new, state, out=after)
+        after *= update
+        after += state
+        if traced:
+            trace.append((state, update, reset, kept, new))
+        state = after
+    return states, trace
 
-def step(w: dict[str, np.ndarray], state: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, tuple]:
-    """The state after reading class ``last``."""
-    read = w["read"][last]
-    gates = _sigmoid(read[:, : 2 * STATE] + state @ w["gates"])
-    update, reset = gates[:, :STATE], gates[:, STATE:]
-    kept = reset * state
-    fresh = np.tanh(read[:, 2 * STATE :] + kept @ w["fresh"])
-    after = state + update * (fresh - state)
-    return after, (state, last, update, reset, kept, fresh)
 
+def _soft(logits: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Log probability of each row's target; ``logits`` become probabilities."""
+    logits -= logits.max(axis=1, keepdims=True)
+    own = logits[np.arange(len(target)), target]
+    np.exp(logits, out=logits)
+    total = logits.sum(axis=1)
+    logits /= total[:, None]
+    return own - np.log(total)
 
-def log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=-1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=-1, keepdims=True))
 
+def _by_class(target: np.ndarray, classes: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """Positions in the order of their class, and (class, first, last) of each class that occurs but the shared one."""
+    order = np.argsort(target, kind="stable")
+    cuts = np.searchsorted(target[order], np.arange(classes + 1)).tolist()
+    return order, [(c, a, b) for c, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
 
-def class_scores(w: dict[str, np.ndarray], state: np.ndarray, target: np.ndarray) -> np.ndarray:
-    logits = state @ w["out"] + w["bias"]
-    top = logits.max(axis=1)
-    return logits[np.arange(len(target)), target] - top - np.log(np.exp(logits - top[:, None]).sum(axis=1))
 
+def _inside(w: Weights, states: np.ndarray, parts: list[tuple[int, int, int]]) -> np.ndarray:
+    """Logits of the members of each row's class."""
+    logits = np.empty((parts[-1][2] if parts else 0, w["word_bias"].shape[1]), np.float32)
+    for c, a, b in parts:
+        np.matmul(states[a:b], w["word"][c], out=logits[a:b])
+        logits[a:b] += w["word_bias"][c]
+    return logits
 
-def head_scores(w: dict[str, np.ndarray], state: np.ndarray, target: np.ndarray, member: np.ndarray) -> np.ndarray:
-    """Log probability of head words in their classes."""
-    if len(target) > 256:
-        out = np.empty(len(target), np.float32)
-        order = np.argsort(target, kind="stable")
-        for part in np.split(order, np.searchsorted(target[order], np.arange(1, HEAD_CLASSES))):
-            if len(part):
-                c = int(target[part[0]])
-                out[part] = log_softmax(state[part] @ w["word"][c].T + w["word_bias"][c])[np.arange(len(part)), member[part]]
-        return out
-    logits = np.matmul(w["word"][target], state[:, :, None])[:, :, 0] + w["word_bias"][target]
-    return log_softmax(logits)[np.arange(len(target)), member]
 
+def log_probabilities(w: Weights, states: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Natural-log probability of each code after its state (of its class, where the code is shared)."""
+    classes, _, members = w["word"].shape
+    target = np.minimum(codes // members, classes)
+    found = _soft(states @ w["out"] + w["bias"], target)
+    order, parts = _by_class(target, classes)
+    logits = _inside(w, states[order], parts)
+    own = order[: len(logits)]
+    found[own] += _soft(logits, codes[own] % members)
+    return found
 
-def score(w: dict[str, np.ndarray], classes: list[np.ndarray], members: list[np.ndarray]) -> np.ndarray:
-    """Natural-log probability of each class sequence, with that of its head words; the state is carried to the end."""
-    sizes = np.array([len(c) for c in classes])
+
+def score(w: Weights, documents: Sequence[np.ndarray]) -> np.ndarray:
+    """Natural-log probability of each document's codes; the state is carried from the first to the last."""
+    sizes = np.array([len(d) for d in documents], np.int64)
     order = np.argsort(-sizes, kind="stable")
-    total = np.zeros(len(classes))
+    total = np.zeros(len(documents))
     if not len(order) or not sizes[order[0]]:
         return total
-    starts = np.concatenate([[0], np.cumsum(sizes)])[:-1][order]
-    flat_class, flat_member = np.concatenate(classes), np.concatenate(members)
-    active = np.searchsorted(-sizes[order], -np.arange(sizes[order[0]]), side="left")  # sequences longer than t
-    state = np.zeros((len(order), STATE), np.float32)
-    last = np.full(len(order), CLASSES)
-    for t, n in enumerate(active.tolist()):
-        state, _ = step(w, state[:n], last[:n])
-        places = starts[:n] + t
-        target = flat_class[places]
-        found = class_scores(w, state, target).astype(np.float64)
-        head = np.flatnonzero(target < HEAD_CLASSES)
-        if len(head):
-            found[head] += head_scores(w, state[head], target[head], flat_member[places[head]])
-        total[order[:n]] += found
-        last = target
+    ordered = [documents[i] for i in order.tolist()]
+    sizes, at = sizes[order], 0
+    state = np.zeros((len(ordered), w["gates"].shape[0]), np.float32)
+    last = np.full(len(ordered), -1, np.int64)
+    while at < sizes[0]:
+        n = int(np.searchsorted(-sizes, -at, side="left"))  # longer than ``at``
+        steps = int(min(max(WINDOW, POSITIONS // n), sizes[0] - at))
+        codes = np.zeros((n, steps), np.int64)
+        for k in range(n):
+            part = ordered[k][at : at + steps]
+            codes[k, : len(part)] = part
+        codes = codes.T
+        before = np.concatenate([last[None, :n], codes[:-1]])
+        states, _ = run(w, state[:n], inputs_of(w, before), None)
+        real = at + np.arange(steps)[:, None] < sizes[None, :n]
+        found = np.zeros(codes.shape)
+        found[real] = log_probabilities(w, states[real], codes[real])
+        total[order[:n]] += found.sum(axis=0)
+        state, last, at = states[-1], codes[-1], at + steps
     return total
 
 
-def gradients(w: dict[str, np.ndarray], state: np.ndarray, last: np.ndarray, target: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-    """Truncated backpropagation through one window of ``target`` (time by lanes): the state after it, and the gradients."""
-    steps, caches, states = len(target), [], []
-    for t in range(steps):
-        state, cache = step(w, state, last)
-        caches.append(cache)
-        states.append(state)
-        last = target[t]
-    g = {k: np.zeros_like(v) for k, v in w.items()}
-    flat, goal, member = np.concatenate(states), target.ravel(), member.ravel()
-    error = np.exp(log_softmax(flat @ w["out"] + w["bias"]))
-    error[np.arange(len(goal)), goal] -= 1
+def gradients(w: Weights, state: np.ndarray, before: np.ndarray, codes: np.ndarray, fresh_start: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, Weights, np.ndarray]:
+    """Truncated backpropagation through one window (time by lanes): the state after it, the gradients of the summed loss, and the rows of ``read`` that theirs are for.
+
+    ``before`` is the code read at each step (-1: the start), ``codes`` the target,
+    ``real`` the positions that count.
+    """
+    classes, size, members = w["word"].shape
+    steps, n = codes.shape
+    rows = inputs_of(w, before)
+    states, trace = run(w, state, rows, fresh_start, traced=True)
+    goal, counted = codes.ravel(), real.ravel()
+    order, parts = _by_class(np.where(counted, np.minimum(goal // members, classes), classes), classes)
+    flat, goal, counted = states.reshape(-1, size)[order], goal[order], counted[order]
+    g: Weights = {"word": np.zeros_like(w["word"]), "word_bias": np.zeros_like(w["word_bias"])}
+    target = np.minimum(goal // members, classes)
+    error = flat @ w["out"] + w["bias"]
+    _soft(error, target)
+    error[np.arange(len(goal)), target] -= 1
+    error[~counted] = 0
     g["out"], g["bias"] = flat.T @ error, error.sum(axis=0)
-    up = error @ w["out"].T
-    for c in range(HEAD_CLASSES):
-        part = np.flatnonzero(goal == c)
-        if len(part):
-            miss = np.exp(log_softmax(flat[part] @ w["word"][c].T + w["word_bias"][c]))
-            miss[np.arange(len(part)), member[part]] -= 1
-            g["word"][c], g["word_bias"][c] = miss.T @ flat[part], miss.sum(axis=0)
-            up[part] += miss @ w["word"][c]
-    up = up.reshape(steps, -1, STATE)
-    down = np.zeros_like(state)
-    pres: list[np.ndarray] = []
+    back = error @ w["out"].T
+    miss = _inside(w, flat, parts)
+    _soft(miss, goal[: len(miss)] % members)
+    miss[np.arange(len(miss)), goal[: len(miss)] % members] -= 1
+    for c, a, b in parts:
+        np.matmul(flat[a:b].T, miss[a:b], out=g["word"][c])
+        np.sum(miss[a:b], axis=0, out=g["word_bias"][c])
+        back[a:b] += miss[a:b] @ w["word"][c].T
+    up = np.empty_like(back)
+    up[order] = back
+    up = up.reshape(steps, n, size)
+    down = np.zeros((n, size), np.float32)
+    pre = np.empty((steps, n, 3 * size), np.float32)
     for t in reversed(range(steps)):
-        before, _, update, reset, _, fresh = caches[t]
-        down = down + up[t]
-        pre_fresh = down * update * (1 - fresh * fresh)
-        pre_update = down * (fresh - before) * update * (1 - update)
-        on_kept = pre_fresh @ w["fresh"].T
-        pre_reset = on_kept * before * reset * (1 - reset)
-        pre = np.concatenate([pre_update, pre_reset, pre_fresh], axis=1)
-        pres.append(pre)
-        down = down * (1 - update) + on_kept * reset + pre[:, : 2 * STATE] @ w["gates"].T
-    pre = np.concatenate(pres[::-1])
-    read = np.zeros((len(pre), CLASSES + 1), np.float32)
-    read[np.arange(len(pre)), np.concatenate([c[1] for c in caches])] = 1
-    g["read"] = read.T @ pre
-    g["gates"] = np.concatenate([c[0] for c in caches]).T @ pre[:, : 2 * STATE]
-    g["fresh"] = np.concatenate([c[4] for c in caches]).T @ pre[:, 2 * STATE :]
-    return state, g
-
-
-class Adam:
-    def __init__(self, weights: dict[str, np.ndarray], rate: float):
-        self.weights, self.rate, self.t = weights, rate, 0
-        self.first = {k: np.zeros_like(v) for k, v in weights.items()}
-        self.second = {k: np.zeros_like(v) for k, v in weights.items()}
-
-    def update(self, g: dict[str, np.ndarray]) -> None:
-        self.t += 1
-        rate = self.rate * np.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t)
-        for k, w in self.weights.items():
-            self.first[k] += 0.1 * (g[k] - self.first[k])
-            self.second[k] += 0.001 * (g[k] ** 2 - self.second[k])
-            w -= (rate * self.first[k] / (np.sqrt(self.second[k]) + 1e-8)).astype(np.float32)
-
-
-def train(adam: Adam, classes: np.ndarray, members: np.ndarray, lanes: int = 128) -> None:
-    """One pass over stretches (rows of equal length): lanes side by side, window after window."""
-    for lo in range(0, len(classes), lanes):
-        part, inside = classes[lo : lo + lanes].T, members[lo : lo + lanes].T
-        state = np.zeros((part.shape[1], STATE), np.float32)
-        last = np.full(part.shape[1], CLASSES)
-        for t in range(0, len(part), WINDOW):
-            state, g = gradients(adam.weights, state, last, part[t : t + WINDOW], inside[t : t + WINDOW])
-            last = part[min(t + WINDOW, len(part)) - 1]
-            scale = 1.0 / part[t : t + WINDOW].size
-            adam.update({k: v * scale for k, v in g.items()})
+        prior, update, reset, _, new = trace[t]
+        down += up[t]
+        pre_new = down * update * (1 - new * new)
+        on_kept = pre_new @ w["fresh"].T
+        pre[t, :, :size] = down * (new - prior) * update * (1 - update)
+        pre[t, :, size : 2 * size] = on_kept * prior * reset * (1 - reset)
+        pre[t, :, 2 * size :] = pre_new
+        down = down * (1 - update) + on_kept * reset + pre[t, :, : 2 * size] @ w["gates"].T
+        if fresh_start[t].any():
+            down[fresh_start[t]] = 0
+    flat_pre = pre.reshape(-1, 3 * size)
+    g["gates"] = np.concatenate([c[0] for c in trace]).T @ flat_pre[:, : 2 * size]
+    g["fresh"] = np.concatenate([c[3] for c in trace]).T @ flat_pre[:, 2 * size :]
+    order = np.argsort(rows.ravel(), kind="stable")
+    sorted_rows = rows.ravel()[order]
+    starts = np.flatnonzero(np.r_[True, sorted_rows[1:] != sorted_rows[:-1]])
+    g["read"] = np.add.reduceat(flat_pre[order], starts, axis=0)
+    return states[-1], g, sorted_rows[starts]
+
+
+class Learner:
+    """Weights with step sizes by the sums of their squared gradients (Adagrad); of ``read``, only rows that occur move."""
+
+    def __init__(self, weights: Weights, rate: float):
+        self.weights, self.rate = weights, rate
+        self.sums = {k: np.full_like(v, 1e-6) for k, v in weights.items()}
+
+    def update(self, g: Weights, rows: np.ndarray) -> None:
+        for k, v in g.items():
+            sums, weights = (self.sums[k][rows], self.weights[k][rows]) if k == "read" else (self.sums[k], self.weights[k])
+            square = v * v
+            sums += square
+            np.sqrt(sums, out=square)
+            v *= np.float32(self.rate)
+            v /= square
+            weights -= v
+            if k == "read":
+                self.sums[k][rows], self.weights[k][rows] = sums, weights
+
+
+def lanes_of(documents: Sequence[np.ndarray], lanes: int) -> list[list[np.ndarray]]:
+    """Documents dealt in their order, each to the lane with the fewest codes so far."""
+    dealt: list[list[np.ndarray]] = [[] for _ in range(min(lanes, len(documents)))]
+    heap = [(0, k) for k in range(len(dealt))]
+    for d in documents:
+        size, k = heapq.heappop(heap)
+        dealt[k].append(d)
+        heapq.heappush(heap, (size + len(d), k))
+    return dealt
+
+
+def train(learner: Learner, documents: Sequence[np.ndarray], lanes: int = LANES, window: int = WINDOW) -> None:
+    """One pass over all codes of ``documents``, none of them empty."""
+    dealt = sorted((x for x in lanes_of(documents, lanes) if x), key=lambda x: -sum(map(len, x)))
+    if not dealt:
+        return
+    sizes = np.array([sum(map(len, x)) for x in dealt])
+    whole = np.zeros((len(dealt), int(sizes[0])), np.int32)
+    begins = np.zeros(whole.shape, bool)
+    for k, x in enumerate(dealt):
+        whole[k, : sizes[k]] = np.concatenate(x)
+        begins[k, np.cumsum([0, *map(len, x[:-1])])] = True
+    before = np.where(begins, -1, np.roll(whole, 1, axis=1))
+    state = np.zeros((len(dealt), learner.weights["gates"].shape[0]), np.float32)
+    for t in range(0, whole.shape[1], window):
+        n = int(np.searchsorted(-sizes, -t, side="left"))
+        part = slice(t, min(t + window, whole.shape[1]))
+        codes = whole[:n, part].T.astype(np.int64)
+        real = np.arange(part.start, part.stop)[:, None] < sizes[None, :n]
+        state, g, rows = gradients(learner.weights, state[:n], before[:n, part].T.astype(np.int64), codes, begins[:n, part].T, real)
+        learner.update(g, rows)
