@@ -46,13 +46,15 @@ from .language import remainder
 VOCABULARY = 1 << 17
 KEY_BYTES = 32
 #: Training tokens of a shard, on average.
-SHARD = 1_000_000
+SHARD = 2_000_000
 ROUNDS = 2
 RATE = 0.1
 #: Distinct tokens that a counting task holds, and tokens that a scoring task gathers, before it sends them on.
-COUNTED, GATHERED = 300_000, 1_000_000
+COUNTED, GATHERED = 300_000, 2_000_000
 #: Shards that one training task takes, one after another, where there are many.
 SHARDS_A_TASK = 8
+#: Sums of weights that one task adds, on average.
+FAN_IN = 16
 #: The end token's key; no word has white space.
 END = b" "
 
@@ -219,9 +221,11 @@ def train(encoded: DataFrame, start: R.Weights, tokens: int, *, shard: int = SHA
                 yield _sums(n, total)
 
         copies = rows.where(F.col("shard") % rounds == turn).repartition(tasks, "shard").sortWithinPartitions("shard", "h", "codes").mapInArrow(fit, schema)
-        if tasks > 16:
-            copies = copies.repartition(round(tasks**0.5)).mapInArrow(add, schema)
-        for row in copies.repartition(1).mapInArrow(add, schema).collect():
+        adders = tasks
+        while adders > 1:  # no task adds many times the weights' size
+            adders = -(-adders // FAN_IN)
+            copies = copies.repartition(adders).mapInArrow(add, schema)
+        for row in copies.collect():
             weights = _unflat(np.frombuffer(row["total"], np.int64) / (UNIT * row["n"]), weights)
         sent.unpersist()
     return weights

@@ -19,9 +19,9 @@ from collections.abc import Sequence
 import numpy as np
 
 STATE = 16
-CLASSES, MEMBERS = 128, 128
-#: Steps of a training window, and lanes side by side.
-WINDOW, LANES = 16, 256
+CLASSES, MEMBERS = 64, 64
+#: Steps of a training window while all lanes go on, and lanes side by side; with fewer lanes windows get longer, up to ``LONGEST``.
+WINDOW, LANES, LONGEST = 16, 512, 512
 #: Positions of a scoring window, at most (lanes times steps).
 POSITIONS = 16_384
 
@@ -50,39 +50,39 @@ def inputs_of(w: Weights, codes: np.ndarray) -> np.ndarray:
     return np.where(codes < 0, kept + 1, np.minimum(codes, kept))
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    x *= np.float32(0.5)
-    np.tanh(x, out=x)
-    x += np.float32(1)
-    x *= np.float32(0.5)
-    return x
+def run(w: Weights, state: np.ndarray, rows: np.ndarray, fresh_start: np.ndarray | None) -> tuple[np.ndarray, ...]:
+    """States after each of ``rows`` (time by lanes, rows of ``read``), and for each step the state before, the gates, the reset state and the new content.
 
-
-def run(w: Weights, state: np.ndarray, rows: np.ndarray, fresh_start: np.ndarray | None, traced: bool = False) -> tuple[np.ndarray, list[tuple]]:
-    """States after each of ``rows`` (time by lanes, rows of ``read``); ``fresh_start`` marks where a lane begins anew."""
+    ``fresh_start`` marks where a lane begins anew.
+    """
     steps, n = rows.shape
     size = w["gates"].shape[0]
     read = w["read"][rows]
-    states, trace = np.empty((steps, n, size), np.float32), []
+    states, kept, new = (np.empty((steps, n, size), np.float32) for _ in range(3))
+    prior, gates = np.empty((steps, n, size), np.float32), np.empty((steps, n, 2 * size), np.float32)
+    half = np.float32(0.5)  # the logistic function of x is (1 + tanh(x / 2)) / 2
+    to_gates = w["gates"] * half
+    read[:, :, : 2 * size] *= half
+    begins = [False] * steps if fresh_start is None else fresh_start.any(axis=1).tolist()
     for t in range(steps):
-        if fresh_start is not None and fresh_start[t].any():
-            state = np.where(fresh_start[t][:, None], np.float32(0), state)
-        gates = state @ w["gates"]
-        gates += read[t, :, : 2 * size]
-        _sigmoid(gates)
-        update, reset = gates[:, :size], gates[:, size:]
-        kept = reset * state
-        new = kept @ w["fresh"]
-        new += read[t, :, 2 * size :]
-        np.tanh(new, out=new)
-        after = states[t]
-        np.subtract(new, state, out=after)
-        after *= update
-        after += state
-        if traced:
-            trace.append((state, update, reset, kept, new))
+        before, g, k, x, after = prior[t], gates[t], kept[t], new[t], states[t]
+        before[:] = state
+        if begins[t]:
+            before[fresh_start[t]] = 0
+        np.matmul(before, to_gates, out=g)
+        g += read[t, :, : 2 * size]
+        np.tanh(g, out=g)
+        g *= half
+        g += half
+        np.multiply(g[:, size:], before, out=k)
+        np.matmul(k, w["fresh"], out=x)
+        x += read[t, :, 2 * size :]
+        np.tanh(x, out=x)
+        np.subtract(x, before, out=after)
+        after *= g[:, :size]
+        after += before
         state = after
-    return states, trace
+    return states, prior, gates, kept, new
 
 
 def _soft(logits: np.ndarray, target: np.ndarray) -> np.ndarray:
@@ -143,7 +143,7 @@ def score(w: Weights, documents: Sequence[np.ndarray]) -> np.ndarray:
             codes[k, : len(part)] = part
         codes = codes.T
         before = np.concatenate([last[None, :n], codes[:-1]])
-        states, _ = run(w, state[:n], inputs_of(w, before), None)
+        states = run(w, state[:n], inputs_of(w, before), None)[0]
         real = at + np.arange(steps)[:, None] < sizes[None, :n]
         found = np.zeros(codes.shape)
         found[real] = log_probabilities(w, states[real], codes[real])
@@ -161,7 +161,7 @@ def gradients(w: Weights, state: np.ndarray, before: np.ndarray, codes: np.ndarr
     classes, size, members = w["word"].shape
     steps, n = codes.shape
     rows = inputs_of(w, before)
-    states, trace = run(w, state, rows, fresh_start, traced=True)
+    states, prior, gates, kept, new = run(w, state, rows, fresh_start)
     goal, counted = codes.ravel(), real.ravel()
     order, parts = _by_class(np.where(counted, np.minimum(goal // members, classes), classes), classes)
     flat, goal, counted = states.reshape(-1, size)[order], goal[order], counted[order]
@@ -183,22 +183,31 @@ def gradients(w: Weights, state: np.ndarray, before: np.ndarray, codes: np.ndarr
     up = np.empty_like(back)
     up[order] = back
     up = up.reshape(steps, n, size)
-    down = np.zeros((n, size), np.float32)
+    update, reset = gates[:, :, :size], gates[:, :, size:]
+    on_new = update * (1 - new * new)
+    stays = 1 - update
+    on_update, on_reset = (new - prior) * update * stays, prior * reset * (1 - reset)
+    begins = fresh_start.any(axis=1).tolist()
+    from_new, from_gates = np.ascontiguousarray(w["fresh"].T), np.ascontiguousarray(w["gates"].T)
+    down = np.zeros((n, size), up.dtype)
     pre = np.empty((steps, n, 3 * size), np.float32)
     for t in reversed(range(steps)):
-        prior, update, reset, _, new = trace[t]
         down += up[t]
-        pre_new = down * update * (1 - new * new)
-        on_kept = pre_new @ w["fresh"].T
-        pre[t, :, :size] = down * (new - prior) * update * (1 - update)
-        pre[t, :, size : 2 * size] = on_kept * prior * reset * (1 - reset)
-        pre[t, :, 2 * size :] = pre_new
-        down = down * (1 - update) + on_kept * reset + pre[t, :, : 2 * size] @ w["gates"].T
-        if fresh_start[t].any():
+        own = pre[t]
+        at_new = down * on_new[t]
+        own[:, 2 * size :] = at_new
+        at_kept = at_new @ from_new
+        np.multiply(down, on_update[t], out=own[:, :size], casting="same_kind")
+        np.multiply(at_kept, on_reset[t], out=own[:, size : 2 * size], casting="same_kind")
+        down *= stays[t]
+        at_kept *= reset[t]
+        down += at_kept
+        down += own[:, : 2 * size] @ from_gates
+        if begins[t]:
             down[fresh_start[t]] = 0
     flat_pre = pre.reshape(-1, 3 * size)
-    g["gates"] = np.concatenate([c[0] for c in trace]).T @ flat_pre[:, : 2 * size]
-    g["fresh"] = np.concatenate([c[3] for c in trace]).T @ flat_pre[:, 2 * size :]
+    g["gates"] = prior.reshape(-1, size).T @ flat_pre[:, : 2 * size]
+    g["fresh"] = kept.reshape(-1, size).T @ flat_pre[:, 2 * size :]
     order = np.argsort(rows.ravel(), kind="stable")
     sorted_rows = rows.ravel()[order]
     starts = np.flatnonzero(np.r_[True, sorted_rows[1:] != sorted_rows[:-1]])
@@ -250,10 +259,12 @@ def train(learner: Learner, documents: Sequence[np.ndarray], lanes: int = LANES,
         begins[k, np.cumsum([0, *map(len, x[:-1])])] = True
     before = np.where(begins, -1, np.roll(whole, 1, axis=1))
     state = np.zeros((len(dealt), learner.weights["gates"].shape[0]), np.float32)
-    for t in range(0, whole.shape[1], window):
+    t = 0
+    while t < whole.shape[1]:
         n = int(np.searchsorted(-sizes, -t, side="left"))
-        part = slice(t, min(t + window, whole.shape[1]))
+        part = slice(t, min(t + min(max(window, lanes * window // n), LONGEST), whole.shape[1]))
         codes = whole[:n, part].T.astype(np.int64)
         real = np.arange(part.start, part.stop)[:, None] < sizes[None, :n]
         state, g, rows = gradients(learner.weights, state[:n], before[:n, part].T.astype(np.int64), codes, begins[:n, part].T, real)
         learner.update(g, rows)
+        t = part.stop
