@@ -1,16 +1,20 @@
 """License scans: canonical digests of entire texts, looked up among known ones.
 
 The canonical form of a text: A-Z lowered; typographic quotes and dashes as ASCII
-punctuation; lines that only claim copyright left out; every run of ASCII
-characters that are neither letters nor digits one space; variant spellings
-replaced by the one that ``SPELLINGS`` names. Two texts with one canonical form
-have one SHA-256, so a licence is found by a hash join of digests.
+punctuation; every run of ASCII characters that are neither letters nor digits one
+space; variant spellings, words and phrases, replaced by the one that ``SPELLINGS``
+names. In texts that hold one of ``SIGNS``, as licences do, lines that only claim
+copyright, title lines ("The MIT License (MIT)") and list markers (``1.``, ``a)``)
+are left out first. Two texts with one canonical form have one SHA-256, so a
+licence is found by a hash join of digests, whatever its case, wrapping, bullets,
+title and owner.
 
 Texts are looked up at two grains: the whole text among ``licences`` (full licence
-texts), and each of its lines among ``notices`` (one-line statements). Notices are
-a short list of literals, so lines never leave their row; the join carries a
-digest a row, and Spark broadcasts the licences or shuffles by digest, whichever
-their size asks for.
+texts; the built-in ones are the files of ``licence_texts``, with and without what
+follows their end line), and each of its lines among ``notices`` (one-line
+statements, made by rule from the licences' names). Notices are literals, so lines
+never leave their row; the join carries a digest a row, and Spark broadcasts the
+licences or shuffles by digest, whichever their size asks for.
 
 Everything is SQL functions. Defined results: a null or empty text, or one without
 letters and digits, has the digest of the empty string and no licence; equal texts
@@ -21,6 +25,10 @@ are replaced.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,7 +49,8 @@ SPELLINGS = {
     "catalogue": "catalog",
     "centre": "center",
     "colour": "color",
-    "copyrightowner": "copyright holder",
+    "copyright owner": "copyright holder",
+    "copyright owners": "copyright holders",
     "favour": "favor",
     "favourite": "favorite",
     "fulfil": "fulfill",
@@ -66,71 +75,78 @@ SPELLINGS = {
     "realise": "realize",
     "recognise": "recognize",
     "signalling": "signaling",
+    "sub license": "sublicense",
+    "sub licence": "sublicense",
     "sublicence": "sublicense",
     "utilisation": "utilization",
     "whilst": "while",
     "wilful": "willful",
 }
 
-_WARRANTY = (
-    "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, "
-    "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, "
-    "WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
-)
-_AUTHOR = (
-    "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. "
-    "IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, "
-    "WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
-)
-_TWO_CLAUSES = (
-    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n"
-    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n"
-    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n"
-)
-_HOLDERS = (
-    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF "
-    "MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, "
-    "SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
-    "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS "
-    "SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+#: A text with one of these, in lower case, is read as a licence would be.
+SIGNS = ("copyright", "licens", "licenc", "warrant", "(c)", "©", "all rights reserved")
+_TITLE_WORD = (
+    "(the|a|and|mit|expat|x11|isc|zlib|libpng|bsd|freebsd|new|modified|simplified|revised|original|free|clause|version|v|apache|gnu|general|public|lesser|library|"
+    "affero|documentation|mozilla|boost|software|artistic|unlicense|attribution|no|legal|code|universal|cc0|mpl|gpl|lgpl|text|[0-9]+)"
 )
-_GRANT = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
-#: Public licence texts. Callers with more of them hand in a table.
-LICENCES = {
-    "0BSD": f"{_GRANT}.\n{_AUTHOR}",
-    "BSD-2-Clause": _TWO_CLAUSES + _HOLDERS,
-    "BSD-3-Clause": _TWO_CLAUSES
-    + "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n"
-    + _HOLDERS,
-    "ISC": f"{_GRANT}, provided that the above copyright notice and this permission notice appear in all copies.\n{_AUTHOR}",
-    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software "
-    "without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons "
-    "to whom the Software is furnished to do so, subject to the following conditions:\n"
-    "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n" + _WARRANTY,
-    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.\n"
-    "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:\n"
-    "1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the "
-    "product documentation would be appreciated but is not required.\n"
-    "2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.\n"
-    "3. This notice may not be removed or altered from any source distribution.",
-}
-#: One-line statements of a licence.
-NOTICES = {
-    "Licensed under the Apache License, Version 2.0": "Apache-2.0",
-    "Licensed under the Apache License, Version 2.0 (the \"License\")": "Apache-2.0",
-    "Released under the Apache License 2.0": "Apache-2.0",
-    "Licensed under CC BY 4.0": "CC-BY-4.0",
-    "Licensed under CC BY-SA 4.0": "CC-BY-SA-4.0",
-    "Licensed under CC BY-NC 4.0": "CC-BY-NC-4.0",
-    "This work is licensed under the GNU General Public License, version 2": "GPL-2.0",
-    "This work is licensed under the GNU General Public License, version 3": "GPL-3.0",
-    "Licensed under the GNU General Public License, version 3": "GPL-3.0",
-    "Released under the MIT License": "MIT",
-    "Licensed under the MIT License": "MIT",
-    "SPDX-License-Identifier: Apache-2.0": "Apache-2.0",
-    "SPDX-License-Identifier: BSD-3-Clause": "BSD-3-Clause",
-    "SPDX-License-Identifier: MIT": "MIT",
+#: A line of nothing but words of licence names, "license" among them.
+TITLE_LINE = f"^[^a-z0-9]*({_TITLE_WORD}[^a-z0-9]+)*licen[sc]e([^a-z0-9]+{_TITLE_WORD})*[^a-z0-9]*$"
+#: A list marker that stands alone between white space.
+MARKER = r" [(]?([0-9][0-9]?|[a-z])[.)] "
+BLANKS = r"[\x20\x09-\x0D]+"
+
+#: What follows this line in a licence text is advice on its use.
+_END_LINE = "END OF TERMS AND CONDITIONS"
+
+
+def _texts() -> dict[str, str]:
+    return {p.stem: p.read_text(encoding="utf-8") for p in sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))}
+
+
+#: Public licence texts by their SPDX id. Callers with more of them hand in a table.
+LICENCES = _texts()
+
+
+def _variants(licences: dict[str, str]) -> list[tuple[str, str]]:
+    """Each licence's text, and its terms alone where advice follows them."""
+    cut = [(k, t[: t.index(_END_LINE) + len(_END_LINE)]) for k, t in licences.items() if _END_LINE in t]
+    return sorted([*licences.items(), *cut])
+
+
+#: Names that notices use, by SPDX id.
+NAMES = {
+    "AGPL-3.0": ("GNU Affero General Public License, version 3", "AGPLv3"),
+    "Apache-2.0": ("Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License", "Apache License, Version 2.0 (the \"License\")"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "Simplified BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "3-Clause BSD License", "New BSD License", "BSD License"),
+    "BSL-1.0": ("Boost Software License, Version 1.0",),
+    "CC-BY-4.0": ("CC BY 4.0", "Creative Commons Attribution 4.0 International License"),
+    "CC-BY-NC-4.0": ("CC BY-NC 4.0", "Creative Commons Attribution-NonCommercial 4.0 International License"),
+    "CC-BY-SA-4.0": ("CC BY-SA 4.0", "Creative Commons Attribution-ShareAlike 4.0 International License"),
+    "CC0-1.0": ("CC0 1.0", "CC0 1.0 Universal"),
+    "GFDL-1.3": ("GNU Free Documentation License, version 1.3",),
+    "GPL-2.0": ("GNU General Public License, version 2", "GPLv2"),
+    "GPL-3.0": ("GNU General Public License, version 3", "GPLv3"),
+    "ISC": ("ISC License",),
+    "LGPL-2.1": ("GNU Lesser General Public License, version 2.1", "LGPLv2.1"),
+    "LGPL-3.0": ("GNU Lesser General Public License, version 3", "LGPLv3"),
+    "MIT": ("MIT License",),
+    "MPL-2.0": ("Mozilla Public License, version 2.0", "MPL 2.0"),
+    "Unlicense": ("Unlicense",),
+    "Zlib": ("zlib License",),
 }
+#: What stands before a name in a notice.
+FORMS = ("Licensed under the {}", "Licensed under {}", "Released under the {}", "Released under {}", "Distributed under the {}", "This work is licensed under the {}", "This software is licensed under the {}", "This project is licensed under the {}")
+
+
+def _notices() -> dict[str, str]:
+    found = {form.format(name): k for k, names in NAMES.items() for name in names for form in FORMS}
+    found |= {f"SPDX-License-Identifier: {k}{more}": k for k in {*NAMES, *LICENCES} for more in ("", *(("-only", "-or-later") if "GPL" in k or "GFDL" in k else ()))}
+    return dict(sorted(found.items()))
+
+
+#: One-line statements of a licence.
+NOTICES = _notices()
 #: Notices are literals of the plan; a longer list belongs among the licences.
 MOST_NOTICES = 500
 
@@ -139,12 +155,17 @@ def _folded(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), UPPER + TYPOGRAPHIC, LOWER + PLAIN)
 
 
+def _wide(words: str) -> str:
+    """``words`` as they stand in a text whose every word has a space of its own on both sides."""
+    return " " + words.replace(" ", "  ") + " "
+
+
 def _spelled(words: Column) -> Column:
     """``words`` with spellings replaced; most have none and are only looked through once."""
     any_variant = "(^| )(" + "|".join(SPELLINGS) + ")( |$)"
     wide = F.concat(F.lit(" "), F.replace(words, F.lit(" "), F.lit("  ")), F.lit(" "))
     for variant, stays in SPELLINGS.items():
-        wide = F.replace(wide, F.lit(f" {variant} "), F.lit(f" {stays} "))
+        wide = F.replace(wide, F.lit(_wide(variant)), F.lit(f" {stays} "))
     return F.when(words.rlike(any_variant), F.trim(F.regexp_replace(wide, " +", " "))).otherwise(words)
 
 
@@ -152,21 +173,18 @@ def _canonical_line(folded: Column) -> Column:
     return _spelled(F.trim(F.regexp_replace(folded, SEPARATORS, " ")))
 
 
-def _claims(folded: Column) -> Column:
-    return folded.rlike(COPYRIGHT_LINE)
-
-
 def canonical(text: Column) -> Column:
     """The canonical form of an entire text."""
     folded = _folded(text)
-    rest = F.filter(F.split(folded, "\n"), lambda x: ~_claims(x))
-    some = F.contains(folded, F.lit("copyright")) | F.contains(folded, F.lit("(c)")) | F.contains(folded, F.lit("©")) | F.contains(folded, F.lit("all rights reserved"))
-    return _canonical_line(F.when(some, F.array_join(rest, "\n")).otherwise(folded))
+    rest = F.array_join(F.filter(F.split(folded, "\n"), lambda x: ~x.rlike(COPYRIGHT_LINE) & ~x.rlike(TITLE_LINE)), "\n")
+    wide = F.concat(F.lit(" "), F.regexp_replace(rest, BLANKS, "  "), F.lit(" "))
+    some = reduce(or_, [F.contains(folded, F.lit(x)) for x in SIGNS])
+    return _canonical_line(F.when(some, F.regexp_replace(wide, MARKER, " ")).otherwise(folded))
 
 
 def registry(spark, licences: dict[str, str] = LICENCES) -> DataFrame:
-    """``licence, text`` of the built-in licences."""
-    return spark.createDataFrame(sorted(licences.items()), "licence string, text string")
+    """``licence, text`` of the built-in licences, several rows of one licence where its text has several forms."""
+    return spark.createDataFrame(_variants(licences), "licence string, text string")
 
 
 def license_scan(docs: DataFrame, licences: DataFrame, text: str = "text", *, licence_id: str = "licence", licence_text: str = "text", notices: dict[str, str] = NOTICES) -> DataFrame:
@@ -184,8 +202,8 @@ def license_scan(docs: DataFrame, licences: DataFrame, text: str = "text", *, li
     lines = F.filter(F.split(_folded(F.col(text)), "\n"), lambda x: F.length(x) >= least)
     forms_found = F.filter(F.transform(lines, lambda x: _canonical_line(x)), lambda c: F.length(c).between(least, most) & F.array_contains(forms, c))
     rows = docs.select(*rest, F.sha2(canonical(F.col(text)), 256).alias("canonical_sha256"), forms_found.alias("__found"))
-    pairs = F.array(*[F.when(F.array_contains("__found", c), F.lit(name)) for c, name in by_form.items()]) if by_form else F.array().cast("array<string>")
-    named = F.array_join(F.array_sort(F.array_distinct(F.filter(pairs, lambda x: x.isNotNull()))), ",")
+    names = F.array(*[F.lit(n) for n in by_form.values()]) if by_form else F.array().cast("array<string>")
+    named = F.array_join(F.array_sort(F.array_distinct(F.transform("__found", lambda c: F.element_at(names, F.array_position(forms, c).cast("int"))))), ",")
     rows = rows.select(*rest, "canonical_sha256", F.size("__found").cast("long").alias("n_notices"), F.when(F.size("__found") > 0, named).otherwise(F.lit("")).alias("notice_licences"))
     joined = rows.join(known, rows.canonical_sha256 == known["__digest"], "left")
     return joined.select(*rest, "canonical_sha256", F.col("__licence").alias("licence"), "n_notices", "notice_licences", (F.col("__licence").isNotNull() | (F.col("n_notices") > 0)).alias("licensed"))
@@ -198,7 +216,7 @@ def _sql_text(text: str) -> str:
 def _sql_spelled(words: str) -> str:
     wide = f"' ' || replace({words}, ' ', '  ') || ' '"
     for variant, stays in SPELLINGS.items():
-        wide = f"replace({wide}, ' {variant} ', ' {stays} ')"
+        wide = f"replace({wide}, '{_wide(variant)}', ' {stays} ')"
     return f"trim(regexp_replace({wide}, ' +', ' ', 'g'))"
 
 
@@ -211,7 +229,11 @@ def _sql_folded(text: str) -> str:
 
 
 def _sql_canonical(text: str) -> str:
-    return _sql_line(f"array_to_string(list_filter(string_split({_sql_folded(text)}, chr(10)), lambda x: NOT regexp_matches(x, '{COPYRIGHT_LINE}')), chr(10))")
+    folded = _sql_folded(text)
+    rest = f"array_to_string(list_filter(string_split({folded}, chr(10)), lambda x: NOT regexp_matches(x, '{COPYRIGHT_LINE}') AND NOT regexp_matches(x, '{TITLE_LINE}')), chr(10))"
+    wide = f"' ' || regexp_replace({rest}, '{BLANKS}', '  ', 'g') || ' '"
+    some = " OR ".join(f"contains({folded}, '{x}')" for x in SIGNS)
+    return _sql_line(f"CASE WHEN {some} THEN regexp_replace({wide}, '{MARKER}', ' ', 'g') ELSE {folded} END")
 
 
 def _rows(pairs) -> str:
@@ -220,7 +242,7 @@ def _rows(pairs) -> str:
 
 #: The same in DuckDB, for the built-in licences and notices.
 ORACLE_SQL = f"""
-WITH known AS (SELECT sha256({_sql_canonical("t")}) AS digest, min(l) AS licence FROM (VALUES {_rows(sorted(LICENCES.items()))}) v(l, t) GROUP BY 1),
+WITH known AS (SELECT sha256({_sql_canonical("t")}) AS digest, min(l) AS licence FROM (VALUES {_rows(_variants(LICENCES))}) v(l, t) GROUP BY 1),
 forms AS (SELECT DISTINCT {_sql_line(_sql_folded("n"))} AS form, l FROM (VALUES {_rows(NOTICES.items())}) v(n, l)),
 d AS (SELECT row_number() OVER () AS r, doc_id, text, sha256({_sql_canonical("text")}) AS digest FROM documents),
 lines AS (SELECT r, {_sql_line("line")} AS form FROM (SELECT r, unnest(string_split({_sql_folded("text")}, chr(10))) AS line FROM d)),
