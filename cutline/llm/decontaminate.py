@@ -7,21 +7,23 @@ whose windows end there. A window is ``length`` consecutive words of an item, or
 the whole item if it has fewer words. Document words inside any occurrence of a
 window are *hit*.
 
-Items are taken in blocks of at most ``BLOCK_BYTES`` bytes of text; each block's
-items are sent to the executors, where every worker builds the automaton once and
-streams the documents by. Benchmarks of one block, the usual case, need one pass
-and no shuffle; more blocks give one pass each, whose spans are merged per text.
+Items are taken in blocks of at most ``BLOCK_BYTES`` bytes of text (a longer item is
+a block of its own), each sent to the executors by itself. There is one pass over the
+documents and no shuffle, whatever the number of blocks: a task gathers texts, builds
+one block's automaton after another, streams the gathered texts through it, and joins
+what the blocks found. With one block, the usual case, a worker builds its automaton
+once.
 
 Defined results: a null text, or one without words, has no words and no hits; a
-null item, or one without words, never occurs; equal items are all found; equal
-rows get equal results; an empty benchmark leaves every document clean; an empty
+null item, or one without words, never occurs; equal items are all found; an item
+id with several rows counts once, whichever of its rows occur; equal rows get equal
+results; columns that clash with an added name are replaced; an empty benchmark leaves every document clean; an empty
 document table gives an empty table. Of both inputs only id and text are read.
 """
 
 from __future__ import annotations
 
 import hashlib
-import itertools
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -30,10 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, ship, text_key
+from .common import ship
 
 #: Text of the items that one automaton holds; a worker needs about 250 times as much memory while it streams.
 BLOCK_BYTES = 1_000_000
+#: Text that a task gathers for each round of the blocks.
+GATHERED_BYTES = 32_000_000
 
 #: Bytes that are not part of a word become spaces: all ASCII but digits and letters; A-Z are lowered.
 _TO_WORDS = bytes(b if b in b"0123456789abcdefghijklmnopqrstuvwxyz" or b > 127 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
@@ -197,20 +201,49 @@ def contamination(
     """
     added = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "clean_text"]
     rest = [c for c in docs.columns if c not in added]
-    base = docs.select(*rest)
-    ship(docs.sparkSession)
-    blocks = item_blocks(benchmark, item_col, item_text, block_bytes)
-    first, second = next(blocks, ()), next(blocks, None)
-    if second is None:
-        return _scan(base, text, first, length, share)
-    spans = None
-    for block in itertools.chain([first, second], blocks):
-        part = keep(_spans(base.select(F.col(text).alias("t")).distinct(), block, length), "spans")
-        spans = part if spans is None else spans.unionByName(part)
-    merged = spans.groupBy("k1", "k2").agg(F.flatten(F.collect_list("spans")).alias("__spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("__items"))
-    keyed = base.select("*", *[k.alias(f"__{n}") for k, n in zip(text_key(F.col(text)), ("k1", "k2"))])
-    joined = keyed.join(merged, (F.col("__k1") == F.col("k1")) & (F.col("__k2") == F.col("k2")), "left").drop("k1", "k2", "__k1", "__k2")
-    return _finish(joined, rest, text, share)
+    spark, at = docs.sparkSession, rest.index(text)
+    ship(spark)
+    sent = [spark.sparkContext.broadcast(block) for block in item_blocks(benchmark, item_col, item_text, block_bytes)]
+
+    def verdicts(gathered: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts = [batch.column(at).to_pylist() for batch in gathered]
+        found = [[([], set()) for _ in own] for own in texts]
+        words = [[words_of(x) for x in own] for own in texts]
+        for block in sent:
+            automaton = _automaton(block.value, length)
+            for own, places in zip(words, found):
+                for ws, (spans, items) in zip(own, places):
+                    more, those = automaton.scan(ws)
+                    spans += more
+                    items |= those
+        for batch, own, ws, places in zip(gathered, texts, words, found):
+            yield _append(batch, [_verdict(x, w, merged(spans) if len(sent) > 1 else spans, items, share) for x, w, (spans, items) in zip(own, ws, places)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gathered, size = [], 0
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 500):
+                part = batch.slice(lo, 500)
+                gathered.append(part)
+                size += part.column(at).get_total_buffer_size() if len(sent) > 1 else GATHERED_BYTES
+                if size >= GATHERED_BYTES:
+                    yield from verdicts(gathered)
+                    gathered, size = [], 0
+        if gathered:
+            yield from verdicts(gathered)
+
+    return docs.select(*rest).mapInArrow(run, _schema(docs.select(*rest), VERDICT))
+
+
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order, overlapping and touching ones as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
 
 
 def _schema(df: DataFrame, more: str) -> str:
@@ -230,55 +263,3 @@ def _append(batch: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
     names = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "clean_text"]
     more = [pa.array(list(c), k) for c, k in zip(zip(*rows) if rows else [[]] * 6, kinds)]
     return pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, *names])
-
-
-def _scan(docs: DataFrame, text: str, items: tuple, length: int, share: int) -> DataFrame:
-    at = docs.columns.index(text)
-    sent = docs.sparkSession.sparkContext.broadcast(items)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = _automaton(sent.value, length)
-        for batch in batches:
-            rows = []
-            for value in batch.column(at).to_pylist():
-                words = words_of(value)
-                rows.append(_verdict(value, words, *automaton.scan(words), share))
-            yield _append(batch, rows)
-
-    return docs.mapInArrow(run, _schema(docs, VERDICT))
-
-
-def _spans(texts: DataFrame, items: tuple, length: int) -> DataFrame:
-    sent = texts.sparkSession.sparkContext.broadcast(items)
-    kind = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("spans", pa.list_(pa.list_(pa.int64()))), ("items", pa.list_(pa.string()))])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = _automaton(sent.value, length)
-        for batch in batches:
-            rows = []
-            for k1, k2, value in zip(*(c.to_pylist() for c in batch.columns)):
-                spans, found = automaton.scan(words_of(value))
-                if spans:
-                    rows.append({"k1": k1, "k2": k2, "spans": [list(s) for s in spans], "items": [str(i) for i in found]})
-            yield pa.RecordBatch.from_pylist(rows, schema=kind)
-
-    return texts.where("t IS NOT NULL").select(*text_key(F.col("t")), "t").mapInArrow(run, "k1 bigint, k2 bigint, spans array<array<bigint>>, items array<string>")
-
-
-def _finish(joined: DataFrame, rest: list[str], text: str, share: int) -> DataFrame:
-    at, n = rest.index(text), len(rest)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for value, spans, items in zip(batch.column(at).to_pylist(), batch.column(n).to_pylist(), batch.column(n + 1).to_pylist()):
-                merged: list[list[int]] = []
-                for a, b in sorted(spans or []):
-                    if merged and a <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], b)
-                    else:
-                        merged.append([a, b])
-                rows.append(_verdict(value, words_of(value), [tuple(s) for s in merged], items or [], share))
-            yield _append(pa.RecordBatch.from_arrays(batch.columns[:n], rest), rows)
-
-    return joined.select(*rest, "__spans", "__items").mapInArrow(run, _schema(joined.select(*rest), VERDICT))
