@@ -1,22 +1,24 @@
 """Best-fit packing by patterns: non-negative least squares on the length histogram.
 
 1. Every text becomes token ids with an end id; longer ones than ``capacity`` are
-   cut into full pieces and a rest.
-2. The histogram of piece lengths (``capacity`` numbers at most) goes to the
-   driver. Lengths are binned to multiples of ``grain``; every pattern of one to
-   three bins that fill a sequence is enumerated, and repeat counts are fitted to
-   the binned histogram by non-negative least squares (active set), then rounded
-   down.
-3. A pattern is filled with exact lengths, longest of each bin first, its last
-   place and whatever room is left by best fit; then the residual lengths are
-   packed by best fit decreasing. All of this moves *runs*: so many sequences of
-   equal make-up at once, a few thousand rows at most whatever the corpus.
+   cut into full pieces and a rest. A full piece is a sequence of its own.
+2. The histogram of the other lengths (``capacity`` numbers at most) goes to the
+   driver. Lengths are binned to multiples of ``grain``; patterns of one to three
+   bins that occur are enumerated, each pair with the largest third bin that still
+   fits, so patterns may leave room. Repeat counts are fitted to the binned
+   histogram, and their sum to the least possible number of sequences, by
+   non-negative least squares (active set), then rounded down.
+3. A pattern is filled with exact lengths, longest of each bin first, and whatever
+   room is left by best fit; then the residual lengths are packed by best fit
+   decreasing. Where best fit decreasing of the whole histogram needs fewer
+   sequences, that is taken. All of this moves *runs*: so many sequences of equal
+   make-up at once, a few thousand rows at most whatever the corpus.
 4. Pieces of a length are numbered and joined to the runs' slots, which gives
    sequence and offset.
 
-Numbering is done in ``BUCKETS`` buckets a length, whose offsets come from a count
-table of ``capacity * BUCKETS`` rows at most, so that one frequent length (full
-pieces above all) is no single task's work.
+Numbering is done in buckets of about ``BUCKET_ROWS`` pieces of a length, so that
+one frequent length is no single task's work; their offsets come from a count table
+of a row a bucket.
 
 Defined results: a null or empty text is one piece, the end id; repeated rows are
 packed each; ids may be null; an empty table gives an empty table; of the input
@@ -26,6 +28,7 @@ only id and text are read.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,14 +41,16 @@ from .tokens import document_ids
 
 CAPACITY = 2048
 GRAIN = 16
-BUCKETS = 64
+#: Pieces of one length that a bucket of the numbering holds, on average.
+BUCKET_ROWS = 100_000
 
 
 def pieces(df: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end: int = 0) -> DataFrame:
-    """``id_col, piece, start, length, ids_crc32`` of every piece."""
+    """``id_col, piece, start, length, ids_crc32`` of every piece, and ``salt``, which deals even equal rows apart."""
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        salt = 0
         for batch in batches:
             rows: list[tuple[int, int, int, int, int]] = []
             for at, value in enumerate(batch.column(1).to_pylist()):
@@ -55,21 +60,21 @@ def pieces(df: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text: str
                     rows.append((at, piece, start, len(part) // 4, zlib.crc32(part)))
             at, *rest = zip(*rows) if rows else [()] * 5
             columns = [batch.column(0).take(pa.array(at, pa.int64())), pa.array(rest[0], pa.int32()), *(pa.array(c, pa.int64()) for c in rest[1:])]
-            yield pa.RecordBatch.from_arrays(columns, [id_col, "piece", "start", "length", "ids_crc32"])
+            columns.append(pa.array(range(salt, salt + len(at)), pa.int64()))
+            salt += len(at)
+            yield pa.RecordBatch.from_arrays(columns, [id_col, "piece", "start", "length", "ids_crc32", "salt"])
 
     kind = dict(df.dtypes)[id_col]
-    return df.select(id_col, text).mapInArrow(run, f"`{id_col}` {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
+    return df.select(id_col, text).mapInArrow(run, f"`{id_col}` {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, salt bigint")
 
 
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int | None = None) -> np.ndarray:
-    """Least ``|a x - b|`` with ``x >= 0``, by the active-set method of Lawson and Hanson on the normal equations."""
-    n = a.shape[1]
-    gram, goal = a.T @ a, a.T @ b
-    x = np.zeros(n)
-    active = np.zeros(n, bool)
-    scale = 1e-6 * max(1.0, float(np.abs(goal).max(initial=0)))
+    """Least ``|a x - b|`` with ``x >= 0``, by the active-set method of Lawson and Hanson."""
+    x = np.zeros(a.shape[1])
+    active = np.zeros(a.shape[1], bool)
+    scale = 1e-6 * max(1.0, float(np.abs(a.T @ b).max(initial=0)))
     for _ in range(rounds or 4 * a.shape[0]):
-        slope = goal - gram @ x
+        slope = a.T @ (b - a @ x)
         slope[active] = -np.inf
         j = int(np.argmax(slope))
         if slope[j] <= scale:
@@ -77,7 +82,8 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int | None = None) -> np.ndarray:
         active[j] = True
         while True:
             places = np.flatnonzero(active)
-            fit = np.linalg.solve(gram[np.ix_(places, places)] + 1e-9 * np.eye(len(places)), goal[places])
+            own = a[:, places]
+            fit = np.linalg.solve(own.T @ own + 1e-9 * np.eye(len(places)), own.T @ b)
             low = fit <= 0
             if not low.any():
                 x[:] = 0
@@ -91,22 +97,60 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int | None = None) -> np.ndarray:
     return x
 
 
-def patterns(bins: int) -> list[tuple[int, ...]]:
-    """Every pattern of at most three bins, largest first, that fills ``bins``."""
-    two = [(i, bins - i) for i in range(bins - 1, 0, -1) if i >= bins - i]
-    three = [(i, j, bins - i - j) for i in range(bins - 2, 0, -1) for j in range(min(i, bins - i - 1), 0, -1) if j >= bins - i - j]
-    return [(bins,), *two, *three]
+def patterns(there: list[int], bins: int) -> list[tuple[int, ...]]:
+    """Patterns of at most three of the bins ``there``, largest first: each bin or pair with the largest further one that fits."""
+    there = sorted(there)
 
+    def widest(room: int, most: int) -> tuple[int, ...]:
+        at = bisect_right(there, min(room, most))
+        return (there[at - 1],) if at else ()
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, grain: int = GRAIN) -> list[tuple[int, list[int]]]:
-    """Runs ``(sequences, lengths)`` that use up ``histogram`` (pieces by length)."""
+    found = {(i, *widest(bins - i, i)) for i in there}
+    found |= {(i, j, *widest(bins - i - j, j)) for i in there for j in there if j <= i and i + j <= bins}
+    return sorted(found)
+
+
+#: ``(sequences, lengths)``: so many sequences of one make-up.
+Runs = list[tuple[int, list[int]]]
+
+
+def best_fit_decreasing(histogram: dict[int, int], capacity: int = CAPACITY) -> Runs:
+    """Best fit decreasing, a run of equal sequences at a time."""
+    open_runs: dict[int, list[tuple[int, list[int]]]] = {}  # by room
+    rooms: list[int] = []  # sorted
+
+    def put(room: int, n: int, lengths: list[int]) -> None:
+        if room not in open_runs:
+            insort(rooms, room)
+        open_runs.setdefault(room, []).append((n, lengths))
+
+    for size in sorted(histogram, reverse=True):
+        left = histogram[size]
+        while left:
+            at = bisect_left(rooms, size)
+            if at == len(rooms):  # no sequence has room: new ones take as many as they hold
+                each = min(capacity // size, left)
+                put(capacity - each * size, left // each, [size] * each)
+                left %= each
+                continue
+            room = rooms[at]
+            n, lengths = open_runs[room].pop()
+            used = min(n, left)
+            if used < n:
+                open_runs[room].append((n - used, lengths))
+            if not open_runs[room]:
+                del open_runs[room], rooms[at]
+            put(room - size, used, [*lengths, size])
+            left -= used
+    return [run for own in open_runs.values() for run in own]
+
+
+def fitted(histogram: dict[int, int], capacity: int = CAPACITY, grain: int = GRAIN) -> Runs:
+    """Runs by patterns: fitted, rounded down, filled; residual lengths by best fit decreasing."""
     left = np.zeros(capacity + 1, np.int64)
     for size, n in histogram.items():
         left[size] = n
-    runs: list[tuple[int, list[int]]] = []
-    if left[capacity]:
-        runs.append((int(left[capacity]), [capacity]))
-        left[capacity] = 0
+    runs: Runs = []
 
     def longest(most: int) -> int:
         """The longest length that is left and not above ``most``, or 0."""
@@ -132,36 +176,47 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, grain: int = GRAIN
         return more + 1
 
     bins = capacity // grain
-    if left.sum():
-        shapes = patterns(bins)
-        a = np.zeros((bins, len(shapes)))
-        for j, shape in enumerate(shapes):
-            for i in shape:
-                a[i - 1, j] += 1
-        target = np.zeros(bins)
-        np.add.at(target, (np.flatnonzero(left) + grain - 1) // grain - 1, left[left > 0])
-        for j, n in enumerate(np.floor(nnls(a, target) + 1e-6).astype(int).tolist()):
-            shape = shapes[j]
-            while n > 0:
-                chosen: list[int] = []
-                for i in shape[:-1]:
-                    lo, hi = (i - 1) * grain + 1, i * grain
-                    options = [x for x in range(hi, lo - 1, -1) if left[x] > chosen.count(x)]
-                    if not options:
+    lengths = np.flatnonzero(left)
+    target = np.zeros(bins)
+    np.add.at(target, (lengths + grain - 1) // grain - 1, left[lengths])
+    shapes = patterns((np.flatnonzero(target) + 1).tolist(), bins)
+    a = np.zeros((bins + 1, len(shapes)))
+    a[bins] = 0.5  # few sequences count beside the fit
+    for j, shape in enumerate(shapes):
+        for i in shape:
+            a[i - 1, j] += 1
+    goal = np.append(target, 0.5 * float(lengths @ left[lengths]) / capacity)
+    unit = max(1.0, float(target.sum()))
+    for j, n in enumerate(np.floor(nnls(a, goal / unit) * unit + 1e-6).astype(int).tolist()):
+        shape = shapes[j]
+        while n > 0:
+            chosen: list[int] = []
+            for i in shape[:-1]:
+                lo, hi = (i - 1) * grain + 1, i * grain
+                options = [x for x in range(hi, lo - 1, -1) if left[x] > chosen.count(x)]
+                if not options:
+                    break
+                chosen.append(options[0])
+            else:
+                if not chosen:
+                    x = longest(min(capacity, shape[0] * grain))
+                    if not x:
                         break
-                    chosen.append(options[0])
-                else:
-                    if not chosen:
-                        x = longest(capacity)
-                        if not x:
-                            break
-                        chosen = [x]
-                    n -= fill(chosen, n)
-                    continue
-                break
-    while x := longest(capacity):
-        fill([x], int(left[x]))
-    return runs
+                    chosen = [x]
+                n -= fill(chosen, n)
+                continue
+            break
+    rest = np.flatnonzero(left)
+    return runs + best_fit_decreasing(dict(zip(rest.tolist(), left[rest].tolist())), capacity)
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, grain: int = GRAIN) -> Runs:
+    """Runs that use up ``histogram`` (pieces by length): by patterns, or by best fit decreasing where that takes fewer sequences."""
+    full = [(histogram[capacity], [capacity])] if histogram.get(capacity) else []
+    rest = {x: n for x, n in histogram.items() if n and x != capacity}
+    if not rest:
+        return full
+    return full + min(fitted(rest, capacity, grain), best_fit_decreasing(rest, capacity), key=lambda runs: sum(n for n, _ in runs))
 
 
 def slots(runs: list[tuple[int, list[int]]]) -> list[tuple[int, int, int, int, int]]:
@@ -179,25 +234,28 @@ def slots(runs: list[tuple[int, list[int]]]) -> list[tuple[int, int, int, int, i
     return out
 
 
-def pack(found: DataFrame, *, id_col: str = "doc_id", capacity: int = CAPACITY, grain: int = GRAIN) -> DataFrame:
-    """Add ``sequence_id`` and ``offset`` to the pieces of ``found``."""
+def pack(found: DataFrame, *, id_col: str = "doc_id", capacity: int = CAPACITY, grain: int = GRAIN, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """``sequence_id`` and ``offset`` in place of the ``salt`` of the pieces of ``found``, which must be stored."""
     spark = found.sparkSession
-    histogram = {r[0]: r[1] for r in found.groupBy("length").count().collect()}  # capacity rows at most
+    columns = [c for c in found.columns if c not in ("sequence_id", "offset", "salt")]
+    full = found.where(F.col("length") == capacity).select(*columns, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    found = found.where(F.col("length") < capacity)
+    histogram = {r[0]: r[1] for r in found.groupBy("length").count().collect()}  # fewer rows than capacity
     ranges = slots(plan(histogram, capacity, grain))
     table = spark.createDataFrame(ranges or [(0, 0, -1, 0, 0)], "length bigint, first bigint, last bigint, base bigint, offset bigint")
-    numbered = found.withColumn("__bucket", F.pmod(F.hash(id_col, "piece"), F.lit(BUCKETS)))
+    #: the slots of a length as an array, so that one hash join by length finds them (their number is bounded as the plan is)
+    by_length = table.groupBy("length").agg(F.array_sort(F.collect_list(F.struct("first", "last", "base", F.col("offset").alias("at")))).alias("__slots"))
+    by_length = by_length.withColumn("__buckets", F.ceil(F.array_max(F.transform("__slots", lambda s: s["last"] + 1)) / bucket_rows))
+    numbered = found.join(F.broadcast(by_length.select("length", "__buckets")), "length").withColumn("__bucket", F.pmod(F.hash(id_col, "piece", "ids_crc32", "salt"), F.greatest("__buckets", F.lit(1)))).drop("__buckets")
     counts = numbered.groupBy("length", "__bucket").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("length", "__bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__base"))
-    within = Window.partitionBy("length", "__bucket").orderBy(id_col, "piece", "ids_crc32")
-    ranked = numbered.withColumn("__rank", F.row_number().over(within) - 1).join(F.broadcast(bases), ["length", "__bucket"])
+    within = Window.partitionBy("length", "__bucket").orderBy(id_col, "piece", "ids_crc32", "salt")
+    ranked = numbered.withColumn("__rank", F.row_number().over(within) - 1).join(bases, ["length", "__bucket"])
     ranked = ranked.withColumn("__rank", F.col("__rank") + F.col("__base")).drop("__base", "__bucket")
-    #: the slots of a length as an array, so that one hash join by length finds them (their number is bounded as the plan is)
-    by_length = table.groupBy("length").agg(F.array_sort(F.collect_list(F.struct("first", "last", "base", F.col("offset").alias("at")))).alias("__slots"))
     hit = F.filter("__slots", lambda s: (s["first"] <= F.col("__rank")) & (F.col("__rank") <= s["last"]))[0]
     placed = ranked.join(F.broadcast(by_length), "length").withColumn("__slot", hit)
-    columns = [c for c in found.columns if c not in ("sequence_id", "offset")]
-    return placed.select(*columns, (F.col("__slot.base") + F.col("__rank") - F.col("__slot.first")).alias("sequence_id"), F.col("__slot.at").alias("offset"))
+    return placed.select(*columns, (F.col("__slot.base") + F.col("__rank") - F.col("__slot.first")).alias("sequence_id"), F.col("__slot.at").alias("offset")).unionByName(full)
 
 
 def pack_documents(df: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text: str = "text", capacity: int = CAPACITY, grain: int = GRAIN) -> DataFrame:
