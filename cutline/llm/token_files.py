@@ -6,8 +6,8 @@ which tasks read in parallel, and each stripe has a row index (least and greates
 values) and a Bloom filter on the document id, so a filter on ids skips files,
 stripes and row groups by their metadata.
 
-A file's rows: the id, ``offset`` (token ids before it in the file) and ``ids``
-with the end id. File names sort as their ranges do.
+A file's rows: the id, ``part`` (the file's number, in the order of the ranges),
+``offset`` (token ids before it in the file) and ``ids`` with the end id.
 
 Defined results: a null or empty text is the end id alone; rows with a null id
 come first; equal ids are ordered by text, equal rows are kept; an empty table
@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,7 +38,7 @@ def write_token_files(df: DataFrame, path: str, vocabulary: str, *, id_col: str
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        offset = 0
+        offset, which = 0, TaskContext.get().partitionId()
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
@@ -45,7 +46,8 @@ def write_token_files(df: DataFrame, path: str, vocabulary: str, *, id_col: str
                 sizes = np.array([len(x) // 4 for x in ids], np.int64)
                 bounds = np.concatenate([[0], np.cumsum(sizes)])
                 lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), "<i4")))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(offset + bounds[:-1]), lists], [id_col, "offset", "ids"])
+                number = pa.array(np.full(len(ids), which, np.int32))
+                yield pa.RecordBatch.from_arrays([part.column(0), number, pa.array(offset + bounds[:-1]), lists], [id_col, "part", "offset", "ids"])
                 offset += int(bounds[-1])
 
     kind = dict(df.dtypes)[id_col]
@@ -58,12 +60,12 @@ def write_token_files(df: DataFrame, path: str, vocabulary: str, *, id_col: str
         "orc.bloom.filter.columns": id_col,
         "orc.bloom.filter.fpp": str(BLOOM_FPP),
     }
-    ordered.mapInArrow(run, f"`{id_col}` {kind}, offset bigint, ids array<int>").write.options(**options).orc(path)
+    ordered.mapInArrow(run, f"`{id_col}` {kind}, part int, offset bigint, ids array<int>").write.options(**options).orc(path)
 
 
-def read_token_files(spark: SparkSession, path: str, id_kind: str = "bigint", id_col: str = "doc_id") -> DataFrame:
-    """The rows of the files with ``file``, their file's name; filters on the id prune by metadata."""
-    return spark.read.schema(f"`{id_col}` {id_kind}, offset bigint, ids array<int>").orc(path).withColumn("file", F.col("_metadata.file_name"))
+def read_token_files(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of the files, with the id's own type; filters on the id prune by metadata."""
+    return spark.read.orc(path)
 
 
 def token_digests(rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -79,11 +81,11 @@ def token_digests(rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
             bounds = lists.offsets.to_numpy()
             values = lists.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False)
             crcs = [zlib.crc32(values[a:b].tobytes()) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.diff(bounds).astype(np.int64)), pa.array(crcs, pa.int64())], [id_col, "offset", "file", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.diff(bounds).astype(np.int64)), pa.array(crcs, pa.int64())], [id_col, "part", "offset", "n_tokens", "ids_crc32"])
 
     kind = dict(rows.dtypes)[id_col]
-    digests = rows.select(id_col, "offset", "file", "ids").mapInArrow(run, f"`{id_col}` {kind}, offset bigint, file string, n_tokens bigint, ids_crc32 bigint")
-    sizes = rows.groupBy("file").agg(F.sum(F.size("ids")).alias("n"))  # a row a file
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sizes.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    return digests.join(bases, "file").select(id_col, (F.col("base") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")
+    digests = rows.select(id_col, "part", "offset", "ids").mapInArrow(run, f"`{id_col}` {kind}, part int, offset bigint, n_tokens bigint, ids_crc32 bigint")
+    sizes = rows.groupBy("part").agg(F.sum(F.size("ids")).alias("n"))  # a row a file
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    return digests.join(bases, "part").select(id_col, (F.col("base") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")

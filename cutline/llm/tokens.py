@@ -3,11 +3,16 @@
 Byte-pair merges work inside pre-tokens, which never reach across the white space
 that splits them; so a text's ids are the ids of its units in order, and a unit
 met before need not be encoded again. Texts in which white space is not single
-are encoded whole by the library.
+are encoded whole by the library; so are all texts where the vocabulary file asks
+for another way of splitting than the two that this is made for.
+
+Special strings (such as ``<|endoftext|>``) in a text become their special ids, as
+the library's plain call has it; texts that hold one are encoded whole.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 
@@ -22,9 +27,10 @@ _DOUBLES = ("  ", "\n\n", " \n", "\n ")
 _OTHER_SPACES = "\t\v\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Beyond these characters a unit is left to the library's own splitting.
 _LATIN = re.compile(r"[\x00-\u024f]*")
-#: How the two kinds of vocabulary split text into pre-tokens.
+#: How the two kinds of vocabulary split text into pre-tokens: byte-level ones by the library's own pattern, the others by that of their file.
 _SPLIT_SPACED = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-_SPLIT_BARE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+_BARE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_SPLIT_BARE = regex.compile(_BARE)
 
 
 def _byte_letters() -> dict[int, int]:
@@ -66,6 +72,22 @@ def single_spaced(text: str) -> bool:
     return True
 
 
+def way_of_splitting(spec: dict) -> str | None:
+    """``spaced`` or ``bare`` where a vocabulary file (parsed) splits text in a way that the cache is made for."""
+    model, pre, normal = spec["model"], spec["pre_tokenizer"] or {}, spec["normalizer"]
+    if model["type"] != "BPE" or any(model.get(x) for x in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges")):
+        return None
+    if normal is None and pre.get("type") == "ByteLevel" and not pre["add_prefix_space"] and pre["use_regex"] and not model.get("end_of_word_suffix"):
+        return "spaced"
+    steps, normals = pre.get("pretokenizers", []), (normal or {}).get("normalizers", [])
+    split, level = steps if len(steps) == 2 else ({}, {})
+    if split.get("pattern") != {"Regex": _BARE} or split.get("behavior") != "Removed" or not split.get("invert"):
+        return None
+    if level.get("type") != "ByteLevel" or level["add_prefix_space"] or level["use_regex"]:
+        return None
+    return "bare" if normals == [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}] else None
+
+
 class CachedTokenizer:
     """Ids as little-endian unsigned 32-bit bytes."""
 
@@ -73,7 +95,8 @@ class CachedTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        spec = json.loads(self.tokenizer.to_str())
+        self.way, self.added = way_of_splitting(spec), [t["content"] for t in spec["added_tokens"]]
         self.model, self.normalizer = self.tokenizer.model, self.tokenizer.normalizer
         self.pieces = _Cache(self._merge)
         self.bare = _Cache(self._unit)
@@ -101,7 +124,9 @@ class CachedTokenizer:
         return b"".join(map(self.pieces.__getitem__, parts))
 
     def ids(self, text: str) -> bytes:
-        """The ids of ``text``, without special tokens."""
+        """The ids of ``text``; none is added to them."""
+        if not self.way or any(x in text for x in self.added):
+            return self.encode(text)
         if self.normalizer:
             return b"".join(map(self.bare.__getitem__, text.replace("\n", " ").split(" ")))
         if not single_spaced(text):
