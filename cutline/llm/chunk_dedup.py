@@ -9,8 +9,9 @@ start) keeps it. Of the others, runs of neighbouring repeated chunks that hold
 ``RUN`` bytes or more are removed; shorter ones are chance and stay.
 
 Shuffles: a count of digests, with map-side sums; the chunks by digest against the
-repeated ones (a join, so a hot digest can be split); the removed spans by row.
-Texts are shuffled once, for the removal.
+repeated ones, where chunks of hot digests stay in place and meet a broadcast of a
+bounded number of digests (``hot_join``); the removed spans by row. Texts are
+shuffled once, for the removal.
 
 Defined results: texts are UTF-8; a null or empty text has no chunks and loses
 nothing; a row with a null id comes before others; rows equal in id and text are
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, ship
+from .common import hot_join, keep, ship
 from .suffix_dedup import merge_spans
 
 LEAST, MOST = 24, 256
@@ -110,10 +111,10 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     """``id, k, chunks`` of rows that have repeated chunks other than at their first place: (seq, start, end)."""
     ship(docs.sparkSession)
     chunks = keep(_chunks(docs, id_col, text), "chunks")
-    twice = chunks.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
-    some = keep(chunks.join(twice, "digest"), "repeated-chunks")
-    first = some.groupBy("digest").agg(F.min(F.struct("id", "k", "seq")).alias("first"))
-    later = some.join(first, "digest").where(~F.struct("id", "k", "seq").eqNullSafe(F.col("first")))
+    twice = keep(chunks.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "repeated-digests")
+    some = keep(hot_join(chunks, twice, ["digest"]).drop("n"), "repeated-chunks")
+    first = keep(some.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "k", "seq")).alias("first")), "first-places")
+    later = hot_join(some, first, ["digest"]).where(~F.struct("id", "k", "seq").eqNullSafe(F.col("first")))
     return later.groupBy("id", "k").agg(F.collect_set(F.struct("seq", "start", (F.col("start") + F.col("size")).alias("end"))).alias("chunks"))
 
 

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import atexit
-import os
 import tempfile
 import uuid
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +15,7 @@ from pyspark.sql.column import Column
 #: Separators of whitespace-delimited words: space, tab to carriage return.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 
+_SHIPPED: set[str] = set()
 _OPENED: list[tuple[SparkSession, str]] = []
 
 
@@ -23,18 +24,25 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package where its root is not on their path yet."""
-    root = str(Path(__file__).resolve().parents[2])
-    env = spark.sparkContext.environment
-    paths = [p for p in env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(":") if p]
-    if root not in paths:
-        env["PYTHONPATH"] = ":".join([root, *paths])
+    """Send this package to the Python workers, once for each application."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp(prefix="cutline-")) / "cutline.zip"  # Spark copies it from here
+    with zipfile.ZipFile(archive, "w") as out:
+        for path in sorted(package.rglob("*.py")):
+            out.write(path, path.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    _SHIPPED.add(context.applicationId)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
+    """The folder that all executors share: ``spark.checkpoint.dir``. Where that is unset, a local session gets one of its own; a cluster must name it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = Path(tempfile.mkdtemp(prefix="cutline-")).as_uri()
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -74,3 +82,19 @@ def keep(df: DataFrame, what: str) -> DataFrame:
 def text_key(text: Column) -> list[Column]:
     """128 bits that stand for a text: rows with equal texts share one analysis."""
     return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text, F.length(text)).alias("k2")]
+
+
+#: A key with more than this share of the rows is hot; there are fewer such keys than its inverse.
+HOT_SHARE = 1 / 2_000
+
+
+def hot_join(rows: DataFrame, keyed: DataFrame, on: list[str], n: str = "n") -> DataFrame:
+    """``rows`` joined with ``keyed``: unique keys, with the number ``n`` of their rows, both stored.
+
+    Rows of hot keys stay where they are and meet their keys by a broadcast of at
+    most ``1 / HOT_SHARE`` rows; the others are shuffled by key.
+    """
+    total = keyed.agg(F.sum(n)).first()[0] or 0
+    hot = keyed.where(F.col(n) > total * HOT_SHARE)
+    rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(keyed.where(F.col(n) <= total * HOT_SHARE), on)
+    return rows.join(F.broadcast(hot), on).unionByName(rest)

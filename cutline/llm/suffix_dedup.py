@@ -25,7 +25,9 @@ collection or a removed span are shuffled. An anchor with more than ``CROWD``
 members is split by the bytes that all windows of a range of starts share, which
 equal windows share too. Ranges that still have more than ``CROWD`` members are
 split to single windows, which are counted by digest with partial sums in each
-task, so no collection holds more members of an anchor or range than that.
+task, so no collection holds more members of an anchor or range than that. The two
+ways give the same windows; ``CROWD`` only says which of them looks. Rows of hot
+anchors and pieces stay in place and meet a broadcast of a bounded number of keys.
 
 Defined results: texts are UTF-8; a null text is empty and stays null in
 ``clean_text``; shorter texts than ``length`` lose nothing; equal rows are repeats
@@ -47,7 +49,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, ship, text_key
+from .common import hot_join, keep, ship, text_key
 
 LENGTH = 400
 GRAM = 100
@@ -351,8 +353,8 @@ def _collections(members: DataFrame, length: int, symbol: int) -> DataFrame:
 
 def _crowded(ranged: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Members of ranges, those of bounded ranges and those of crowded ones."""
-    full = F.broadcast(ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWD).select("part"))
-    return ranged.join(full, "part", "left_anti"), ranged.join(full, "part", "left_semi")
+    parts = keep(ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n")), "parts")
+    return tuple(hot_join(ranged, parts.where(of), ["part"]).drop("n") for of in (F.col("n") <= CROWD, F.col("n") > CROWD))
 
 
 def _counted(members: DataFrame, length: int) -> DataFrame:
@@ -380,12 +382,12 @@ def repeated_spans(docs: DataFrame, text: str = "text", *, length: int = LENGTH,
     ship(docs.sparkSession)
     keyed = docs.where(F.col(text).isNotNull()).select(F.col(text).alias("t")).select(*text_key(F.col("t")), "t")
     pieces = keep(_pieces(keyed, length, gram), "pieces")
-    twice = pieces.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
-    some = keep(pieces.join(twice, "anchor"), "repeated-anchors")
+    twice = keep(pieces.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "anchors")
+    some = keep(hot_join(pieces, twice, ["anchor"]).drop("n"), "repeated-anchors")
     distinct = some.groupBy("anchor", "digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "first", "windows", "place")).alias("at"))
     distinct = keep(distinct, "members")
-    crowds = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    wanted = distinct.join(crowds, "anchor").select("at.k1", "at.k2", F.struct("anchor", "digest", "at.first", "at.windows", "at.place", (F.col("size") > CROWD).alias("crowded")).alias("w"))
+    crowds = keep(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "crowds")
+    wanted = hot_join(distinct, crowds, ["anchor"], "size").select("at.k1", "at.k2", F.struct("anchor", "digest", "at.first", "at.windows", "at.place", (F.col("size") > CROWD).alias("crowded")).alias("w"))
     wanted = wanted.groupBy("k1", "k2").agg(F.collect_list("w").alias("wanted"))
     texts = keyed.join(wanted, ["k1", "k2"])
     crowded = lambda of: texts.withColumn("wanted", F.filter("wanted", lambda w: w["crowded"] == of)).where(F.size("wanted") > 0)
@@ -394,10 +396,12 @@ def repeated_spans(docs: DataFrame, text: str = "text", *, length: int = LENGTH,
         ranged = keep(_members(crowded(True), length).dropDuplicates(["part", "anchor", "digest", "shift"]), "ranges")
         bounded, full = _crowded(ranged)
         found = found.unionByName(_collections(bounded, length, symbol)).unionByName(_counted(full, length))
-    whole = distinct.where("n > 1").select("anchor", "digest", F.lit(0).cast("long").alias("low"), (F.col("at.windows") - 1).cast("long").alias("high"))
-    alone = distinct.where("n = 1").select("anchor", "digest")
-    ranges = whole.unionByName(found.join(alone, ["anchor", "digest"]))
-    spans = some.join(ranges, ["anchor", "digest"]).select("k1", "k2", F.struct((F.col("first") + F.col("low")).alias("a"), (F.col("first") + F.col("high") + length).alias("b")).alias("s"))
+    run = F.struct(F.lit(0).cast("long").alias("low"), (F.col("at.windows") - 1).cast("long").alias("high"))
+    whole = distinct.where("n > 1").select("anchor", "digest", "n", F.array(run).alias("runs"))
+    alone = distinct.where("n = 1").select("anchor", "digest", "n")
+    inside = found.join(alone, ["anchor", "digest"]).groupBy("anchor", "digest").agg(F.first("n").alias("n"), F.collect_list(F.struct("low", "high")).alias("runs"))
+    ranges = hot_join(some, keep(whole.unionByName(inside), "runs"), ["anchor", "digest"]).select("k1", "k2", "first", F.explode("runs").alias("r"))
+    spans = ranges.select("k1", "k2", F.struct((F.col("first") + F.col("r.low")).alias("a"), (F.col("first") + F.col("r.high") + length).alias("b")).alias("s"))
     return keep(spans.groupBy("k1", "k2").agg(F.collect_set("s").alias("spans")), "spans")
 
 
