@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def lag_join(df: DataFrame, by: Sequence[str], season: str, columns: Sequence[str], lags: Sequence[int] = (1, 2, 3)) -> DataFrame:
-    """``prev{lag}_{column}`` of season minus lag; all lags in one shuffle."""
-    moved = df.select(*by, F.explode(F.array(*[F.lit(n) for n in lags])).alias("__lag"), F.col(season).alias("__s"), *columns)
-    moved = moved.withColumn(season, F.col("__s") + F.col("__lag"))
-    wide = moved.groupBy(*by, season).agg(*[F.max(F.when(F.col("__lag") == n, F.col(c))).alias(f"prev{n}_{c}") for n in lags for c in columns])
-    return df.join(wide, [*by, season], "left")
+    """``prev{lag}_{column}`` of season minus lag; ``by`` and ``season`` are unique.
+
+    Frames go by the season's value, so all lags come from one sort of an entity's
+    rows and nothing is joined.
+    """
+    w = Window.partitionBy(*by).orderBy(season)
+    return df.select("*", *[F.max(c).over(w.rangeBetween(-n, -n)).alias(f"prev{n}_{c}") for n in lags for c in columns])
 
 
 def next_season(df: DataFrame, season: str, columns: Sequence[str], prefix: str = "prev_season_") -> DataFrame:

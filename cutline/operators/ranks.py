@@ -1,4 +1,10 @@
-"""Ranks with averaged ties, nearest quantiles and correlations that survive constants."""
+"""Ranks, order statistics and correlations that no single task has to sort a whole group for.
+
+Rows are counted by (group, value) first. Values are dealt to blocks of equal width
+between the group's least and greatest value; a table of a row a block tells how many
+rows stand before each, and windows run inside blocks only. A block is a function of
+the value alone, so ties are never parted.
+"""
 
 from __future__ import annotations
 
@@ -7,20 +13,67 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Blocks of a group's values.
+BLOCKS = 1_024
+
+
+def _block(x: Column, low: Column, high: Column, blocks: int) -> Column:
+    """The block of a value, by where it stands between the group's ends."""
+    at = F.floor((x.cast("double") - low.cast("double")) / F.nullif(high.cast("double") - low.cast("double"), F.lit(0.0)) * blocks)
+    return F.least(F.coalesce(at, F.lit(0)), F.lit(blocks - 1))
+
+
+def _spread(df: DataFrame, by: Sequence[str], column: str, blocks: int, low: str = "__low", high: str = "__high") -> DataFrame:
+    """``df`` with ``__block``; the ends of a group are joined as a table of a row a group."""
+    ends = df.groupBy(*by).agg(F.min(column).alias(low), F.max(column).alias(high))
+    return df.join(ends, list(by)).withColumn("__block", _block(F.col(column), F.col(low), F.col(high), blocks)).drop(low, high)
+
+
+def value_ranks(df: DataFrame, by: Sequence[str], column: str, blocks: int = BLOCKS) -> DataFrame:
+    """``by, column, n`` (rows with the value), ``before`` (rows of the group with a smaller one) and ``total`` (rows of the group), without nulls."""
+    values = df.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count(F.lit(1)).alias("n"))
+    values = _spread(values, by, column, blocks)
+    sizes = values.groupBy(*by, "__block").agg(F.sum("n").alias("__rows"))
+    group = Window.partitionBy(*by)
+    earlier = group.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sizes.select(*by, "__block", F.coalesce(F.sum("__rows").over(earlier), F.lit(0)).alias("__base"), F.sum("__rows").over(group).alias("total"))
+    inside = Window.partitionBy(*by, "__block").orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = values.withColumn("__inside", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(bases, [*by, "__block"])
+    return ranked.select(*by, column, "n", (F.col("__base") + F.col("__inside")).alias("before"), "total")
 
-def average_rank(by: Sequence[str], column: str, descending: bool = False) -> Column:
-    """Rank whose ties share their mean."""
-    order = F.col(column).desc() if descending else F.col(column).asc()
-    first = F.rank().over(Window.partitionBy(*by).orderBy(order))
-    return first + (F.count(F.lit(1)).over(Window.partitionBy(*by, column)) - 1) / 2
 
+def average_ranks(df: DataFrame, by: Sequence[str], column: str, name: str, descending: bool = False, blocks: int = BLOCKS) -> DataFrame:
+    """``df`` without rows whose ``column`` is null, and with ``name``: the rank, whose ties share their mean."""
+    ranks = value_ranks(df, by, column, blocks)
+    first = (F.col("total") - F.col("before") - F.col("n")) if descending else F.col("before")
+    return df.join(ranks.select(*by, column, (first + (F.col("n") + 1) / 2).alias(name)), [*by, column])
 
-def nearest_quantiles(df: DataFrame, by: Sequence[str], column: str, levels: Sequence[float]) -> DataFrame:
+
+def numbered(df: DataFrame, by: Sequence[str], levels: Sequence[str], order: Sequence[Column | str], name: str, descending: Sequence[str] = (), blocks: int = 64) -> DataFrame:
+    """``df`` with ``name``: the row's number from 1 in its group by ``order``, which must be total.
+
+    ``levels`` are numeric columns without nulls that lead ``order`` (those of
+    ``descending`` downwards); rows are blocked by the values of all but the last
+    and by spans of the last.
+    """
+    *exact, last = levels
+    spread = _spread(df, by, last, blocks)
+    keys = [*exact, "__block"]
+    sizes = spread.groupBy(*by, *keys).agg(F.count(F.lit(1)).alias("__rows"))
+    way = lambda k: F.col(k).desc() if (last if k == "__block" else k) in descending else F.col(k).asc()
+    earlier = Window.partitionBy(*by).orderBy(*map(way, keys)).rowsBetween(Window.unboundedPreceding, -1)
+    bases = sizes.select(*by, *keys, F.coalesce(F.sum("__rows").over(earlier), F.lit(0)).alias("__base"))
+    inside = F.row_number().over(Window.partitionBy(*by, *keys).orderBy(*order))
+    ranked = spread.withColumn("__inside", inside).join(bases, [*by, *keys])
+    return ranked.withColumn(name, F.col("__base") + F.col("__inside")).drop("__block", "__inside", "__base")
+
+
+def nearest_quantiles(df: DataFrame, by: Sequence[str], column: str, levels: Sequence[float], blocks: int = BLOCKS) -> DataFrame:
     """The order statistic at ``round((n - 1) level)`` for each level, as ``q{percent}``."""
-    w = Window.partitionBy(*by)
-    ranked = df.where(F.col(column).isNotNull()).select(*by, F.col(column).alias("__x"), (F.row_number().over(w.orderBy(column)) - 1).alias("__i"), F.count(F.lit(1)).over(w).alias("__n"))
-    picks = [F.max(F.when(F.col("__i") == F.floor((F.col("__n") - 1) * a + 0.5), F.col("__x"))).alias(f"q{round(100 * a)}") for a in levels]
-    return ranked.groupBy(*by).agg(*picks)
+    at = lambda a: F.floor((F.col("total") - 1) * a + 0.5)
+    holds = lambda a: (F.col("before") <= at(a)) & (at(a) < F.col("before") + F.col("n"))
+    ranked = value_ranks(df, by, column, blocks)
+    return ranked.groupBy(*by).agg(*[F.max(F.when(holds(a), F.col(column))).alias(f"q{round(100 * a)}") for a in levels])
 
 
 def moment_correlation(x: Column, y: Column) -> Column:
@@ -34,6 +87,12 @@ def moment_correlation(x: Column, y: Column) -> Column:
 
 def spearman(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
     """``spearman`` of each group; null under three pairs."""
-    pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = pairs.select(*by, average_rank(by, x).alias("__rx"), average_rank(by, y).alias("__ry"))
+    pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).alias("__x"), F.col(y).alias("__y"))
+    ranked = average_ranks(average_ranks(pairs, by, "__x", "__rx"), by, "__y", "__ry")
     return ranked.groupBy(*by).agg(F.when(F.count(F.lit(1)) >= 3, moment_correlation(F.col("__rx"), F.col("__ry"))).alias("spearman"))
+
+
+def overall_rank(df: DataFrame, order: Sequence[Column | str], name: str, most: int = 100_000) -> DataFrame:
+    """The first ``most`` rows by ``order`` with their number from 1: a board, sorted and numbered in one task after a top-k in each."""
+    top = df.orderBy(*order).limit(most)
+    return top.withColumn(name, F.row_number().over(Window.orderBy(*order)))

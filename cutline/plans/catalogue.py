@@ -278,8 +278,8 @@ def age_bucket_residuals(spark, sf):
 @query(f"""WITH {CY}, r AS (SELECT grp, season, points, row_number() OVER (PARTITION BY grp, season ORDER BY games DESC, entity) AS k FROM cy)
 SELECT grp, {S("CASE WHEN count(*) >= 3 THEN regr_slope(points, ln(1 + k)) ELSE 0 END")} AS slope, {S("CASE WHEN count(*) >= 3 THEN regr_intercept(points, ln(1 + k)) ELSE avg(points) END")} AS intercept FROM r GROUP BY 1""")
 def rank_calibration_line(spark, sf):
-    order = Window.partitionBy("grp", "season").orderBy(F.col("games").desc(), "entity")
-    ranked = customer_year(spark, sf).select("grp", "points", F.log1p(F.row_number().over(order)).alias("x"))
+    placed = ranks.numbered(customer_year(spark, sf), ["grp", "season"], ["games", "entity"], [F.col("games").desc(), "entity"], "k", descending=["games"])
+    ranked = placed.select("grp", "points", F.log1p("k").alias("x"))
     enough = F.count(F.lit(1)) >= 3
     return ranked.groupBy("grp").agg(steady(F.when(enough, F.regr_slope("points", "x")).otherwise(0.0)).alias("slope"), steady(F.when(enough, F.regr_intercept("points", "x")).otherwise(F.avg("points"))).alias("intercept"))
 
@@ -307,32 +307,46 @@ def quantile_coverage(spark, sf):
     return out.select("grp", *[steady(F.col(f"cover_{n}")).alias(f"cover_{n}") for n in ("low", "mid", "high")])
 
 
-_FOLDS = f"{PANEL}, mu AS (SELECT fold, grp, sum(points) / sum(games) AS mu FROM panel, range(1998, 2002) f(fold) WHERE season < fold GROUP BY ALL)"
+_TESTS = P.folds(1995, 2001)
+#: Training rows of every fold with the mean rate and games of their group there.
+_FOLDS = f"""{PANEL}, tr AS (SELECT fold, panel.* FROM panel, range({_TESTS[0]}, {_TESTS[-1] + 1}) f(fold) WHERE season < fold),
+mu AS (SELECT fold, grp, sum(points) / sum(games) AS mu, avg(games) AS gmu FROM tr GROUP BY ALL)"""
 
 
-def _rung1(spark, sf):
-    panel = _panel(spark, sf)
-    means = P.group_rates(P.training_rows(panel, P.folds(1995, 2001)), ["fold"]).select(F.col("fold").cast("bigint").alias("season"), "grp", "mu")
-    test = panel.where(F.col("season").between(1998, 2001)).join(F.broadcast(means), ["season", "grp"])  # groups x folds rows
-    return P.finish(test, P.rate_estimate([1.0], F.col("mu"), 5), P.games_estimate([1.0], F.lit(2.0), 1), 17.0)
+def _prior_sql(name: str, weights: tuple) -> str:
+    """SQL of one weighted prior in every fold: ``name`` has the panel's columns, ``ppg``, ``g`` and ``pred``."""
+    scale = float(sum(weights))
+    total = lambda c: "(" + " + ".join(f"{w} * coalesce(prev{n}_{c}, 0)" for n, w in enumerate(weights, 1)) + ")"
+    mass = "(" + " + ".join(f"CASE WHEN prev{n}_games IS NOT NULL THEN {w} ELSE 0 END" for n, w in enumerate(weights, 1)) + ")"
+    shrunk = lambda x, n, m, k: f"CASE WHEN {n} + {k} > 0 THEN ({x} + {k} * {m}) / ({n} + {k}) ELSE {m} END"
+    grid = lambda g: ", ".join(f"({k * scale})" for k in g)
+    rate = lambda k: shrunk(total("points"), total("games"), "mu", k)
+    games = lambda k: shrunk(total("games"), mass, "gmu", k)
+    best = lambda c, g, e, a: f"SELECT fold, arg_min(k, (e, k)) AS {c} FROM (SELECT fold, k, avg(({e} - {a}) ** 2) AS e FROM tr JOIN mu USING (fold, grp), (VALUES {grid(g)}) v(k) GROUP BY ALL) GROUP BY 1"
+    return f"""{name}_kr AS ({best("kr", P.RATE_GRID, rate("k"), "points / games")}), {name}_kg AS ({best("kg", P.GAMES_GRID, games("k"), "games")}),
+{name}_raw AS (SELECT panel.*, mu, gmu, {rate("kr")} AS r, {games("kg")} AS h FROM panel JOIN mu ON mu.fold = season AND mu.grp = panel.grp JOIN {name}_kr k1 ON k1.fold = season JOIN {name}_kg k2 ON k2.fold = season),
+{name} AS (SELECT *, CASE WHEN r < 0 THEN 0 ELSE r END AS ppg, CASE WHEN h < 0 THEN 0 WHEN h > 17 THEN 17 ELSE h END AS g, (CASE WHEN r < 0 THEN 0 ELSE r END) * (CASE WHEN h < 0 THEN 0 WHEN h > 17 THEN 17 ELSE h END) AS pred FROM {name}_raw)"""
 
 
-_PRED = "greatest((coalesce(prev1_points, 0) + 5 * mu) / (coalesce(prev1_games, 0) + 5), 0) * CASE WHEN g > 17 THEN 17 ELSE g END"
-_R1 = f"{_FOLDS}, r1 AS (SELECT p.*, mu, {_PRED} AS pred FROM (SELECT *, (coalesce(prev1_games, 0) + 2.0) / (CASE WHEN prev1_games IS NOT NULL THEN 1 ELSE 0 END + 1) AS g FROM panel) p JOIN mu ON mu.fold = p.season AND mu.grp = p.grp)"
+_R1 = f"{_FOLDS}, {_prior_sql('r1', (1.0, 0.0, 0.0))}"
+
+
+def _rung1(spark, sf):
+    return P.weighted_prior(_panel(spark, sf), _TESTS, (1.0, 0.0, 0.0))
 
 
 @query(f"WITH {_R1} SELECT season, count(*)::BIGINT AS n, {S('sqrt(avg((pred - points) ** 2))')} AS rmse, {S('avg(abs(pred - points))')} AS mae FROM r1 GROUP BY 1")
 def walk_forward_rung1(spark, sf):
-    """Rung 1 in every fold; all constants come from seasons before the fold's."""
+    """Rung 1 in every fold: means and both shrinkage constants are fitted on the seasons before the fold's."""
     out = P.errors(_rung1(spark, sf), ["season"], "pred_points", "points")
     return out.select("season", "n", steady(F.col("rmse")).alias("rmse"), steady(F.col("mae")).alias("mae"))
 
 
-@query(f"WITH {_R1}, e AS (SELECT season, (pred - points) ** 2 AS r1, (mu * 2 - points) ** 2 AS r0 FROM r1) SELECT projector, " + ", ".join(f"{S(f'sqrt(avg(e) FILTER (WHERE season = {y}))')} AS y{y}" for y in range(1998, 2002)) + ", count(*)::BIGINT AS n FROM (SELECT season, 'rung1' AS projector, r1 AS e FROM e UNION ALL SELECT season, 'rung0', r0 FROM e) GROUP BY 1")
+@query(f"WITH {_R1}, e AS (SELECT season, (pred - points) ** 2 AS r1, (mu * gmu - points) ** 2 AS r0 FROM r1) SELECT projector, " + ", ".join(f"{S(f'sqrt(avg(e) FILTER (WHERE season = {y}))')} AS y{y}" for y in range(1998, 2002)) + ", count(*)::BIGINT AS n FROM (SELECT season, 'rung1' AS projector, r1 AS e FROM e UNION ALL SELECT season, 'rung0', r0 FROM e) GROUP BY 1")
 def leaderboard_pivot(spark, sf):
     """Error by projector and season, wide, with the number of scored rows."""
     base = _rung1(spark, sf)
-    long = base.select("season", "points", F.explode(F.create_map(F.lit("rung1"), F.col("pred_points"), F.lit("rung0"), F.col("mu") * 2)).alias("projector", "pred"))
+    long = base.select("season", "points", F.explode(F.create_map(F.lit("rung1"), F.col("pred_points"), F.lit("rung0"), F.col("mu") * F.col("games_mu"))).alias("projector", "pred"))
     found = P.errors(long, ["projector", "season"], "pred", "points")
     wide = found.groupBy("projector").pivot("season", [1998, 1999, 2000, 2001]).agg(F.first("rmse"))
     return wide.select("projector", *[steady(F.col(str(y))).alias(f"y{y}") for y in range(1998, 2002)]).join(found.groupBy("projector").agg(F.sum("n").alias("n")), "projector")
@@ -341,7 +355,7 @@ def leaderboard_pivot(spark, sf):
 @query("WITH n AS (SELECT c_nationkey AS nation, c_custkey AS cust, floor(c_acctbal / 1000) AS b FROM customer) SELECT nation, cust, floor(rank() OVER (PARTITION BY nation ORDER BY b DESC) + (count(*) OVER (PARTITION BY nation, b) - 1) / 2)::BIGINT AS pos_rank FROM n")
 def average_rank_desc(spark, sf):
     base = table(spark, sf, "customer").select(F.col("c_nationkey").alias("nation"), F.col("c_custkey").alias("cust"), F.floor(F.col("c_acctbal") / 1000).alias("b"))
-    return base.select("nation", "cust", F.floor(ranks.average_rank(["nation"], "b", descending=True)).cast("bigint").alias("pos_rank"))
+    return ranks.average_ranks(base, ["nation"], "b", "r", descending=True).select("nation", "cust", F.floor("r").cast("bigint").alias("pos_rank"))
 
 
 @query(f"""WITH {CY}, a AS (SELECT entity, 'first' AS source, games FROM cy WHERE season = 1997 AND games >= 3), b AS (SELECT entity, 'second' AS source, games FROM cy WHERE season = 1998)
@@ -367,8 +381,9 @@ def common_coverage_keys(spark, sf):
 def latest_snapshot_before_cutoff(spark, sf):
     """Each user's newest day that is not after the cutoff, a fortnight into the table."""
     events = table(spark, sf, "events").select("user_id", F.to_date("ts").alias("day"), "value")
-    cutoff = F.date_add(F.lit(events.agg(F.min("day")).first()[0]), 14)
-    return asof.latest_before(events, ["user_id"], "day", cutoff).groupBy("user_id", "day").agg(steady(F.sum("value")).alias("total"))
+    cutoff = F.broadcast(events.agg(F.date_add(F.min("day"), 14).alias("cutoff")))  # a row
+    dated = events.join(cutoff, F.col("day") <= F.col("cutoff"))
+    return asof.latest_before(dated, ["user_id"], "day", F.col("cutoff")).groupBy("user_id", "day").agg(steady(F.sum("value")).alias("total"))
 
 
 @query(f"""WITH {SM}, a AS (SELECT l_suppkey AS supp, year(l_shipdate)::BIGINT AS yr, sum(l_quantity) AS n_qty FROM lineitem WHERE l_returnflag = 'N' AND l_quantity > 48 GROUP BY ALL), b AS (SELECT l_suppkey AS supp, year(l_shipdate)::BIGINT AS yr, sum(l_quantity) AS a_qty FROM lineitem WHERE l_returnflag = 'A' AND l_quantity < 3 GROUP BY ALL)
@@ -476,8 +491,7 @@ def union_widened_distinct(spark, sf):
     suppliers = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_nationkey").cast("bigint").alias("nation"))
     customers = table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").cast("bigint").alias("nation"), F.col("c_mktsegment").alias("seg"))
     both = suppliers.unionByName(customers, allowMissingColumns=True).distinct()
-    nth = F.row_number().over(Window.partitionBy("nation").orderBy("k", F.col("seg").asc_nulls_first()))
-    return both.withColumn("nth", nth.cast("bigint"))
+    return ranks.numbered(both, ["nation"], ["k"], ["k", F.col("seg").asc_nulls_first()], "nth").withColumn("nth", F.col("nth").cast("bigint"))
 
 
 _CODES = {0: 100, 5: 105, 9: 109}
@@ -499,11 +513,11 @@ def panel_unplayed_year(spark, sf):
     return lagged.select("entity", "season", "prev1_games", "prev2_games", (F.col("prev1_games").isNull() & F.col("prev2_games").isNull()).alias("rookie"))
 
 
-@query(f"WITH {_R1}, m AS (SELECT season, sqrt(avg((pred - points) ** 2)) AS r1, sqrt(avg((mu * 2 - points) ** 2)) AS r0, stddev_samp(points) AS sd, max(points) AS most FROM r1 GROUP BY 1) SELECT season, {S('r1 - r0')} AS gap, {S('sd')} AS sd, {S('most')} AS most FROM m")
+@query(f"WITH {_R1}, m AS (SELECT season, sqrt(avg((pred - points) ** 2)) AS r1, sqrt(avg((mu * gmu - points) ** 2)) AS r0, stddev_samp(points) AS sd, max(points) AS most FROM r1 GROUP BY 1) SELECT season, {S('r1 - r0')} AS gap, {S('sd')} AS sd, {S('most')} AS most FROM m")
 def metrics_vs_floor(spark, sf):
     """A projector's error beside the floor's, all scalars of a season in one aggregate."""
     square = lambda p: F.sqrt(F.avg(F.pow(p - F.col("points"), F.lit(2))))
-    gap = square(F.col("pred_points")) - square(F.col("mu") * 2)
+    gap = square(F.col("pred_points")) - square(F.col("mu") * F.col("games_mu"))
     return _rung1(spark, sf).groupBy("season").agg(steady(gap).alias("gap"), steady(F.stddev_samp("points")).alias("sd"), steady(F.max("points")).alias("most"))
 
 
@@ -514,3 +528,6 @@ def games_from_trees(spark, sf):
     features = [f"prev{n}_{c}" for n in (1, 2, 3) for c in ("games", "points")]
     out = P.tree_games(panel.where("season < 2001"), panel.where("season = 2001"), features)
     return out.select("entity", "season", "games", clip(F.col("pred"), 0.0, 17.0).alias("pred_games"))
+
+
+from . import catalogue_blocks  # noqa: E402, F401  registers further queries

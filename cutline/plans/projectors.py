@@ -8,13 +8,13 @@ fitted in one job.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import clip, shrink, weight_mass, weighted_sum
-from ..operators.ranks import nearest_quantiles, spearman
+from ..operators.ranks import nearest_quantiles, numbered, overall_rank, spearman
 
 
 def folds(first: int, last: int, min_train: int = 3) -> list[int]:
@@ -28,10 +28,17 @@ def training_rows(panel: DataFrame, tests: Sequence[int], season: str = "season"
 
 
 def group_rates(train: DataFrame, by: Sequence[str], group: str = "grp") -> DataFrame:
-    """``mu`` (points a game) and ``games_mu`` of each group, as ratios of sums."""
+    """``mu`` (points a game, a ratio of sums) and ``games_mu`` of each group."""
     return train.groupBy(*by, group).agg(F.try_divide(F.sum("points"), F.sum("games")).alias("mu"), F.avg("games").alias("games_mu"))
 
 
+def with_rates(df: DataFrame, train: DataFrame, by: Sequence[str] = ("fold",), group: str = "grp") -> DataFrame:
+    """``df`` with ``mu`` and ``games_mu`` of its group in ``train``; groups without training rows get those of all rows."""
+    every = train.groupBy(*by).agg(F.try_divide(F.sum("points"), F.sum("games")).alias("__mu"), F.avg("games").alias("__games"))
+    joined = df.join(group_rates(train, by, group), [*by, group], "left").join(every, list(by), "left")
+    return joined.withColumns({"mu": F.coalesce("mu", "__mu"), "games_mu": F.coalesce("games_mu", "__games")}).drop("__mu", "__games")
+
+
 def rate_estimate(weights: Sequence[float], mu: Column, k: Column | float) -> Column:
     """Points a game from the lagged seasons by weight, shrunk to ``mu``."""
     lags = range(1, len(weights) + 1)
@@ -78,14 +85,231 @@ def coverage(df: DataFrame, by: Sequence[str], actual: str, quantiles: Sequence[
     return df.groupBy(*by).agg(*[F.avg((F.col(actual) <= F.col(q)).cast("double")).alias(f"cover_{q}") for q in quantiles])
 
 
+#: Constants that a fit tries, in units of the weights' sum (rates, games), and for points an opportunity.
+RATE_GRID = tuple(k * 0.5 for k in range(81))
+GAMES_GRID = (0.0, 0.05, 0.1, 0.2, 0.3, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0)
+EFFICIENCY_GRID = (0.0, 5.0, 10.0, 20.0, 30.0, 50.0, 75.0, 100.0, 150.0, 200.0, 300.0, 500.0, 750.0, 1000.0, 2000.0, 5000.0)
+
+
+def grid_errors(total: Column, weight: Column, mu: Column, grid: Sequence[float], actual: Column, volume: Column | None = None) -> Column:
+    """Aggregate: the mean squared error of ``shrink`` at each constant, as an array in the grid's order; rows count by ``volume``."""
+    by = F.lit(1.0) if volume is None else volume
+    return F.array(*[F.avg(F.pow(shrink(total, weight, mu, float(k)) - actual, F.lit(2)) * by) for k in grid])
+
+
+def best_of(errors: Column, grid: Sequence[float]) -> Column:
+    """The first constant with the least error; the first of all where there was nothing to fit."""
+    known = F.array(*[F.lit(float(k)) for k in grid])
+    return F.coalesce(F.try_element_at(known, F.nullif(F.array_position(errors, F.array_min(errors)).cast("int"), F.lit(0))), F.lit(float(grid[0])))
+
+
+def by_constant(errors: DataFrame, by: Sequence[str], column: str, grid: Sequence[float]) -> DataFrame:
+    """``by, k, mse``: an array of errors as rows."""
+    known = F.array(*[F.lit(float(k)) for k in grid])
+    return errors.select(*by, F.explode(F.arrays_zip(known.alias("k"), F.col(column).alias("mse"))).alias("e")).select(*by, F.col("e.k").alias("k"), F.col("e.mse").alias("mse"))
+
+
 def shrink_errors(train: DataFrame, by: Sequence[str], weights: Sequence[float], mu: Column, grid: Sequence[float], actual: Column) -> DataFrame:
-    """``k, mse`` for every constant of ``grid``, in one scan with map-side sums."""
-    rows = train.select(*by, F.explode(F.array(*[F.lit(float(k)) for k in grid])).alias("k"), F.struct(*train.columns).alias("__r")).select("k", "__r.*")
-    return rows.groupBy(*by, "k").agg(F.avg(F.pow(rate_estimate(weights, mu, F.col("k")) - actual, F.lit(2))).alias("mse"))
+    """``k, mse`` for every constant of ``grid``, from one aggregate with map-side sums."""
+    lags = range(1, len(weights) + 1)
+    points, games = (weighted_sum([F.col(f"prev{n}_{c}") for n in lags], list(weights)) for c in ("points", "games"))
+    found = train.groupBy(*by).agg(grid_errors(points, games, mu, grid, actual).alias("errors"))
+    return by_constant(found, by, "errors", grid)
 
 
-def tree_games(train: DataFrame, test: DataFrame, features: Sequence[str], label: str = "games", rounds: int = 20) -> DataFrame:
-    """``pred`` on ``test`` by boosted shallow trees; missing values are imputed and flagged.
+def segment_means(panel: DataFrame, tests: Sequence[int], most: float = 17.0) -> DataFrame:
+    """Rung 0 in every fold: each group's mean rate and games, from seasons before the fold's."""
+    test = panel.where(F.col("season").isin(*tests)).withColumn("fold", F.col("season"))
+    rated = with_rates(test, training_rows(panel, tests).withColumn("fold", F.col("fold").cast(dict(panel.dtypes)["season"])))
+    return finish(rated, F.col("mu"), F.col("games_mu"), most).drop("fold")
+
+
+def weighted_prior(panel: DataFrame, tests: Sequence[int], weights: Sequence[float], bucket: Column | None = None, most: float = 17.0, strength: float = 20.0) -> DataFrame:
+    """Rungs 1 and 2 in every fold: lagged seasons by weight, shrunk to the group's mean by constants fitted before the fold.
+
+    The constants are the best of ``RATE_GRID`` and ``GAMES_GRID``, in units of the
+    weights' sum. ``bucket`` (an age bucket, say) adds the mean residual of its rows
+    in the group, itself shrunk to 0 as if by ``strength`` more rows.
+    """
+    lags, scale = range(1, len(weights) + 1), float(sum(weights))
+    points, games = (weighted_sum([F.col(f"prev{n}_{c}") for n in lags], list(weights)) for c in ("points", "games"))
+    mass = weight_mass([F.col(f"prev{n}_games") for n in lags], list(weights))
+    grids = [k * scale for k in RATE_GRID], [k * scale for k in GAMES_GRID]
+    actual = F.try_divide("points", F.nullif(F.col("games"), F.lit(0.0)))
+    train = training_rows(panel, tests).withColumn("fold", F.col("fold").cast(dict(panel.dtypes)["season"]))
+    base = with_rates(train, train)
+    found = base.groupBy("fold").agg(grid_errors(points, games, F.col("mu"), grids[0], actual).alias("__r"), grid_errors(games, mass, F.col("games_mu"), grids[1], F.col("games")).alias("__g"))
+    fitted = F.broadcast(found.select("fold", best_of(F.col("__r"), grids[0]).alias("k_rate"), best_of(F.col("__g"), grids[1]).alias("k_games")))  # a row a fold
+    rate = shrink(points, games, F.col("mu"), F.col("k_rate"))
+    test = with_rates(panel.where(F.col("season").isin(*tests)).withColumn("fold", F.col("season")), train).join(fitted, "fold")
+    if bucket is not None:
+        residual = base.join(fitted, "fold").withColumn("__bucket", bucket).where(F.col("__bucket").isNotNull()).select("fold", "grp", "__bucket", (actual - rate).alias("__r")).where("__r IS NOT NULL")
+        curve = residual.groupBy("fold", "grp", "__bucket").agg((F.sum("__r") / (F.count(F.lit(1)) + strength)).alias("adjust"))
+        test = test.withColumn("__bucket", bucket).join(curve, ["fold", "grp", "__bucket"], "left").drop("__bucket")
+        rate = rate + F.coalesce("adjust", F.lit(0.0))
+    return finish(test, rate, shrink(games, mass, F.col("games_mu"), F.col("k_games")), most).drop("fold", "adjust")
+
+
+def with_residual_quantiles(predicted: DataFrame, train: DataFrame, by: Sequence[str] = (), levels: Sequence[float] = (0.1, 0.5, 0.9)) -> DataFrame:
+    """``predicted`` with ``pred_q{percent}``: its points and the quantiles of the residuals of ``train``, not below 0."""
+    keyed = train.withColumn("__all", F.lit(1))
+    found = residual_quantiles(keyed, [*by, "__all"], "pred_points", "points", levels)
+    joined = predicted.withColumn("__all", F.lit(1)).join(F.broadcast(found) if not by else found, [*by, "__all"], "left")
+    names = [f"q{round(100 * a)}" for a in levels]
+    return joined.withColumns({f"pred_{q}": clip(F.col("pred_points") + F.col(q), 0.0) for q in names}).drop("__all", *names)
+
+
+def default_ladder() -> dict[str, Callable[[DataFrame, Sequence[int]], DataFrame]]:
+    """The projectors that every other is held against, by name."""
+    return {
+        "segment_mean": segment_means,
+        "last_season_regressed": lambda panel, tests: weighted_prior(panel, tests, (1.0, 0.0, 0.0)),
+        "weighted_prior": lambda panel, tests: weighted_prior(panel, tests, (5.0, 4.0, 3.0)),
+    }
+
+
+def run_walk_forward(panel: DataFrame, tests: Sequence[int], projectors: dict[str, Callable] | None = None, which: str = "history", common: bool = False, key: Sequence[str] = ("entity", "season")) -> DataFrame:
+    """Predictions of every projector on every fold, long: ``projector`` beside the panel's and the predicted columns.
+
+    Only the scored rows are of the cohort ``which``; all rows train. With ``common``
+    a row counts only where every projector has a prediction for it.
+    """
+    long = None
+    for name, projector in (projectors or default_ladder()).items():
+        own = cohort(projector(panel, tests), which).select(*key, "grp", "points", "games", "pred_ppg", "pred_games", "pred_points", F.lit(name).alias("projector"))
+        long = own if long is None else long.unionByName(own)
+    if not common:
+        return long
+    n = len(projectors or default_ladder())
+    shared = long.where("pred_points IS NOT NULL").groupBy(*key).agg(F.count_distinct("projector").alias("n")).where(F.col("n") == n).select(*key)
+    return long.join(shared, list(key), "left_semi")
+
+
+def score_folds(predictions: DataFrame) -> DataFrame:
+    """``projector, season, target, n, rmse, mae``: points, points a game and games of each fold, from one scan."""
+    pairs = {"points": ("pred_points", F.col("points")), "ppg": ("pred_ppg", F.try_divide("points", F.nullif(F.col("games"), F.lit(0.0)))), "games": ("pred_games", F.col("games"))}
+    stacked = F.array(*[F.struct(F.lit(n).alias("target"), F.col(p).alias("pred"), a.cast("double").alias("actual")) for n, (p, a) in pairs.items()])
+    rows = predictions.select("projector", "season", F.explode(stacked).alias("s")).select("projector", "season", "s.*")
+    return errors(rows, ["projector", "season", "target"], "pred", "actual")
+
+
+def summarise(scored: DataFrame) -> DataFrame:
+    """``projector, target, n, rmse, mae`` over folds: rows summed, errors averaged."""
+    return scored.groupBy("projector", "target").agg(F.sum("n").alias("n"), F.avg("rmse").alias("rmse"), F.avg("mae").alias("mae"))
+
+
+def efficiency(panel: DataFrame, train: DataFrame, points: str, opportunities: str, weights: Sequence[float] = (5.0, 4.0, 3.0), group: str = "grp") -> DataFrame:
+    """``panel`` with ``efficiency``: lagged points an opportunity, shrunk to the group's by a constant fitted on ``train`` with rows counted by their opportunities."""
+    lags = range(1, len(weights) + 1)
+    total, volume = (weighted_sum([F.col(f"prev{n}_{c}") for n in lags], list(weights)) for c in (points, opportunities))
+    ratio = lambda x, y: F.try_divide(F.sum(x), F.sum(y))
+    means = train.groupBy(group).agg(ratio(points, opportunities).alias("__mu"))
+    every = F.broadcast(train.agg(ratio(points, opportunities).alias("__mu0")).withColumn("__one", F.lit(1)))  # a row
+    keyed = lambda df: df.withColumn("__one", F.lit(1))
+    rated = lambda df: keyed(df.join(means, group, "left")).join(every, "__one").withColumn("__mu", F.coalesce("__mu", "__mu0")).drop("__mu0")
+    scored = rated(train.where(F.col(opportunities) > 0))
+    found = scored.agg(grid_errors(total, volume, F.col("__mu"), EFFICIENCY_GRID, F.col(points) / F.col(opportunities), F.col(opportunities)).alias("__e"))
+    fitted = F.broadcast(keyed(found.select(best_of(F.col("__e"), EFFICIENCY_GRID).alias("k"))))
+    return rated(panel).join(fitted, "__one").withColumn("efficiency", shrink(total, volume, F.col("__mu"), F.col("k"))).drop("__mu", "k", "__one")
+
+
+def season_from_games(games: DataFrame, seasons: DataFrame, by: Sequence[str], points: str = "game_points", most: float = 17.0) -> DataFrame:
+    """Season predictions from one row a scheduled game: points of all games, scaled to the games that ``seasons`` (``by, pred_games``) expects, and back to a rate."""
+    full = games.groupBy(*by).agg(F.sum(points).alias("__full"), F.count(F.lit(1)).alias("__n"))
+    joined = seasons.join(full, list(by), "left")
+    share = clip(F.col("pred_games"), 0.0, most)
+    total = F.coalesce("__full", F.lit(0.0)) * share / F.coalesce("__n", F.lit(1))
+    rate = F.when(share > 0, total / share).otherwise(F.lit(0.0))
+    return joined.withColumns({"pred_ppg": rate, "pred_games": share}).withColumn("pred_points", F.col("pred_ppg") * F.col("pred_games")).drop("__full", "__n")
+
+
+def blend(first: DataFrame, second: DataFrame, weight: float, key: Sequence[str] = ("entity", "season")) -> DataFrame:
+    """``first`` with rate and games moved by ``weight`` to those of ``second`` (rows that it lacks stay), and points as their product."""
+    other = second.select(*key, F.col("pred_ppg").alias("__p"), F.col("pred_games").alias("__g"))
+    mixed = lambda a, b: (1 - weight) * F.col(a) + weight * F.coalesce(b, a)
+    out = first.join(other, list(key), "left").withColumns({"pred_ppg": mixed("pred_ppg", "__p"), "pred_games": mixed("pred_games", "__g")})
+    return out.withColumn("pred_points", F.col("pred_ppg") * F.col("pred_games")).drop("__p", "__g")
+
+
+def columns_like(df: DataFrame, first: Sequence[str] = (), last: Sequence[str] = (), kinds: Sequence[str] = ()) -> list[str]:
+    """Columns whose name starts or ends so, or whose type is one of ``kinds``, in the table's order."""
+    return [n for n, k in df.dtypes if n.startswith(tuple(first)) or n.endswith(tuple(last)) or k in kinds]
+
+
+def permuted(df: DataFrame, key: str, column: str, name: str) -> DataFrame:
+    """``df`` with ``name``: ``column`` of the row that follows in the order of the key's hash, the first's on the last row."""
+    hashed = df.withColumns({"__all": F.lit(1), "__md5": F.md5(F.col(key).cast("string"))}).withColumn("__h", F.conv(F.substring("__md5", 1, 8), 16, 10).cast("bigint"))
+    placed = numbered(hashed, ["__all"], ["__h"], ["__md5"], "__nth").drop("__md5", "__h")
+    size = F.broadcast(df.agg(F.count(F.lit(1)).alias("__n")).withColumn("__all", F.lit(1)))  # a row
+    before = placed.join(size, "__all").withColumn("__nth", F.col("__nth") % F.col("__n") + 1).drop("__all", "__n")
+    return before.join(placed.select("__nth", F.col(column).alias(name)), "__nth").drop("__nth")
+
+
+def board(sources: Sequence[DataFrame], key: Sequence[str], order: Sequence[Column | str], group: str = "grp", most: int = 100_000) -> DataFrame:
+    """Rows of the first source, then those of each further one whose key is not there yet, with ``rank`` and ``group_rank``."""
+    out = sources[0]
+    for more in sources[1:]:
+        out = out.unionByName(more.join(out.select(*key), list(key), "left_anti"), allowMissingColumns=True)
+    ranked = overall_rank(out, order, "rank", most)
+    return ranked.withColumn("group_rank", F.row_number().over(Window.partitionBy(group).orderBy("rank")))
+
+
+def design(df: DataFrame, exclude: Sequence[str], starts: Sequence[str] = ()) -> tuple[list[str], list[str]]:
+    """Numeric and text columns that a model may see: all but ``exclude`` and those whose names start so, in the table's order."""
+    left = [(n, k) for n, k in df.dtypes if n not in exclude and not n.startswith(tuple(starts))]
+    numeric = [n for n, k in left if k in ("tinyint", "smallint", "int", "bigint", "float", "double", "boolean") or k.startswith("decimal")]
+    return numeric, [n for n, k in left if k == "string"]
+
+
+def with_codes(df: DataFrame, train: DataFrame, columns: Sequence[str], most: int = 1_000) -> DataFrame:
+    """``{column}_code``: the place of each text among the sorted ones of ``train``, from 0; null for what it never saw."""
+    for c in columns:
+        known = sorted(r[0] for r in train.select(c).where(F.col(c).isNotNull()).distinct().limit(most + 1).collect())
+        if len(known) > most:
+            raise ValueError(f"{c} has more than {most} values")
+        place = F.array_position(F.array(*[F.lit(x) for x in known]).cast("array<string>"), F.col(c)) - 1
+        df = df.withColumn(f"{c}_code", F.when(place >= 0, place.cast("double")))
+    return df
+
+
+def engineered_priors(panel: DataFrame, weights: Sequence[float] = (5.0, 4.0, 3.0)) -> DataFrame:
+    """Weighted games, points a weighted game (null without any) and plain games of the lagged seasons."""
+    lags = range(1, len(weights) + 1)
+    games, points = (weighted_sum([F.col(f"prev{n}_{c}") for n in lags], list(weights)) for c in ("games", "points"))
+    total = weighted_sum([F.col(f"prev{n}_games") for n in lags], [1.0] * len(weights))
+    return panel.withColumns({"prior_games_weighted": games, "prior_ppg": F.when(games > 0, F.try_divide(points, games)), "prior_games_total": total})
+
+
+def expand_to_games(panel: DataFrame, schedule: DataFrame, team: str = "team", season: str = "season", columns: Sequence[str] = ("week", "opponent")) -> DataFrame:
+    """One row a scheduled game of each row's team; rows of teams without a schedule have none."""
+    return panel.join(schedule.select(team, season, *columns), [team, season])
+
+
+def rookies_only(projector: Callable[[DataFrame, Sequence[int]], DataFrame]) -> Callable[[DataFrame, Sequence[int]], DataFrame]:
+    """A projector that learns from rookies alone and projects rookies alone."""
+    return lambda panel, tests: projector(panel.where("is_rookie"), tests)
+
+
+def ordered_quantiles(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The row's quantile columns in order and not below 0, so that none crosses another."""
+    at = F.array_sort(F.array(*[clip(F.col(c), 0.0) for c in columns]))
+    return df.withColumn("__q", at).withColumns({c: F.col("__q")[k] for k, c in enumerate(columns)}).drop("__q")
+
+
+def fit_stages(train: DataFrame, features: dict[str, Sequence[str]], rounds: int = 20, tune_on: Column | None = None) -> dict[str, tuple]:
+    """A model for each label of ``features``, with the features of its own."""
+    return {label: (fit_trees(train, own, label, rounds, tune_on), list(own)) for label, own in features.items()}
+
+
+def predict_stages(stages: dict[str, tuple], test: DataFrame, prefix: str = "pred_") -> DataFrame:
+    """``test`` with a prediction for each stage, none below 0."""
+    for label, (model, own) in stages.items():
+        test = predict_trees(model, test, own).withColumn(f"{prefix}{label}", clip(F.col("pred"), 0.0)).drop("pred")
+    return test
+
+
+def _trees(features: Sequence[str], label: str, rounds: int, held_out: str | None = None):
+    """Imputation, absence flags and boosted shallow trees.
 
     The flags carry what native missing-value splits would; monotone limits have no
     counterpart and are left out.
@@ -94,12 +318,40 @@ def tree_games(train: DataFrame, test: DataFrame, features: Sequence[str], label
     from pyspark.ml.feature import Imputer, VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
-    def flagged(df: DataFrame) -> DataFrame:
-        return df.select("*", *[F.col(c).isNull().cast("double").alias(f"{c}_absent") for c in features]).withColumns({c: F.col(c).cast("double") for c in features})
-
+    tuned = {"validationIndicatorCol": held_out, "validationTol": 0.001} if held_out else {}
+    trees = GBTRegressor(labelCol=label, predictionCol="pred", maxDepth=3, stepSize=0.1, maxIter=rounds, subsamplingRate=0.8, minInstancesPerNode=30, seed=0, **tuned)
     stages = [
         Imputer(strategy="median", inputCols=list(features), outputCols=[f"{c}_filled" for c in features]),
         VectorAssembler(inputCols=[f"{c}_{x}" for c in features for x in ("filled", "absent")], outputCol="features"),
-        GBTRegressor(labelCol=label, predictionCol="pred", maxDepth=3, stepSize=0.1, maxIter=rounds, subsamplingRate=0.8, minInstancesPerNode=30, seed=0),
+        trees,
     ]
-    return Pipeline(stages=stages).fit(flagged(train.where(F.col(label).isNotNull()))).transform(flagged(test)).select(*test.columns, "pred")
+    return Pipeline(stages=stages)
+
+
+def _flagged(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    return df.select("*", *[F.col(c).isNull().cast("double").alias(f"{c}_absent") for c in features]).withColumns({c: F.col(c).cast("double") for c in features})
+
+
+def fit_trees(train: DataFrame, features: Sequence[str], label: str = "games", rounds: int = 20, tune_on: Column | None = None, least: int = 5):
+    """A fitted model. With ``tune_on`` (rows such as the last season's), rounds stop where those rows' error stops falling, and all rows are fitted again with as many."""
+    known = _flagged(train.where(F.col(label).isNotNull()), features)
+    if tune_on is not None:
+        tried = _trees(features, label, rounds, "__held").fit(known.withColumn("__held", F.coalesce(tune_on, F.lit(False))))
+        rounds = max(least, len(tried.stages[-1].trees))
+    return _trees(features, label, rounds).fit(known)
+
+
+def predict_trees(model, test: DataFrame, features: Sequence[str]) -> DataFrame:
+    return model.transform(_flagged(test, features)).select(*test.columns, "pred")
+
+
+def importances(model, features: Sequence[str], top: int = 20) -> list[tuple[str, float]]:
+    """The features with the greatest gain, those of a feature's absence with it."""
+    gains = model.stages[-1].featureImportances.toArray()
+    found = [(c, float(gains[2 * k] + gains[2 * k + 1])) for k, c in enumerate(features)]
+    return sorted(found, key=lambda x: (-x[1], x[0]))[:top]
+
+
+def tree_games(train: DataFrame, test: DataFrame, features: Sequence[str], label: str = "games", rounds: int = 20) -> DataFrame:
+    """``pred`` on ``test`` by boosted shallow trees; missing values are imputed and flagged."""
+    return predict_trees(fit_trees(train, features, label, rounds), test, features)

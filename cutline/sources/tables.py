@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+log = logging.getLogger(__name__)
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -32,7 +35,19 @@ def in_window(df: DataFrame, first: int, last: int, season: str = "season") -> D
     return df.where(F.col(season).between(first, last))
 
 
+def empty(spark: SparkSession, schema: StructType | str) -> DataFrame:
+    """No rows, with every column: what a source without files gives."""
+    return spark.createDataFrame([], schema)
+
+
 def curate(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Those of ``columns`` that the source has, in their order; a warning names the others."""
+    if missing := [c for c in columns if c not in df.columns]:
+        log.warning("the source lacks %s", ", ".join(missing))
+    return df.select(*[c for c in columns if c in df.columns])
+
+
+def conform(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``columns`` in their order; those that the source lacks are null strings."""
     return df.select(*[F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in columns])
 
@@ -43,18 +58,78 @@ def require_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df
 
 
-def ingest(spark: SparkSession, steps: dict[str, Callable[[], DataFrame]], folder: str) -> dict[str, str]:
-    """Run pull steps, each to its file; a failing step is reported and the others go on."""
+def clamp_seasons(seasons: Sequence[int], floor: int | None = None) -> list[int]:
+    """Seasons that a source has; a warning names those before its first one, and none left is an error."""
+    kept = [s for s in seasons if floor is None or s >= floor]
+    if dropped := sorted(set(seasons) - set(kept)):
+        log.warning("no data before %s: left out %s", floor, ", ".join(map(str, dropped)))
+    if not kept:
+        raise ValueError(f"no seasons left from {floor} on")
+    return kept
+
+
+def pull(read: Callable[[list[int]], DataFrame], path: str, seasons: Sequence[int], *, floor: int | None = None, columns: Sequence[str] | None = None, schema: StructType | str | None = None) -> str:
+    """Read a source's seasons and write them to ``path``; with ``schema``, columns are cast to it."""
+    df = read(clamp_seasons(seasons, floor))
+    df = curate(df, columns) if columns else df
+    if schema is not None:
+        wanted = empty(df.sparkSession, schema).schema
+        df = require_columns(df, wanted.names).select(*[F.col(f.name).cast(f.dataType) for f in wanted])
+    write(df, path)
+    return path
+
+
+def pull_types(read: Callable[[str, list[int]], DataFrame], types: Sequence[str], folder: str, name: str, seasons: Sequence[int], *, floor: int | None = None) -> dict[str, str]:
+    """One file for each kind of a source, by kind."""
+    return {kind: pull(lambda s, kind=kind: read(kind, s), f"{folder}/{name}_{kind}.parquet", seasons, floor=floor) for kind in types}
+
+
+def ingest(spark: SparkSession, steps: dict[str, Callable[[], object]], folder: str, *, skip: Sequence[str] = ()) -> dict[str, str]:
+    """Run pull steps in order; a failing step is reported and the others go on.
+
+    A step gives the frame to write to its file, or writes by itself and gives what it likes.
+    """
     status = {}
-    for name, pull in steps.items():
+    for name, step in steps.items():
+        if name in skip:
+            status[name] = "skipped"
+            continue
         try:
-            write(pull(), f"{folder}/{name}.parquet")
+            found = step()
+            if isinstance(found, DataFrame):
+                write(found, f"{folder}/{name}.parquet")
             status[name] = "ok"
         except Exception as problem:  # noqa: BLE001  the report is what the caller reads
             status[name] = f"failed: {type(problem).__name__}: {str(problem)[:200]}"
     return status
 
 
+def exit_code(status: dict[str, str]) -> int:
+    """0 where every step went well or was left out."""
+    return int(any(s.startswith("failed") for s in status.values()))
+
+
+def last_seasons(spark: SparkSession, paths: dict[str, str], season: str = "season") -> dict[str, int | None]:
+    """The newest season of each file, read from footers where they have it: shows a pull that fell behind."""
+    return {name: spark.read.parquet(path).agg(F.max(season)).first()[0] for name, path in paths.items()}
+
+
+def console(df: DataFrame, rows: int = 20, digits: int = 2) -> str:
+    """The first rows as a table of fixed precision for the console."""
+    rounded = df.select(*[F.format_number(c, digits).alias(c) if k in ("double", "float") else F.col(c) for c, k in df.dtypes]).limit(rows).collect()
+    cells = [list(df.columns), *[["null" if v is None else str(v) for v in r] for r in rounded]]
+    widths = [max(map(len, column)) for column in zip(*cells)]
+    return "\n".join("  ".join(v.rjust(n) for v, n in zip(line, widths)) for line in cells)
+
+
+def market_report(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``column, present, nulls`` of each expected column, from one scan."""
+    there = [c for c in columns if c in df.columns]
+    counts = df.agg(F.count(F.lit(1)).alias("__rows"), *[F.count_if(F.col(c).isNull()).alias(c) for c in there])
+    rows = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(c in there).alias("present"), (F.col(c) if c in there else F.col("__rows")).alias("nulls")) for c in columns])
+    return counts.select(F.explode(rows).alias("r")).select("r.*")
+
+
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys with more than one row: empty where the grain holds."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
