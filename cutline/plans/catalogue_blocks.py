@@ -257,7 +257,7 @@ def _months(spark, sf, measures: dict[str, str]):
 
 
 def _shown(df, columns):
-    return [steady(F.col(f"{c}_last{w}")).alias(f"{c}_last{w}") for c in columns for w in _ROLLED]
+    return [(steady(F.col(f"{c}_last{w}")) + 0.0).alias(f"{c}_last{w}") for c in columns for w in _ROLLED]  # no negative zero
 
 
 @query(
@@ -275,17 +275,17 @@ def opportunity_rolled(spark, sf):
 
 
 def _profile_sql(measures: dict[str, str], prefix: str) -> str:
-    trailing = ", ".join(f"{S(f'avg({c}) OVER (PARTITION BY supp ORDER BY wk ROWS BETWEEN {w} PRECEDING AND 1 PRECEDING)')} AS {c}_last{w}" for c in measures for w in _ROLLED)
+    trailing = ", ".join(f"{S(f'avg({c}) OVER (PARTITION BY supp ORDER BY wk ROWS BETWEEN {w} PRECEDING AND 1 PRECEDING)')} + 0.0 AS {c}_last{w}" for c in measures for w in _ROLLED)
     means = ", ".join(f"avg({c}) AS {c}" for c in measures)
     return f"""WITH {_month_sql(measures)}, u AS (SELECT * FROM m UNION ALL SELECT DISTINCT supp, 2002, 200201, {", ".join(["NULL"] * len(measures))} FROM m), r AS (SELECT supp, yr, wk, {trailing} FROM u),
-y AS (SELECT supp, yr + 1 AS yr, {means} FROM m GROUP BY ALL) SELECT r.*, {", ".join(f"{S(f'y.{c}')} AS {prefix}{c}" for c in measures)} FROM r LEFT JOIN y USING (supp, yr)"""
+y AS (SELECT supp, yr + 1 AS yr, {means} FROM m GROUP BY ALL) SELECT r.*, {", ".join(f"{S(f'y.{c}')} + 0.0 AS {prefix}{c}" for c in measures)} FROM r LEFT JOIN y USING (supp, yr)"""
 
 
 def _profile(spark, sf, measures: dict[str, str], prefix: str):
     months = _months(spark, sf, measures)
     rolled = blocks.rolled_team(months, "supp", ["yr", "wk"], _ROLLED, {"yr": 2002, "wk": 200201})
     out = rolled.join(blocks.next_season_profile(months, ["supp"], "yr", list(measures), prefix), ["supp", "yr"], "left")
-    return out.select("supp", "yr", "wk", *_shown(out, measures), *[steady(F.col(prefix + c)).alias(prefix + c) for c in measures])
+    return out.select("supp", "yr", "wk", *_shown(out, measures), *[(steady(F.col(prefix + c)) + 0.0).alias(prefix + c) for c in measures])
 
 
 @query(_profile_sql(_TENDENCIES, "prev_season_"))
