@@ -1,9 +1,11 @@
 """Corpus operators against brute force, on a small fixture with nulls, ties, copies and long texts."""
 
+import bisect
 import hashlib
 import math
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -14,7 +16,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from cutline.llm import chunk_dedup, decontaminate, language, licenses, lm_scoring, packing, quality, recurrent, simhash, suffix_dedup, token_files
+from cutline.llm import chunk_dedup, decontaminate, language, licenses, lm_scoring, packing, quality, recurrent, simhash, suffix_dedup, token_files, tokens
 
 WORDS = "alpha beta gamma delta été über niño 1984 x1 the of to Kappa's e-mail ...".split()
 
@@ -48,20 +50,53 @@ def by_id(df):
     return {r["doc_id"]: r.asDict() for r in df.collect()}
 
 
+def licence_forms():
+    """Whole licence files as they are met, with the id that they must get."""
+    L = licenses.LICENCES
+    own = "Copyright (c) 2020, Some One <some@one.org>\nAll rights reserved.\n\n"
+    bullets = re.sub(r"(?m)^[0-9]\. ", "* ", L["BSD-2-Clause"])
+    flat = lambda t: re.sub(r"\s+", " ", t)
+    wrapped = lambda t: "\n".join(textwrap.wrap(flat(t), 60))
+    yield "MIT", "MIT License\n\n" + own + L["MIT"]
+    yield "MIT", "The MIT License (MIT)\r\n\r\n" + own + L["MIT"].replace("\n", "\r\n")
+    yield "MIT", own + wrapped(L["MIT"])
+    yield "MIT", L["MIT"].upper().replace('"', "”")
+    yield "MIT", L["MIT"].replace("sublicense", "sub-license").replace("NONINFRINGEMENT", "NON-INFRINGEMENT")
+    yield "BSD-3-Clause", "BSD 3-Clause License\n\n" + own + L["BSD-3-Clause"]
+    yield "BSD-3-Clause", "New BSD License\n" + own + wrapped(L["BSD-3-Clause"])
+    yield "BSD-3-Clause", own + re.sub(r"(?m)^([0-9])\. ", r"(\1) ", L["BSD-3-Clause"])
+    yield "BSD-2-Clause", own + L["BSD-2-Clause"].replace("COPYRIGHT HOLDER OR", "COPYRIGHT OWNER OR").replace("COPYRIGHT HOLDERS", "COPYRIGHT OWNERS")
+    yield "BSD-2-Clause", "BSD 2-Clause \"Simplified\" License\n" + own + bullets.upper()
+    yield "Apache-2.0", L["Apache-2.0"].split("APPENDIX")[0]
+    yield "Apache-2.0", re.sub(r"(?m)^ +", "", L["Apache-2.0"]).upper().replace("LICENSED", "LICENCED")
+    yield "GPL-3.0", L["GPL-3.0"]
+    yield "Zlib", "zlib License\n(C) 2001 Some One\n" + L["Zlib"].replace("acknowledgment", "acknowledgement")
+    for k in L:
+        yield k, L[k]
+    yield None, L["MIT"].replace("Software", "Hardware")
+    yield None, "MIT License"
+    yield None, "The license of this text is that of the other."
+
+
 def test_licences(spark, docs, empty):
-    mit = licenses.LICENCES["MIT"]
-    texts = [mit, "Copyright (c) 2020 Some One\n\n" + mit.upper().replace(". ", ".\n  "), mit.replace("Software", "Hardware"), "x\nReleased under the MIT License.\nLicenced under CC BY 4.0", None, ""]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    forms = list(licence_forms())
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(forms)], "doc_id bigint, text string")
     found = by_id(licenses.license_scan(df, licenses.registry(spark)))
-    assert [found[i]["licence"] for i in range(6)] == ["MIT", "MIT", None, None, None, None]
-    assert (found[3]["n_notices"], found[3]["notice_licences"], found[3]["licensed"]) == (2, "CC-BY-4.0,MIT", True)
-    frame = df.unionByName(docs.selectExpr("doc_id + 100 AS doc_id", "text")).toPandas()
+    assert [found[i]["licence"] for i in range(len(forms))] == [k for k, _ in forms]
+    assert len(licenses.LICENCES) >= 20
+    lines = ["x\nReleased under the MIT License.\nLicenced under CC BY 4.0", "SPDX-License-Identifier: GPL-3.0-or-later", None, "", "  \n..."]
+    more = spark.createDataFrame([(200 + i, t) for i, t in enumerate(lines)], "doc_id bigint, text string")
+    row = by_id(licenses.license_scan(more.withColumn("licence", F.lit(7)), licenses.registry(spark)))
+    assert [(row[200 + i]["n_notices"], row[200 + i]["notice_licences"], row[200 + i]["licensed"], row[200 + i]["licence"]) for i in range(5)] == [(2, "CC-BY-4.0,MIT", True, None), (1, "GPL-3.0", True, None)] + [(0, "", False, None)] * 3
+    frame = df.unionByName(more).unionByName(docs.selectExpr("doc_id + 300 AS doc_id", "text")).toPandas()
     con = duckdb.connect()
     con.register("documents", frame)
     want = {r[0]: r for r in con.execute(licenses.ORACLE_SQL).fetchall()}
     both = licenses.license_scan(spark.createDataFrame(frame, "doc_id bigint, text string"), licenses.registry(spark)).drop("text")
     assert {r[0]: tuple(r) for r in both.collect()} == want
     assert licenses.license_scan(empty, licenses.registry(spark)).count() == 0
+    twice = spark.createDataFrame([(None, "MIT License\n" + licenses.LICENCES["MIT"])] * 2, "doc_id bigint, text string")
+    assert [r.licence for r in licenses.license_scan(twice, licenses.registry(spark)).collect()] == ["MIT", "MIT"]
 
 
 def removed_bytes(texts, length):
@@ -190,7 +225,6 @@ def library_ids(name, text, end=0):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(vocabulary(name))
-    t.encode_special_tokens = True
     return t.encode(text or "", add_special_tokens=False).ids + [end]
 
 
@@ -215,17 +249,58 @@ def test_packing(docs, empty):
     assert packing.pack_documents(empty, vocabulary("word_bpe_49k.json")).count() == 0
 
 
-def test_plan_is_tight():
+def histograms():
     rng = np.random.default_rng(0)
-    sizes, counts = np.unique(np.minimum(2048, rng.lognormal(5.7, 1, 20000).astype(int) + 1), return_counts=True)
-    runs = packing.plan(dict(zip(sizes.tolist(), counts.tolist())))
+    yield "log-normal", np.minimum(2048, rng.lognormal(5.7, 1, 20000).astype(int) + 1)
+    yield "four sizes", (rng.choice([300, 700, 1100, 1500], 20000) + rng.integers(-20, 21, 20000))
+    yield "uniform 600-1100", rng.integers(600, 1101, 20000)
+    yield "uniform", rng.integers(1, 2049, 20000)
+    yield "thirds", rng.integers(640, 684, 9999)
+    yield "above half", rng.integers(1025, 2048, 5000)
+    yield "one length", np.full(1000, 777)
+    yield "short", rng.integers(1, 40, 20000)
+    yield "full ones", np.r_[np.full(5000, 2048), rng.integers(1, 2048, 100)]
+    yield "one piece", np.array([5])
+    yield "two kinds", np.r_[np.full(3000, 1030), np.full(2000, 1018), np.full(500, 9)]
+
+
+@pytest.mark.parametrize(("name", "sizes"), list(histograms()), ids=[n for n, _ in histograms()])
+def test_plan_is_as_tight_as_best_fit_decreasing(name, sizes):
+    lengths, counts = np.unique(sizes, return_counts=True)
+    histogram = dict(zip(lengths.tolist(), counts.tolist()))
+    runs = packing.plan(histogram)
     placed = Counter()
-    for n, lengths in runs:
-        assert sum(lengths) <= 2048
-        for x in lengths:
+    for n, own in runs:
+        assert sum(own) <= 2048
+        for x in own:
             placed[x] += n
-    assert placed == dict(zip(sizes.tolist(), counts.tolist()))
-    assert sum(n for n, _ in runs) <= math.ceil((sizes * counts).sum() / 2048) + 2
+    assert placed == histogram
+    rooms: list[int] = []  # best fit decreasing, a piece at a time
+    for x in sorted(sizes.tolist(), reverse=True):
+        at = bisect.bisect_left(rooms, x)
+        room = rooms.pop(at) if at < len(rooms) else 2048
+        bisect.insort(rooms, room - x)
+    assert sum(n for n, _ in packing.best_fit_decreasing(histogram)) == len(rooms)
+    assert math.ceil((lengths * counts).sum() / 2048) <= sum(n for n, _ in runs) <= len(rooms)
+    if name == "uniform 600-1100":  # where patterns are the better plan
+        assert sum(n for n, _ in packing.fitted(histogram)) < len(rooms)
+    assert len(packing.slots(runs)) < 30_000
+
+
+def test_hot_length_is_split_over_buckets(spark):
+    rows = [(7, 0, 0, 40, 5, k) for k in range(3000)] + [(k, 0, 0, 2048 if k % 2 else 100, k, k) for k in range(150)]
+    found = spark.createDataFrame(rows, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, salt bigint").repartition(3)
+    got = packing.pack(found, bucket_rows=100).collect()
+    used = defaultdict(list)
+    for r in got:
+        used[r.sequence_id].append((r.offset, r.length))
+    for places in used.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    assert len(got) == len(rows) and len(used) <= 75 + math.ceil((3000 * 40 + 75 * 100) / 2048) + 1
 
 
 def test_token_files(spark, docs, empty, tmp_path):
@@ -243,6 +318,40 @@ def test_token_files(spark, docs, empty, tmp_path):
     assert token_files.token_digests(token_files.read_token_files(spark, str(tmp_path / "none"))).count() == 0
 
 
+def test_token_files_with_other_ids_and_special_strings(spark, tmp_path):
+    texts = ["a <|endoftext|> b", "<|startoftext|>", None, "", "plain", "plain"]
+    df = spark.createDataFrame([(f"d{i}" if i else None, t) for i, t in enumerate(texts)] + [("d4", "plain")], "doc_id string, text string")
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        path = str(tmp_path / name)
+        token_files.write_token_files(df, path, vocabulary(name))
+        got = token_files.token_digests(token_files.read_token_files(spark, path)).collect()
+        assert len(got) == 7 and dict(token_files.read_token_files(spark, path).dtypes)["doc_id"] == "string"
+        assert sorted(r.n_tokens for r in got) == sorted(len(library_ids(name, t)) for t in [*texts, "plain"])
+        assert next(r for r in got if r.doc_id is None).start == 0
+        found = packing.pieces(df, vocabulary(name)).collect()
+        assert sorted(r.ids_crc32 for r in found) == sorted(zlib.crc32(np.array(library_ids(name, t), "<u4").tobytes()) for t in [*texts, "plain"])
+
+
+def test_token_files_go_by_number(spark):
+    """Beyond 99,999 files, names no longer sort as the ranges do."""
+    rows = spark.createDataFrame([(1, 99_999, 0, [5, 0]), (2, 99_999, 2, [0]), (3, 100_000, 0, [7, 8, 0])], "doc_id bigint, part int, offset bigint, ids array<int>")
+    assert {r.doc_id: r.start for r in token_files.token_digests(rows).collect()} == {1: 0, 2: 2, 3: 3}
+
+
+def test_unknown_ways_of_splitting_use_the_library():
+    import json
+
+    spec = json.loads(open(vocabulary("byte_bpe_50k.json")).read())
+    assert tokens.way_of_splitting(spec) == "spaced"
+    assert tokens.way_of_splitting(spec | {"normalizer": {"type": "NFKC"}}) is None
+    spec["pre_tokenizer"] = {"type": "Whitespace"}
+    assert tokens.way_of_splitting(spec) is None
+    other = json.loads(open(vocabulary("word_bpe_49k.json")).read())
+    assert tokens.way_of_splitting(other) == "bare"
+    other["pre_tokenizer"]["pretokenizers"][0]["pattern"] = {"Regex": r"\\w+"}
+    assert tokens.way_of_splitting(other) is None
+
+
 def lm_tokens(text):
     return [*re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate({c: c + 32 for c in range(65, 91)})), " "]
 
@@ -307,7 +416,7 @@ def test_lm_with_nothing_learned(spark):
 def tiny(rng):
     counts = rng.integers(1, 9, (3, 4)).astype(float)
     w = recurrent.initial(rng.random(4) * 9, counts, state=5)
-    return {k: (x + 0.3 * rng.standard_normal(x.shape)).astype(np.float64 if k != "x" else np.float32) for k, x in w.items()}
+    return {k: (x + 0.3 * rng.standard_normal(x.shape)).astype(np.float32) for k, x in w.items()}
 
 
 def dense(w, codes):
@@ -351,7 +460,7 @@ def test_recurrent_gradients():
     real[4:, 0] = False
 
     def loss():
-        states, _ = recurrent.run(w, np.zeros((2, 5)), recurrent.inputs_of(w, before), begins)
+        states = recurrent.run(w, np.zeros((2, 5)), recurrent.inputs_of(w, before), begins)[0]
         return -recurrent.log_probabilities(w, states[real].astype(np.float32), codes[real]).sum()
 
     _, g, rows = recurrent.gradients(w, np.zeros((2, 5)), before, codes, begins, real)
