@@ -71,12 +71,17 @@ def _clean() -> None:
             return
 
 
-def keep(df: DataFrame, what: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
+def stored(df: DataFrame, what: str) -> tuple[DataFrame, str]:
+    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors; with its path, for ``delete``."""
     spark = df.sparkSession
     path = shared_path(spark, what)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def keep(df: DataFrame, what: str) -> DataFrame:
+    """``df`` as it was stored."""
+    return stored(df, what)[0]
 
 
 def text_key(text: Column) -> list[Column]:

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep, ship
+from .common import delete, keep, ship, stored
 
 BITS = 64
 #: Leaves of the index hold up to so many fingerprints.
@@ -191,18 +191,25 @@ def components(links: DataFrame, what: str = "links") -> DataFrame:
 
     The root is the smallest node of the component.
     """
-    current = keep(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), what)
-    while True:
+    spark = links.sparkSession
+    current, path = stored(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), what)
+    before, last = None, _mark(current)
+    while before != last:
         both = current.select("u", "v").union(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        after = keep(small, what)
-        changed = after.exceptAll(current).limit(1).count() or current.exceptAll(after).limit(1).count()
-        current = after
-        if not changed:
-            return current.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        old = path
+        current, path = stored(small, what)
+        delete(spark, old)
+        before, last = last, _mark(current)
+    return current.select(F.col("u").alias("node"), F.col("v").alias("root"))
+
+
+def _mark(links: DataFrame) -> tuple:
+    """What tells one set of links from another: their number and 128 bits of them, from one small aggregate."""
+    return tuple(links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64(F.lit(1), "v", "u"))).first())
 
 
 def _labelled(df: DataFrame, id_col: str, text: str, shingle: int, radius: int) -> DataFrame:
@@ -221,12 +228,18 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", *
 
 
 def one_each(df: DataFrame, rooted: DataFrame, id_col: str, text: str) -> DataFrame:
-    """One row of ``df`` for each root of ``rooted (id_col, k, root)``: least id, then least text hash, nulls last."""
+    """One row of ``df`` for each root of ``rooted (id_col, k, root)``: least id, then least text hash, nulls last.
+
+    Of rows equal in both one stays; only those are shuffled with their texts.
+    """
     stays = rooted.groupBy("root").agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("k"))).alias("s"))
+    several = rooted.groupBy(id_col, "k").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select(F.col(id_col).alias("__id"), F.col("k").alias("__k"))
     stays = stays.select(F.col("s.id").alias("__id"), F.col("s.k").alias("__k"))
-    kept = df.join(stays, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__k")), "left_semi")
+    same = lambda side: F.col(id_col).eqNullSafe(side["__id"]) & (F.xxhash64(text) == side["__k"])
+    kept = df.join(stays, same(stays), "left_semi")
     order = Window.partitionBy(id_col, F.xxhash64(text)).orderBy(F.lit(0))
-    return kept.withColumn("__nth", F.row_number().over(order)).where("__nth = 1").drop("__nth")
+    repeated = kept.join(several, same(several), "left_semi").withColumn("__nth", F.row_number().over(order)).where("__nth = 1").drop("__nth")
+    return kept.join(several, same(several), "left_anti").unionByName(repeated)
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text: str = "text", *, shingle: int = 3, radius: int = 2) -> DataFrame:
