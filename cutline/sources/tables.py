@@ -12,8 +12,10 @@ from pyspark.sql.types import StructType
 log = logging.getLogger(__name__)
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+def table(spark: SparkSession, folder: str, name: str, schema: StructType | str | None = None) -> DataFrame:
+    """A stored table; with ``schema`` nothing is read to find it out."""
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.parquet(f"{folder}/{name}.parquet")
 
 
 def exists(spark: SparkSession, path: str) -> bool:
