@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunk_dedup, decontaminate, language, licenses, lm_scoring, packing, quality, simhash, suffix_dedup, token_files
+from . import alignment, chunk_dedup, decontaminate, language, licenses, lm_scoring, packing, quality, simhash, suffix_dedup, token_counts, token_files, vector_codes
 from .common import read_table, shared_path
 
 QUALITY_COLUMNS = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
@@ -61,6 +61,19 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_digests(token_files.read_token_files(spark, path))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return alignment.align_tokenizers(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict:
     every = (
         op1_license_scans,
@@ -73,9 +86,12 @@ def queries() -> dict:
         op8_lm_scoring,
         op9_simhash_near_dedup,
         op10_token_files,
+        op11_vector_codes,
+        op12_token_counts,
+        op13_tokenizer_alignment,
     )
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict:
-    return {"op1_license_scans": licenses.ORACLE_SQL, "op6_quality_rules": quality.ORACLE_SQL}
+    return {"op1_license_scans": licenses.ORACLE_SQL, "op6_quality_rules": quality.ORACLE_SQL, "op11_vector_codes": vector_codes.ORACLE_SQL}

@@ -25,22 +25,24 @@ CACHE_UNITS = 500_000
 _DOUBLES = ("  ", "\n\n", " \n", "\n ")
 #: White space other than space and line feed.
 _OTHER_SPACES = "\t\v\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: White space as the vocabulary files' patterns have it, for use inside a character class.
+WHITE_SPACE = " \t\n\v\f\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Beyond these characters a unit is left to the library's own splitting.
-_LATIN = re.compile(r"[\x00-\u024f]*")
+LATIN = re.compile(r"[\x00-\u024f]*")
 #: How the two kinds of vocabulary split text into pre-tokens: byte-level ones by the library's own pattern, the others by that of their file.
-_SPLIT_SPACED = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+SPLIT_SPACED = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _BARE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _SPLIT_BARE = regex.compile(_BARE)
 
 
-def _byte_letters() -> dict[int, int]:
+def byte_letters() -> dict[int, int]:
     """The printable character that stands for each byte in byte-level vocabularies."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     hidden = [b for b in range(256) if b not in shown]
     return {b: b for b in shown} | {b: 256 + k for k, b in enumerate(hidden)}
 
 
-_LETTERS = _byte_letters()
+_LETTERS = byte_letters()
 
 _LOADED: dict[str, "CachedTokenizer"] = {}
 
@@ -118,9 +120,9 @@ class CachedTokenizer:
         if unit.isalpha() and unit.isascii():  # one pre-token in either kind of vocabulary
             return self.pieces[unit.lower() if self.normalizer else space + unit]
         unit = space + unit
-        if not _LATIN.fullmatch(unit):
+        if not LATIN.fullmatch(unit):
             return self.encode(unit)
-        parts = _SPLIT_BARE.findall(self.normalizer.normalize_str(unit)) if self.normalizer else _SPLIT_SPACED.findall(unit)
+        parts = _SPLIT_BARE.findall(self.normalizer.normalize_str(unit)) if self.normalizer else SPLIT_SPACED.findall(unit)
         return b"".join(map(self.pieces.__getitem__, parts))
 
     def ids(self, text: str) -> bytes:
