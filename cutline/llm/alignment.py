@@ -96,6 +96,8 @@ class Pair:
         found_a = [e.ids for e in self.a.encode_batch(new, add_special_tokens=False)]
         found_b = self.b.encode([w[1:] if s else w for w, s in zip(new, spaced, strict=True)], num_threads=1)
         for w, s, a, b in zip(new, spaced, found_a, found_b, strict=True):
+            if w == " ":  # B adds no space to an empty text
+                b = [self.start]
             if not s:  # the space that B adds isn't there
                 b = b[1:] if b[:1] == [self.start] else [0]
             own = w.encode()
