@@ -44,6 +44,14 @@ def customer_year(spark: SparkSession, sf: str) -> DataFrame:
     return yearly.join(customers, "entity")
 
 
+def customer_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """``customer_year`` with ``opportunities``: lines of the year's orders."""
+    orders = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("entity"), F.year("o_orderdate").cast("bigint").alias("season"))
+    lines = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("n"))
+    found = orders.join(lines, "o_orderkey").groupBy("entity", "season").agg(F.sum("n").cast("double").alias("opportunities"))
+    return customer_year(spark, sf).join(found, ["entity", "season"], "left").fillna(0.0, ["opportunities"])
+
+
 CY = "cy AS (SELECT o_custkey AS entity, year(o_orderdate)::BIGINT AS season, c_mktsegment AS grp, count(*)::DOUBLE AS games, sum(round(o_totalprice * 100)::BIGINT)::BIGINT / 100000.0 AS points FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL)"
 #: The panel: lags by season number.
 PANEL = CY + ", panel AS (SELECT cy.*, " + ", ".join(f"l{n}.games AS prev{n}_games, l{n}.points AS prev{n}_points" for n in (1, 2, 3)) + " FROM cy " + " ".join(f"LEFT JOIN cy l{n} ON l{n}.entity = cy.entity AND l{n}.season = cy.season - {n}" for n in (1, 2, 3)) + ")"

@@ -530,4 +530,4 @@ def games_from_trees(spark, sf):
     return out.select("entity", "season", "games", clip(F.col("pred"), 0.0, 17.0).alias("pred_games"))
 
 
-from . import catalogue_blocks  # noqa: E402, F401  registers further queries
+from . import catalogue_blocks, catalogue_boosting  # noqa: E402, F401  registers further queries

@@ -1,9 +1,9 @@
 """Projection ladder and its scores, as column algebra over a lagged panel.
 
 A panel has one row an entity-season: ``entity, season, grp, games, points`` and
-lags ``prev{1,2,3}_games`` and ``prev{1,2,3}_points``. Folds are a column: rows
-train a fold where their season is before the fold's, so all folds of a rung are
-fitted in one job.
+lags ``prev{1,2,3}_games`` and ``prev{1,2,3}_points``. Rows train a fold where their
+season is before the fold's; all folds of a rung are fitted from one aggregate by
+season and group (``moments``).
 """
 
 from __future__ import annotations
@@ -14,7 +14,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import clip, shrink, weight_mass, weighted_sum
+from ..operators.lineage import settled
 from ..operators.ranks import nearest_quantiles, numbered, overall_rank, spearman
+from .moments import Fit, before_each_fold, best_constants, fold_means, shrink_sums, with_means
 
 
 def folds(first: int, last: int, min_train: int = 3) -> list[int]:
@@ -22,23 +24,6 @@ def folds(first: int, last: int, min_train: int = 3) -> list[int]:
     return list(range(first + min_train, last + 1))
 
 
-def training_rows(panel: DataFrame, tests: Sequence[int], season: str = "season") -> DataFrame:
-    """Every row once for each fold that it trains, with the fold's season as ``fold``."""
-    return panel.select("*", F.explode(F.filter(F.array(*[F.lit(t) for t in tests]), lambda t: t > F.col(season))).alias("fold"))
-
-
-def group_rates(train: DataFrame, by: Sequence[str], group: str = "grp") -> DataFrame:
-    """``mu`` (points a game, a ratio of sums) and ``games_mu`` of each group."""
-    return train.groupBy(*by, group).agg(F.try_divide(F.sum("points"), F.sum("games")).alias("mu"), F.avg("games").alias("games_mu"))
-
-
-def with_rates(df: DataFrame, train: DataFrame, by: Sequence[str] = ("fold",), group: str = "grp") -> DataFrame:
-    """``df`` with ``mu`` and ``games_mu`` of its group in ``train``; groups without training rows get those of all rows."""
-    every = train.groupBy(*by).agg(F.try_divide(F.sum("points"), F.sum("games")).alias("__mu"), F.avg("games").alias("__games"))
-    joined = df.join(group_rates(train, by, group), [*by, group], "left").join(every, list(by), "left")
-    return joined.withColumns({"mu": F.coalesce("mu", "__mu"), "games_mu": F.coalesce("games_mu", "__games")}).drop("__mu", "__games")
-
-
 def rate_estimate(weights: Sequence[float], mu: Column, k: Column | float) -> Column:
     """Points a game from the lagged seasons by weight, shrunk to ``mu``."""
     lags = range(1, len(weights) + 1)
@@ -117,10 +102,19 @@ def shrink_errors(train: DataFrame, by: Sequence[str], weights: Sequence[float],
     return by_constant(found, by, "errors", grid)
 
 
+def _means(panel: DataFrame, tests: Sequence[int]) -> tuple[DataFrame, DataFrame]:
+    """Mean rate (a ratio of sums) and games of each fold's training rows, by group and over all."""
+    known = F.col("games").isNotNull().cast("double")
+    return fold_means(panel, tests, {"mu": (F.col("points"), F.col("games")), "games_mu": (F.col("games"), known)})
+
+
+def _test_rows(panel: DataFrame, tests: Sequence[int]) -> DataFrame:
+    return panel.where(F.col("season").isin(*tests)).withColumn("fold", F.col("season"))
+
+
 def segment_means(panel: DataFrame, tests: Sequence[int], most: float = 17.0) -> DataFrame:
     """Rung 0 in every fold: each group's mean rate and games, from seasons before the fold's."""
-    test = panel.where(F.col("season").isin(*tests)).withColumn("fold", F.col("season"))
-    rated = with_rates(test, training_rows(panel, tests).withColumn("fold", F.col("fold").cast(dict(panel.dtypes)["season"])))
+    rated = with_means(_test_rows(panel, tests), *_means(panel, tests), ["mu", "games_mu"])
     return finish(rated, F.col("mu"), F.col("games_mu"), most).drop("fold")
 
 
@@ -129,25 +123,30 @@ def weighted_prior(panel: DataFrame, tests: Sequence[int], weights: Sequence[flo
 
     The constants are the best of ``RATE_GRID`` and ``GAMES_GRID``, in units of the
     weights' sum. ``bucket`` (an age bucket, say) adds the mean residual of its rows
-    in the group, itself shrunk to 0 as if by ``strength`` more rows.
+    in the group, itself shrunk to 0 as if by ``strength`` more rows. All folds are
+    fitted from one aggregate over the panel.
     """
     lags, scale = range(1, len(weights) + 1), float(sum(weights))
     points, games = (weighted_sum([F.col(f"prev{n}_{c}") for n in lags], list(weights)) for c in ("points", "games"))
     mass = weight_mass([F.col(f"prev{n}_games") for n in lags], list(weights))
     grids = [k * scale for k in RATE_GRID], [k * scale for k in GAMES_GRID]
     actual = F.try_divide("points", F.nullif(F.col("games"), F.lit(0.0)))
-    train = training_rows(panel, tests).withColumn("fold", F.col("fold").cast(dict(panel.dtypes)["season"]))
-    base = with_rates(train, train)
-    found = base.groupBy("fold").agg(grid_errors(points, games, F.col("mu"), grids[0], actual).alias("__r"), grid_errors(games, mass, F.col("games_mu"), grids[1], F.col("games")).alias("__g"))
-    fitted = F.broadcast(found.select("fold", best_of(F.col("__r"), grids[0]).alias("k_rate"), best_of(F.col("__g"), grids[1]).alias("k_games")))  # a row a fold
+    own, every = _means(panel, tests)
+    rates = Fit(points, games, actual, grids[0])
+    sums = before_each_fold(shrink_sums(panel, ["season", "grp"], [rates, Fit(games, mass, F.col("games"), grids[1])]), tests, ["grp", "fit", "place"])
+    fitted = best_constants(sums, own, {"k_rate": ("mu", grids[0]), "k_games": ("games_mu", grids[1])})
+    test = with_means(_test_rows(panel, tests), own, every, ["mu", "games_mu"])
+    test = test.join(F.broadcast(fitted), "fold", "left")  # a row a fold
+    test = test.withColumns({"k_rate": F.coalesce("k_rate", F.lit(grids[0][0])), "k_games": F.coalesce("k_games", F.lit(grids[1][0]))})
     rate = shrink(points, games, F.col("mu"), F.col("k_rate"))
-    test = with_rates(panel.where(F.col("season").isin(*tests)).withColumn("fold", F.col("season")), train).join(fitted, "fold")
     if bucket is not None:
-        residual = base.join(fitted, "fold").withColumn("__bucket", bucket).where(F.col("__bucket").isNotNull()).select("fold", "grp", "__bucket", (actual - rate).alias("__r")).where("__r IS NOT NULL")
-        curve = residual.groupBy("fold", "grp", "__bucket").agg((F.sum("__r") / (F.count(F.lit(1)) + strength)).alias("adjust"))
+        bucketed = panel.withColumn("__bucket", bucket).where(F.col("__bucket").isNotNull())
+        found = before_each_fold(shrink_sums(bucketed, ["season", "grp", "__bucket"], [rates]), tests, ["grp", "__bucket", "fit", "place"])
+        known = found.join(F.broadcast(fitted.select("fold", "k_rate_place")), "fold").where(F.col("place") == F.col("k_rate_place")).join(own.select("fold", "grp", "mu"), ["fold", "grp"])
+        curve = known.select("fold", "grp", "__bucket", (-(F.col("a") + F.col("b") * F.col("mu")) / (F.col("n") + strength)).alias("adjust"))
         test = test.withColumn("__bucket", bucket).join(curve, ["fold", "grp", "__bucket"], "left").drop("__bucket")
         rate = rate + F.coalesce("adjust", F.lit(0.0))
-    return finish(test, rate, shrink(games, mass, F.col("games_mu"), F.col("k_games")), most).drop("fold", "adjust")
+    return finish(test, rate, shrink(games, mass, F.col("games_mu"), F.col("k_games")), most).drop("fold", "adjust", "k_rate_place", "k_games_place")
 
 
 def with_residual_quantiles(predicted: DataFrame, train: DataFrame, by: Sequence[str] = (), levels: Sequence[float] = (0.1, 0.5, 0.9)) -> DataFrame:
@@ -168,15 +167,17 @@ def default_ladder() -> dict[str, Callable[[DataFrame, Sequence[int]], DataFrame
     }
 
 
-def run_walk_forward(panel: DataFrame, tests: Sequence[int], projectors: dict[str, Callable] | None = None, which: str = "history", common: bool = False, key: Sequence[str] = ("entity", "season")) -> DataFrame:
+def run_walk_forward(panel: DataFrame, tests: Sequence[int], projectors: dict[str, Callable] | None = None, which: str = "history", common: bool = False, key: Sequence[str] = ("entity", "season"), extra: Sequence[str] = ()) -> DataFrame:
     """Predictions of every projector on every fold, long: ``projector`` beside the panel's and the predicted columns.
 
     Only the scored rows are of the cohort ``which``; all rows train. With ``common``
-    a row counts only where every projector has a prediction for it.
+    a row counts only where every projector has a prediction for it. ``extra`` columns are null where a projector has none.
     """
-    long = None
+    long, panel = None, settled(panel)  # every projector reads it several times
     for name, projector in (projectors or default_ladder()).items():
-        own = cohort(projector(panel, tests), which).select(*key, "grp", "points", "games", "pred_ppg", "pred_games", "pred_points", F.lit(name).alias("projector"))
+        made = cohort(projector(panel, tests), which)
+        more = [F.col(c) if c in made.columns else F.lit(None).cast("double").alias(c) for c in extra]
+        own = made.select(*key, "grp", "points", "games", "pred_ppg", "pred_games", "pred_points", *more, F.lit(name).alias("projector"))
         long = own if long is None else long.unionByName(own)
     if not common:
         return long
@@ -198,19 +199,22 @@ def summarise(scored: DataFrame) -> DataFrame:
     return scored.groupBy("projector", "target").agg(F.sum("n").alias("n"), F.avg("rmse").alias("rmse"), F.avg("mae").alias("mae"))
 
 
-def efficiency(panel: DataFrame, train: DataFrame, points: str, opportunities: str, weights: Sequence[float] = (5.0, 4.0, 3.0), group: str = "grp") -> DataFrame:
-    """``panel`` with ``efficiency``: lagged points an opportunity, shrunk to the group's by a constant fitted on ``train`` with rows counted by their opportunities."""
+def fold_efficiency_of(rows: DataFrame, panel: DataFrame, tests: Sequence[int], points: str, opportunities: str, weights: Sequence[float] = (5.0, 4.0, 3.0), group: str = "grp") -> DataFrame:
+    """Test rows with ``efficiency``: lagged points an opportunity, shrunk to the group's by a constant fitted on the seasons of ``panel`` before their fold, rows counted by their opportunities."""
     lags = range(1, len(weights) + 1)
     total, volume = (weighted_sum([F.col(f"prev{n}_{c}") for n in lags], list(weights)) for c in (points, opportunities))
-    ratio = lambda x, y: F.try_divide(F.sum(x), F.sum(y))
-    means = train.groupBy(group).agg(ratio(points, opportunities).alias("__mu"))
-    every = F.broadcast(train.agg(ratio(points, opportunities).alias("__mu0")).withColumn("__one", F.lit(1)))  # a row
-    keyed = lambda df: df.withColumn("__one", F.lit(1))
-    rated = lambda df: keyed(df.join(means, group, "left")).join(every, "__one").withColumn("__mu", F.coalesce("__mu", "__mu0")).drop("__mu0")
-    scored = rated(train.where(F.col(opportunities) > 0))
-    found = scored.agg(grid_errors(total, volume, F.col("__mu"), EFFICIENCY_GRID, F.col(points) / F.col(opportunities), F.col(opportunities)).alias("__e"))
-    fitted = F.broadcast(keyed(found.select(best_of(F.col("__e"), EFFICIENCY_GRID).alias("k"))))
-    return rated(panel).join(fitted, "__one").withColumn("efficiency", shrink(total, volume, F.col("__mu"), F.col("k"))).drop("__mu", "k", "__one")
+    own, every = fold_means(panel, tests, {"__mu": (F.col(points), F.col(opportunities))}, group)
+    fit = Fit(total, volume, F.col(points) / F.col(opportunities), EFFICIENCY_GRID, F.col(opportunities))
+    sums = before_each_fold(shrink_sums(panel.where(F.col(opportunities) > 0), ["season", group], [fit]), tests, [group, "fit", "place"])
+    fitted = best_constants(sums, own, {"__k": ("__mu", EFFICIENCY_GRID)}, group).drop("__k_place")
+    rated = with_means(_test_rows(rows, tests), own, every, ["__mu"], group).join(F.broadcast(fitted), "fold", "left")  # a row a fold
+    return rated.withColumn("efficiency", shrink(total, volume, F.col("__mu"), F.coalesce("__k", F.lit(EFFICIENCY_GRID[0])))).drop("__mu", "__k", "fold")
+
+
+def efficiency(panel: DataFrame, train: DataFrame, points: str, opportunities: str, weights: Sequence[float] = (5.0, 4.0, 3.0), group: str = "grp") -> DataFrame:
+    """``panel`` with ``efficiency`` as ``fold_efficiency_of`` has it, fitted on ``train``."""
+    both = train.withColumn("season", F.lit(0)).unionByName(panel.select("*", F.col("season").alias("__season")).withColumn("season", F.lit(1)), allowMissingColumns=True)
+    return fold_efficiency_of(both, both, [1], points, opportunities, weights, group).withColumn("season", F.col("__season")).select(*panel.columns, "efficiency")
 
 
 def season_from_games(games: DataFrame, seasons: DataFrame, by: Sequence[str], points: str = "game_points", most: float = 17.0) -> DataFrame:
@@ -285,6 +289,14 @@ def expand_to_games(panel: DataFrame, schedule: DataFrame, team: str = "team", s
     return panel.join(schedule.select(team, season, *columns), [team, season])
 
 
+def with_coverage(scored: DataFrame, predictions: DataFrame, quantiles: Sequence[str] = ("pred_q10", "pred_q50", "pred_q90"), target: str = "points") -> DataFrame:
+    """``scored`` with ``cover_{quantile}`` on the rows of ``target``, null on the others: the share of actuals not above each quantile column, over rows that have it."""
+    keys = ["projector", "season"]
+    known = lambda q: F.col(target).isNotNull() & F.col(q).isNotNull()
+    shares = predictions.groupBy(*keys).agg(*[F.avg(F.when(known(q), (F.col(target) <= F.col(q)).cast("double"))).alias(f"cover_{q}") for q in quantiles])
+    return scored.join(shares.withColumn("target", F.lit(target)), [*keys, "target"], "left")
+
+
 def rookies_only(projector: Callable[[DataFrame, Sequence[int]], DataFrame]) -> Callable[[DataFrame, Sequence[int]], DataFrame]:
     """A projector that learns from rookies alone and projects rookies alone."""
     return lambda panel, tests: projector(panel.where("is_rookie"), tests)

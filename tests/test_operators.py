@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from cutline.functions.columns import clip, map_value, piecewise_credit, shrink, weight_mass, weighted_sum
 from cutline.operators import asof, dedupe, priors, ranks, temporal
+from cutline.plans import moments
 from cutline.plans import projectors as P
 from cutline.sources import tables
 
@@ -81,7 +82,8 @@ def test_projection_contract(spark):
     assert rows(P.finish(df, F.col("r"), F.col("g"), 17.0).select("pred_ppg", "pred_games", "pred_points")) == [(0.0, 17.0, 0.0), (2.0, 0.0, 0.0), (3.0, 4.0, 12.0)]
     assert P.folds(2019, 2025) == [2022, 2023, 2024, 2025]
     panel = spark.createDataFrame([(1, 2019, True), (2, 2021, False)], "e int, season int, has_history boolean")
-    assert {(r.e, r.fold) for r in P.training_rows(panel, [2020, 2021]).collect()} == {(1, 2020), (1, 2021)}
+    sums = moments.before_each_fold(panel.groupBy("season", "e").agg(F.count(F.lit(1)).alias("n")), [2020, 2021], ["e"])
+    assert {(r.e, r.fold) for r in sums.collect()} == {(1, 2020), (1, 2021)}
     assert P.cohort(panel, "rookies").count() == 1
     with pytest.raises(ValueError):
         P.cohort(panel, "none")
