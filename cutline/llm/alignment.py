@@ -78,6 +78,9 @@ class Pair:
         self.start = self.b.piece_to_id("▁")
         crossing = any(re.search("[^▁]▁", p) or ("\n" in p and len(p) > 1) for p in pieces)
         self.by_word = not crossing and way_of_splitting(spec) == "spaced" and self._bytes(self.b.encode("a  b\n"), bytes_b) == b" a  b\n"
+        line_a, line_b = self.a.encode("\n", add_special_tokens=False).ids, self.b.encode("\n")[1:]
+        self.by_word &= len(line_a) == len(line_b) == 1
+        self.line_a, self.line_b = line_a[0], line_b[-1]
         self.words: dict[str, tuple[bytes, bytes] | None] = {}
         number = [str(i) for i in range(max(len(bytes_a), len(bytes_b)))]
         self.comma, self.bar, self.semicolon = (np.array([n + mark for n in number], object) for mark in ",|;")
@@ -87,29 +90,60 @@ class Pair:
         return b"".join([own[i] for i in ids])
 
     def learn(self, words: set[str]) -> None:
-        """Tokenize words; None for those that aren't restored."""
+        """Tokenize words that aren't known, all of one kind in one call; None for those that aren't restored."""
         new = [w for w in words if w not in self.words]
         if len(self.words) + len(new) > CACHE_UNITS:
             self.words.clear()
             new = list(words)
-        spaced = [w[0] == " " for w in new]
-        found_a = [e.ids for e in self.a.encode_batch(new, add_special_tokens=False)]
-        found_b = self.b.encode([w[1:] if s else w for w, s in zip(new, spaced, strict=True)], num_threads=1)
-        for w, s, a, b in zip(new, spaced, found_a, found_b, strict=True):
-            if w == " ":  # B adds no space to an empty text
-                b = [self.start]
-            if not s:  # the space that B adds isn't there
-                b = b[1:] if b[:1] == [self.start] else [0]
-            own = w.encode()
-            same = self._bytes(a, self.bytes_a) == own and self._bytes(b, self.bytes_b) == own
-            self.words[w] = (np.array(a, "<i4").tobytes(), np.array(b, "<i4").tobytes()) if same else None
-
-    def encoded(self, text: str) -> Iterator[tuple[bytes, bytes]]:
-        """Ids of A and B in windows that end where both end; nothing for texts that aren't restored."""
+        lines = [w for w in new if w[0] == " " and "\n" not in w and len(w) > 1] if self.by_word else []
+        if lines and not self._learn_lines(lines):
+            lines = []
+        done = set(lines)
+        for w in new:
+            if w not in done:
+                a, b = self.a.encode(w, add_special_tokens=False).ids, self._pieces(w)
+                own = w.encode()
+                same = self._bytes(a, self.bytes_a) == own and self._bytes(b, self.bytes_b) == own
+                self.words[w] = (np.array(a, "<i4").tobytes(), np.array(b, "<i4").tobytes()) if same else None
+
+    def _pieces(self, word: str) -> list[int]:
+        """B's ids of a word with its white space; B itself adds a space to what it reads."""
+        if word == " ":
+            return [self.start]  # B adds none to an empty text
+        if word[0] == " ":
+            return self.b.encode(word[1:])
+        ids = self.b.encode(word)
+        return ids[1:] if ids[:1] == [self.start] else [0]
+
+    def _learn_lines(self, words: list[str]) -> bool:
+        """Learn words, each with a space before it and none with a line feed, as lines of one text: a line feed is a token of its own in both. False if that text isn't restored."""
+        text = "\n".join(words)
+        a, b = self.a.encode(text, add_special_tokens=False).ids, self.b.encode(text[1:])
+        own = text.encode()
+        if self._bytes(a, self.bytes_a) != own or self._bytes(b, self.bytes_b) != own:
+            return False
+        cut = []
+        for ids, end in ((np.array(a, "<i4"), self.line_a), (np.array(b, "<i4"), self.line_b)):
+            ends = np.flatnonzero(ids == end)
+            if len(ends) != len(words) - 1:
+                return False
+            flat = ids.tobytes()
+            cut.append([flat[x:y] for x, y in zip([0, *(4 * ends + 4).tolist()], [*(4 * ends).tolist(), len(flat)], strict=True)])
+        self.words.update(zip(words, zip(*cut, strict=True), strict=True))
+        return True
+
+    def split(self, text: str) -> list[str]:
+        """A space and the text as words with their white space."""
         text = " " + text
-        words = _UNITS.findall(text)[:-1] if self.by_word else [text]  # the last match is empty
-        self.learn(set(words))
-        found = [self.words[w] for w in words]
+        return _UNITS.findall(text)[:-1] if self.by_word else [text]  # the last match is empty
+
+    def encoded(self, words: list[str]) -> Iterator[tuple[bytes, bytes]]:
+        """Ids of A and B in windows that end where both end; nothing for texts that aren't restored."""
+        try:
+            found = [self.words[w] for w in words]
+        except KeyError:  # forgotten meanwhile
+            self.learn(set(words))
+            found = [self.words[w] for w in words]
         if None in found:
             return
         step = WINDOW // 8
@@ -192,11 +226,20 @@ def align_texts(pair: Pair, texts: list[str | None]) -> list[tuple[tuple[int, ..
             pairs[row].append((codes, numbers))
         line = Line(pair)
 
-    for row, text in enumerate(texts):
-        for a, b in pair.encoded(text) if text else ():
-            line.add(row, a, b)
-            if line.size >= WINDOW:
-                flush()
+    lo = 0
+    while lo < len(texts):
+        hi, size = lo, 0
+        while hi < len(texts) and (hi == lo or size + len(texts[hi] or "") <= WINDOW):
+            size += len(texts[hi] or "")
+            hi += 1
+        split = [pair.split(t) if t else [] for t in texts[lo:hi]]
+        pair.learn({w for words in split for w in words})
+        for row, words in enumerate(split, lo):
+            for a, b in pair.encoded(words) if words else ():
+                line.add(row, a, b)
+                if line.size >= WINDOW:
+                    flush()
+        lo = hi
     flush()
     out = []
     for shape, digest, found in zip(shapes.tolist(), digests, pairs, strict=True):
