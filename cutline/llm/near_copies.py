@@ -12,14 +12,27 @@ and those that no other node has go no further.
 
 *Rounds.* First, candidates are the links that the SimHash index gives and, for each
 shingle, the pairs of its nodes with its first ``CENTRES`` ones whose sizes and
-places in the prefixes allow the similarity. Then, for each shingle that more nodes
-have, the pairs with the first nodes of its first ``CENTRES`` components. So a
-shingle of up to ``CENTRES + 1`` nodes has all its pairs tried, and one of more gives
-``2 * CENTRES`` pairs a node at most, however large its group is. A link can only be
-missed where each prefix shingle that two texts share is one of many more texts, and
-neither text is linked to another of its group. Candidates are confirmed in a join
-with both sets, which hold 32 bits of each shingle's hash there: two sets of 1,000
-shingles share 0.0002 by chance.
+places in the prefixes allow the similarity; then, for each shingle that more nodes
+have, the pairs with the first nodes of its first ``CENTRES`` components. That makes
+groups of near copies, however large, one component each, and writes no more than
+``2 * CENTRES`` pairs a node and shingle. It has tried all pairs but those that only
+share shingles of over ``CENTRES + 1`` nodes which are still of several components.
+
+*Signatures.* Nodes of such crowded shingles meet again, by parts of their sets. Two
+sets of ``n`` and ``m`` shingles are similar enough only if they differ in at most
+``(n + m) (DEN - NUM) / (DEN + NUM)`` shingles. Shingles are dealt to so many parts by
+hash that some part has ``k`` differences at most, and each part to ``j`` cells, of
+which ``j - k`` are then equal; so every choice of ``j - k`` cells of every part is a
+signature, and similar sets share one. A signature stands for several shingles at
+once, so passages that many texts share don't make it common; only sets that agree
+in all of a part do. All pairs of a signature's nodes of different components are
+tried. Nodes whose signature more than ``TRIED`` nodes have go on to the next of
+``LEVELS``, with longer signatures; the last has no limit. So no link is lost.
+
+Candidates are confirmed in a join with both sets, which hold 32 bits of each
+shingle's hash there: two sets of 1,000 shingles share 0.0002 by chance. Those of
+signatures meet bitmaps first: each shingle flips one of ``BITMAP`` bits, so two
+bitmaps differ in no more bits than the sets in shingles.
 
 Defined results: words and nulls as in ``simhash``; texts without a word are one
 node; fewer words than a shingle make one shingle of all of them.
@@ -28,6 +41,7 @@ node; fewer words than a shingle make one shingle of all of them.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +53,11 @@ from .common import keep, ship
 from .simhash import bucket_links, components, one_each
 
 SHINGLE = 5
-#: Nodes of a shingle that all its others are tried with.
+#: Nodes of a shingle that all its others are tried with at first.
 CENTRES = 8
+#: Signatures of crowded nodes: differences allowed in a part and cells of a part, level by level, and the nodes of a signature whose pairs are all tried before the last level.
+LEVELS, TRIED = ((2, 5), (3, 7), (5, 10)), 256
+BITMAP = 1_024
 NUM, DEN = 4, 5
 #: Texts of the sample that tells common shingles, how often one is there to be common, and how many are told.
 SAMPLE, COMMON, TOLD = 20_000, 8, 50_000
@@ -193,6 +210,143 @@ def _may_link(n: np.ndarray, at: np.ndarray, m: np.ndarray, to: np.ndarray) -> n
     return (DEN * np.minimum(n, m) >= NUM * np.maximum(n, m)) & ((NUM + DEN) * np.minimum(n - at, m - to) >= NUM * (n + m))
 
 
+#: Bounds of the sizes' classes: sets that are similar enough are of one class or of neighbouring ones.
+_CLASSES = np.cumprod(np.r_[1.0, np.full(200, DEN / NUM)])
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(33))) * _MIX
+    return x ^ (x >> np.uint64(29))
+
+
+def signatures(hashes: np.ndarray, level: int) -> np.ndarray:
+    """Keys of a set (32-bit hashes), at least one of which it shares with every set that is similar enough."""
+    slack, cells = LEVELS[level]
+    own = _mixed(hashes.astype(np.uint64) * _STEP + np.uint64(level + 1))
+    size = int(np.searchsorted(_CLASSES, len(hashes), side="right")) - 1
+    out = []
+    for lower in (size, size - 1):  # pairs of one class and the next meet under the lower class
+        if lower < 0:
+            continue
+        most = int((_CLASSES[lower + 1] + _CLASSES[lower + 2]) * (DEN - NUM) / (DEN + NUM))
+        parts = most // (slack + 1) + 1
+        part, cell = (own >> np.uint64(40)) % np.uint64(parts), (own >> np.uint64(20)) % np.uint64(cells)
+        sums = np.zeros(parts * cells, np.uint64)
+        np.add.at(sums, (part * np.uint64(cells) + cell).astype(np.int64), own)
+        sums = _mixed(sums.reshape(parts, cells) + np.arange(1, cells + 1, dtype=np.uint64) * _STEP)
+        base = np.arange(parts, dtype=np.uint64) * _MIX + np.uint64(lower * 1_000 + level)
+        for k, chosen in enumerate(combinations(range(cells), cells - slack)):
+            out.append(_mixed(base + np.uint64(k * int(_STEP) % 2**64) + sums[:, chosen].sum(axis=1, dtype=np.uint64)))
+    return np.unique(np.concatenate(out)).view(np.int64)
+
+
+def _signed(sets: DataFrame, level: int) -> DataFrame:
+    """``key, node, n`` for every signature of ``sets (node, hashes)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                hashes = np.frombuffer(raw, np.uint32)
+                keys = signatures(hashes, level)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(len(keys), node, np.int64)), pa.array(np.full(len(keys), len(hashes), np.int32))], ["key", "node", "n"])
+
+    return sets.select("node", "hashes").mapInArrow(run, "key bigint, node bigint, n int")
+
+
+def _crossing(dealt: DataFrame, limit: int | None) -> DataFrame:
+    """Pairs ``a, b`` of nodes of one key, of different roots and sizes that allow the similarity; and, with ``b`` null, the nodes of keys with over ``limit`` nodes.
+
+    ``dealt (key, root, node, n)`` is sorted and whole by key in its partitions.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carry = [np.zeros(0, np.int64)] * 4
+
+        def solve(key: np.ndarray, root: np.ndarray, node: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            sizes = np.diff(np.r_[starts, len(key)])
+            several = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)
+            few = several & (sizes <= limit) if limit else several
+            over = np.repeat(several & ~few, sizes)
+            if over.any():
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(node[over])), pa.nulls(len(np.unique(node[over])), pa.int64())], ["a", "b"])
+            kept = np.repeat(few, sizes)
+            key, root, node, n = key[kept], root[kept], node[kept], n[kept]
+            step = 1
+            while step < len(key):
+                near = np.flatnonzero(key[step:] == key[:-step])
+                if not len(near):
+                    break
+                far = near + step
+                fit = (root[near] != root[far]) & (DEN * np.minimum(n[near], n[far]) >= NUM * np.maximum(n[near], n[far]))
+                if fit.any():
+                    pairs = np.unique(np.sort(np.column_stack([node[near[fit]], node[far[fit]]]), axis=1), axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+                step += 1
+
+        for batch in batches:
+            if batch.num_rows:
+                rows = [np.concatenate([c, b.to_numpy().astype(np.int64)]) for c, b in zip(carry, batch.columns, strict=True)]
+                last = int(np.searchsorted(rows[0], rows[0][-1]))
+                if last:
+                    yield from solve(*[x[:last] for x in rows])
+                carry = [x[last:] for x in rows]
+                if limit and len(carry[0]) > 4 * limit and (carry[1] != carry[1][0]).any():  # it is over the limit: what has been seen goes on, enough stays to tell
+                    yield from solve(*carry)
+                    edge = np.unique(np.r_[0, np.flatnonzero(carry[1] != carry[1][0])[:1], np.arange(len(carry[0]) - limit, len(carry[0]))])
+                    carry = [x[edge] for x in carry]
+        if len(carry[0]):
+            yield from solve(*carry)
+
+    return dealt.select("key", "root", "node", "n").mapInArrow(run, "a bigint, b bigint")
+
+
+def _near_bitmaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs ``a, b`` whose sets' bitmaps don't differ in more bits than the sets may in shingles."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            maps, sizes = [], []
+            for raw in batch.column(1).to_pylist():
+                hashes = np.frombuffer(raw, np.uint32)
+                odd = np.bincount((_mixed(hashes.astype(np.uint64)) % np.uint64(BITMAP)).astype(np.int64), minlength=BITMAP) & 1
+                maps.append(np.packbits(odd.astype(np.uint8)).tobytes())
+                sizes.append(len(hashes))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(maps, pa.binary())], ["node", "n", "bits"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("ba", "bb"))
+            n = batch.column("na").to_numpy().astype(np.int64) + batch.column("nb").to_numpy()
+            apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            yield batch.select(["a", "b"]).filter(pa.array((NUM + DEN) * apart <= (DEN - NUM) * n))
+
+    maps = keep(sets.select("node", "hashes").mapInArrow(build, "node bigint, n int, bits binary"), "bitmaps")
+    first, second = (maps.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"b{c}")) for c in "ab")
+    return pairs.join(first, "a").join(second, "b").select("a", "b", "na", "nb", "ba", "bb").mapInArrow(run, "a bigint, b bigint")
+
+
+def _rest_of_crowds(docs: DataFrame, id_col: str, text: str, shingle: int, nodes: DataFrame, shared: DataFrame, links: DataFrame) -> DataFrame:
+    """``node, root`` with the links added that only crowded shingles can tell, given those found so far."""
+    rooted = keep(components(links), "components")
+    known = shared.where("s IS NOT NULL").join(rooted, "node", "left").select("s", "node", F.coalesce("root", "node").alias("root"))
+    mixed = known.groupBy("s").agg(F.count(F.lit(1)).alias("nodes"), F.min("root").alias("low"), F.max("root").alias("high")).where((F.col("nodes") > CENTRES + 1) & (F.col("low") != F.col("high")))
+    crowd = keep(known.join(mixed.select("s"), "s").select("node").distinct(), "crowded")
+    sets = None
+    for level in range(len(LEVELS)):
+        if crowd.isEmpty():
+            break
+        sets = _sets(docs, id_col, text, shingle, nodes, crowd) if sets is None else keep(sets.join(crowd, "node", "left_semi"), "shingle-sets")
+        signed = _signed(sets, level).join(rooted, "node", "left").select("key", F.coalesce("root", "node").alias("root"), "node", "n")
+        limit = TRIED if level + 1 < len(LEVELS) else None
+        found = keep(_crossing(signed.repartition("key").sortWithinPartitions("key", "root", "node"), limit), "crossing")
+        tried = found.where("b IS NOT NULL").distinct()
+        new = _confirmed(keep(_near_bitmaps(tried, sets), "near-bitmaps"), sets)
+        rooted = keep(components(rooted.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(new)), "components")
+        crowd = keep(found.where("b IS NULL").select(F.col("a").alias("node")).distinct(), "crowded")
+    return rooted
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs ``a, b`` whose sets are similar enough."""
 
@@ -211,9 +365,9 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(first, "a").join(second, "b").select("a", "b", "ha", "hb").mapInArrow(run, "a bigint, b bigint")
 
 
-def _sets(docs: DataFrame, id_col: str, text: str, shingle: int, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``node, hashes`` for those of ``nodes (node, at)`` that are in ``pairs``; few, so texts seldom need a shuffle."""
-    wanted = _nodes_of(pairs).join(nodes, "node").select("node", "at.id", "at.k")
+def _sets(docs: DataFrame, id_col: str, text: str, shingle: int, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``node, hashes`` for those of ``nodes (node, at)`` that are ``wanted``; few, so texts seldom need a shuffle."""
+    wanted = wanted.join(nodes, "node").select("node", "at.id", "at.k")
     wanted = keep(wanted, "wanted").select("node", F.col("id").alias("__id"), F.col("k").alias("__k"))
     owners = docs.select(F.col(id_col).alias("id"), F.col(text).alias("t"))
     texts = owners.join(wanted, owners.id.eqNullSafe(wanted["__id"]) & (F.xxhash64("t") == wanted["__k"])).select("node", "t")
@@ -250,16 +404,17 @@ def labelled(docs: DataFrame, id_col: str = "doc_id", text: str = "text", *, shi
     tried = near.select("x", "y").unionByName(equal).unionByName(star).where("x <> y")
     tried = keep(tried.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "candidates")
 
-    sets = _sets(docs, id_col, text, shingle, nodes, tried)
+    sets = _sets(docs, id_col, text, shingle, nodes, _nodes_of(tried))
     links = keep(_confirmed(tried, sets), "confirmed")
     rooted = components(links)
 
     known = shared.where("s IS NOT NULL").join(rooted, "node", "left").select("s", F.coalesce("root", "node").alias("root"), "node", _packed())
     rest = _starred(known.repartition("s").sortWithinPartitions("s", "root", "node")).where("a IS NOT NULL").select("a", "b").distinct()
     rest = keep(rest.join(tried, ["a", "b"], "left_anti"), "candidates")
-    more = _sets(docs, id_col, text, shingle, nodes.join(sets, "node", "left_anti"), rest)
+    more = _sets(docs, id_col, text, shingle, nodes.join(sets, "node", "left_anti"), _nodes_of(rest))
     again = sets.join(_nodes_of(rest), "node", "left_semi").unionByName(more)
-    rooted = components(links.unionByName(_confirmed(rest, again)))
+    links = keep(links.unionByName(_confirmed(rest, again)), "confirmed")
+    rooted = _rest_of_crowds(docs, id_col, text, shingle, nodes, shared, links)
     named = rows.join(rooted, "node", "left")
     return named.select(F.col("id").alias(id_col), "k", F.coalesce("root", "node").alias("root"))
 

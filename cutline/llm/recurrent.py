@@ -252,19 +252,22 @@ def train(learner: Learner, documents: Sequence[np.ndarray], lanes: int = LANES,
     if not dealt:
         return
     sizes = np.array([sum(map(len, x)) for x in dealt])
-    whole = np.zeros((len(dealt), int(sizes[0])), np.int32)
-    begins = np.zeros(whole.shape, bool)
-    for k, x in enumerate(dealt):
-        whole[k, : sizes[k]] = np.concatenate(x)
-        begins[k, np.cumsum([0, *map(len, x[:-1])])] = True
-    before = np.where(begins, -1, np.roll(whole, 1, axis=1))
+    # lanes stand one after another, so a long document takes its own length only; windows are cut from there
+    flat = np.concatenate([d for x in dealt for d in x]).astype(np.int32)
+    first = np.cumsum([0, *sizes[:-1]])
+    begins = np.zeros(len(flat), bool)
+    begins[np.cumsum([0, *(len(d) for x in dealt for d in x)])[:-1]] = True
     state = np.zeros((len(dealt), learner.weights["gates"].shape[0]), np.float32)
-    t = 0
-    while t < whole.shape[1]:
+    t, longest = 0, int(sizes[0])
+    while t < longest:
         n = int(np.searchsorted(-sizes, -t, side="left"))
-        part = slice(t, min(t + min(max(window, lanes * window // n), LONGEST), whole.shape[1]))
-        codes = whole[:n, part].T.astype(np.int64)
-        real = np.arange(part.start, part.stop)[:, None] < sizes[None, :n]
-        state, g, rows = gradients(learner.weights, state[:n], before[:n, part].T.astype(np.int64), codes, begins[:n, part].T, real)
+        stop = min(t + min(max(window, lanes * window // n), LONGEST), longest)
+        steps = np.arange(t, stop)[:, None]
+        real = steps < sizes[None, :n]
+        at = first[None, :n] + np.where(real, steps, t)
+        fresh = begins[at] & real
+        codes = np.where(real, flat[at], 0).astype(np.int64)
+        before = np.where(fresh, -1, np.where(real, flat[np.maximum(at - 1, 0)], 0)).astype(np.int64)
+        state, g, rows = gradients(learner.weights, state[:n], before, codes, fresh, real)
         learner.update(g, rows)
-        t = part.stop
+        t = stop

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -69,9 +70,11 @@ def check_near_dedup(spark):
     assert corpus_pipeline.near_dedup(spark, docs.limit(0), "").count() == 0
 
 
-def test_recall_in_groups_beyond_the_centres(spark, monkeypatch):
-    """Many near copies at the very limit, and a passage that many texts share: of all linked pairs at least 0.9 are in one group, and no other pair is."""
-    monkeypatch.setattr(near_copies, "CENTRES", 2)
+@pytest.mark.parametrize(("centres", "tried"), [(2, 256), (1, 3)])
+def test_groups_beyond_the_centres(spark, monkeypatch, centres, tried):
+    """Many near copies at the very limit, and a passage that many texts share: just the linked pairs are in one group, at every level of signatures."""
+    monkeypatch.setattr(near_copies, "CENTRES", centres)
+    monkeypatch.setattr(near_copies, "TRIED", tried)
     rng = random.Random(9)
     prose = lambda n: " ".join(f"w{rng.randrange(9000)}" for _ in range(n))
     bases, passage = [prose(100) for _ in range(3)], prose(40)
@@ -80,5 +83,35 @@ def test_recall_in_groups_beyond_the_centres(spark, monkeypatch):
     want, pairs = groups(rows)
     assert len(pairs) > 1000
     found = {r.doc_id: r.root for r in near_copies.labelled(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()}
-    assert sum(found[a] == found[b] for a, b in pairs) >= 0.9 * len(pairs)
-    assert all(want[a] == want[b] for a in found for b in found if found[a] == found[b])
+    assert all((want[a] == want[b]) == (found[a] == found[b]) for a in found for b in found)
+
+
+def test_no_link_is_lost_among_texts_of_common_passages(spark):
+    """Texts of 12 of 24 passages, and for each another that has one passage changed: every pair that is similar enough is found, at default settings."""
+    rng = random.Random(1)
+    passages = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(40)) for _ in range(24)]
+    texts = []
+    for _ in range(300):
+        chosen = sorted(rng.sample(range(24), 12))
+        other = list(chosen)
+        other[rng.randrange(12)] = rng.choice([p for p in range(24) if p not in chosen])
+        texts += [" ".join(passages[p] for p in chosen), " ".join(passages[p] for p in other)]
+    sets = [near_copies.shingle_set(t) for t in texts]
+    near = lambda a, b: 9 * len(np.intersect1d(a, b, assume_unique=True)) >= 4 * (len(a) + len(b))
+    pairs = [(i, i + 1) for i in range(0, len(texts), 2) if near(sets[i], sets[i + 1])]
+    assert len(pairs) > 250
+    found = {r.doc_id: r.root for r in near_copies.labelled(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)).collect()}
+    assert all(found[a] == found[b] for a, b in pairs)
+
+
+@pytest.mark.parametrize("level", range(len(near_copies.LEVELS)))
+def test_similar_sets_share_a_signature(level):
+    rng = np.random.default_rng(level)
+    for n in (1, 2, 5, 9, 10, 40, 99, 125, 300):
+        for _ in range(6):
+            one = rng.choice(2**32, n, replace=False).astype(np.uint32)
+            cut = rng.integers(0, n // 5 + 1)
+            more = rng.choice(2**32, rng.integers(0, n // 4 + 1)).astype(np.uint32)
+            two = np.unique(np.r_[one[cut:], more])
+            if len(two) and 9 * len(np.intersect1d(one, two)) >= 4 * (len(one) + len(two)):
+                assert len(np.intersect1d(near_copies.signatures(np.unique(one), level), near_copies.signatures(two, level))), (n, cut)
