@@ -1,9 +1,9 @@
 """Ranks, order statistics and correlations that no single task has to sort a whole group for.
 
-Rows are counted by (group, value) first. Values are dealt to blocks of equal width
-between the group's least and greatest value; a table of a row a block tells how many
-rows stand before each, and windows run inside blocks only. A block is a function of
-the value alone, so ties are never parted.
+Rows are counted by (group, value) first. Values are dealt to blocks with about equal
+numbers of them, between splitters from a mergeable sketch of each group; a table of
+a row a block tells how many rows stand before each, and windows run inside blocks
+only. A block is a function of the value alone, so ties are never parted.
 """
 
 from __future__ import annotations
@@ -13,20 +13,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Blocks of a group's values.
-BLOCKS = 1_024
-
+from .lineage import settled
+from .slices import place, splitters
 
-def _block(x: Column, low: Column, high: Column, blocks: int) -> Column:
-    """The block of a value, by where it stands between the group's ends."""
-    at = F.floor((x.cast("double") - low.cast("double")) / F.nullif(high.cast("double") - low.cast("double"), F.lit(0.0)) * blocks)
-    return F.least(F.coalesce(at, F.lit(0)), F.lit(blocks - 1))
+#: Blocks of a group's values.
+BLOCKS = 256
 
 
-def _spread(df: DataFrame, by: Sequence[str], column: str, blocks: int, low: str = "__low", high: str = "__high") -> DataFrame:
-    """``df`` with ``__block``; the ends of a group are joined as a table of a row a group."""
-    ends = df.groupBy(*by).agg(F.min(column).alias(low), F.max(column).alias(high))
-    return df.join(ends, list(by)).withColumn("__block", _block(F.col(column), F.col(low), F.col(high), blocks)).drop(low, high)
+def _spread(df: DataFrame, by: Sequence[str], column: str, blocks: int) -> DataFrame:
+    """``df`` with ``__block``; a group's splitters are joined as a table of a row a group."""
+    ends = df.groupBy(*by).agg(splitters(F.col(column), blocks).alias("__ends"))
+    return df.join(ends, list(by)).withColumn("__block", place(F.col(column), F.col("__ends"), blocks)).drop("__ends")
 
 
 def value_ranks(df: DataFrame, by: Sequence[str], column: str, blocks: int = BLOCKS) -> DataFrame:
@@ -54,7 +51,7 @@ def numbered(df: DataFrame, by: Sequence[str], levels: Sequence[str], order: Seq
 
     ``levels`` are numeric columns without nulls that lead ``order`` (those of
     ``descending`` downwards); rows are blocked by the values of all but the last
-    and by spans of the last.
+    and by spans of the last with about equal numbers of rows.
     """
     *exact, last = levels
     spread = _spread(df, by, last, blocks)
@@ -92,7 +89,15 @@ def spearman(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
     return ranked.groupBy(*by).agg(F.when(F.count(F.lit(1)) >= 3, moment_correlation(F.col("__rx"), F.col("__ry"))).alias("spearman"))
 
 
-def overall_rank(df: DataFrame, order: Sequence[Column | str], name: str, most: int = 100_000) -> DataFrame:
-    """The first ``most`` rows by ``order`` with their number from 1: a board, sorted and numbered in one task after a top-k in each."""
-    top = df.orderBy(*order).limit(most)
-    return top.withColumn(name, F.row_number().over(Window.orderBy(*order)))
+def overall_rank(df: DataFrame, order: Sequence[Column | str], name: str, most: int | None = None) -> DataFrame:
+    """``df`` with its rows' numbers from 1 by ``order``, which must be total; only the first ``most`` if that is given.
+
+    All rows are sorted by range; each partition then counts on from the rows before it.
+    """
+    if most is not None:
+        return df.orderBy(*order).limit(most).withColumn(name, F.row_number().over(Window.orderBy(*order)))
+    placed = settled(df.orderBy(*order).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id()))
+    sizes = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__first"))  # a row a partition
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sizes.select("__part", "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    return placed.join(F.broadcast(bases), "__part").withColumn(name, F.col("__base") + F.col("__at") - F.col("__first") + 1).drop("__part", "__at", "__first", "__base")

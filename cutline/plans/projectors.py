@@ -249,8 +249,8 @@ def permuted(df: DataFrame, key: str, column: str, name: str) -> DataFrame:
     return before.join(placed.select("__nth", F.col(column).alias(name)), "__nth").drop("__nth")
 
 
-def board(sources: Sequence[DataFrame], key: Sequence[str], order: Sequence[Column | str], group: str = "grp", most: int = 100_000) -> DataFrame:
-    """Rows of the first source, then those of each further one whose key is not there yet, with ``rank`` and ``group_rank``."""
+def board(sources: Sequence[DataFrame], key: Sequence[str], order: Sequence[Column | str], group: str = "grp", most: int | None = None) -> DataFrame:
+    """Rows of the first source, then those of each further one whose key is not there yet, with ``rank`` and ``group_rank``; only the first ``most`` if that is given."""
     out = sources[0]
     for more in sources[1:]:
         out = out.unionByName(more.join(out.select(*key), list(key), "left_anti"), allowMissingColumns=True)
