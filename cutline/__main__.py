@@ -1,4 +1,4 @@
-"""``python -m cutline``: pull sources, score the ladder, check a run, make a board."""
+"""``python -m cutline``: pull sources, assemble features, score the ladder, check a run, project a season, make a board."""
 
 from __future__ import annotations
 
@@ -8,9 +8,9 @@ import sys
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from .plans import checks
+from .plans import checks, learned
 from .plans import projectors as P
-from .sources import tables
+from .sources import buckets, tables
 
 
 def seasons_of(args: argparse.Namespace) -> list[int]:
@@ -59,6 +59,38 @@ def board(spark: SparkSession, args: argparse.Namespace) -> int:
     return 0
 
 
+def features(spark: SparkSession, args: argparse.Namespace) -> int:
+    """Assemble a feature table of a spine file and block files: ``--asof`` blocks are bound strictly before each period, ``--on`` blocks on equal keys (with the period or without)."""
+    spine = spark.read.parquet(args.spine)
+    if args.upcoming_season is not None:
+        spine = spine.where(F.col(args.season) == args.upcoming_season)
+    by = [args.entity, args.season]
+    stored = []
+    for path in args.asof:
+        block = spark.read.parquet(path)
+        columns = [c for c in block.columns if c not in (args.entity, args.season, args.period)]
+        stored.append(buckets.on_keys(spine, block, [args.entity], args.season, args.period, columns, args.buckets))
+    stored += [buckets.store_bucketed(spark.read.parquet(path), by, args.buckets) for path in args.on]
+    out = buckets.assemble(buckets.store_bucketed(spine, by, args.buckets, [args.period]), [args.entity], args.season, args.period, stored)
+    tables.write(out, args.out)
+    print(f"{args.out}: {spark.read.parquet(args.out).count()} rows, {len(out.columns)} columns")
+    return 0
+
+
+def project(spark: SparkSession, args: argparse.Namespace) -> int:
+    """Project a season that hasn't been played from a panel file and the season's own panel file, and print the head of the board."""
+    history, target = spark.read.parquet(args.panel), spark.read.parquet(args.target)
+    outcomes = ("games", "points", args.opportunities)
+    numeric = [c for c, k in history.dtypes if c in target.columns and c not in ("entity", "season", *outcomes) and k in ("int", "bigint", "float", "double")]
+    settings = lambda: learned.Learned(numeric, opportunities=args.opportunities, rounds=args.rounds, tune=args.tune)
+    ranked = (lambda panel, tests: P.rank_line(panel, tests, args.rank)) if args.rank else None
+    out = learned.project_season(history, target, args.season, settings(), settings(), ranked)
+    tables.write(out, args.out)
+    shown = spark.read.parquet(args.out).orderBy("rank").select("rank", "group_rank", "entity", "grp", "projection_source", "pred_games", "pred_ppg", "pred_points")
+    print(tables.console(shown, args.rows))
+    return 0
+
+
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="cutline", description=__doc__)
     commands = parser.add_subparsers(dest="command", required=True)
@@ -81,10 +113,30 @@ def main(argv: list[str] | None = None) -> int:
     three = commands.add_parser("board", help=board.__doc__)
     three.add_argument("predictions", nargs="+")
     three.add_argument("--out", required=True)
-    three.add_argument("--most", type=int, default=100_000)
+    three.add_argument("--most", type=int)
     three.add_argument("--rows", type=int, default=30)
+    four = commands.add_parser("features", help=features.__doc__)
+    four.add_argument("--spine", required=True)
+    four.add_argument("--asof", nargs="*", default=[])
+    four.add_argument("--on", nargs="*", default=[])
+    four.add_argument("--out", required=True)
+    four.add_argument("--entity", default="entity")
+    four.add_argument("--season", default="season")
+    four.add_argument("--period", default="week")
+    four.add_argument("--buckets", type=int, default=200)
+    four.add_argument("--upcoming-season", type=int)
+    five = commands.add_parser("project", help=project.__doc__)
+    five.add_argument("--panel", required=True)
+    five.add_argument("--target", required=True)
+    five.add_argument("--season", type=int, required=True)
+    five.add_argument("--out", required=True)
+    five.add_argument("--opportunities", default="opportunities")
+    five.add_argument("--rank", help="column of a market's rank, which then decides for rookies that have one")
+    five.add_argument("--rounds", type=int, default=50)
+    five.add_argument("--tune", action="store_true", help="let the last season choose the rounds")
+    five.add_argument("--rows", type=int, default=40)
     args = parser.parse_args(argv)
-    return {"ingest": ingest, "score": score, "board": board}[args.command](SparkSession.builder.getOrCreate(), args)
+    return {"ingest": ingest, "score": score, "board": board, "features": features, "project": project}[args.command](SparkSession.builder.getOrCreate(), args)
 
 
 if __name__ == "__main__":

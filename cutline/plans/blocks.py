@@ -28,6 +28,23 @@ def preseason_spine(rosters: DataFrame, entity: str, season: int, keep: Column,
     return one.withColumns({"season": F.lit(season), "week": F.lit(1), "snaps": F.lit(0).cast("bigint"), "played": F.lit(False)})
 
 
+def weekly_spine(rosters: DataFrame, snaps: DataFrame, names: DataFrame, entity: str, source: str, period: Sequence[str], keep: Column, status: str, count: str, team: str | None = None, teams: Mapping | None = None) -> DataFrame:
+    """One row an entity and period that ``keep`` lets in, with ``count`` and whether it ``played``.
+
+    Of several rows the one with the least ``status`` stays. Participation comes by
+    another id: ``names`` (``entity, source``) translates it, one entity for each
+    source; of several counts the greatest is taken, and none is 0.
+    """
+    rows = rosters.where(keep & F.col(entity).isNotNull())
+    if team and teams:
+        rows = rows.withColumn(team, map_value(F.col(team), teams))
+    key = [entity, *period]
+    one = dedupe.keep_first(rows, key, [status, *[c for c in rows.columns if c not in (*key, status)]])
+    counts = snaps.join(dedupe.crosswalk(names, source, entity), source).groupBy(*key).agg(F.max(count).alias(count))
+    joined = one.join(counts, key, "left").withColumn(count, F.coalesce(count, F.lit(0)))
+    return joined.withColumn("played", F.col(count) > 0)
+
+
 def shares(rows: DataFrame, entity: str, team: str, period: Sequence[str], flags: Mapping[str, Column], prefix: str) -> DataFrame:
     """``{prefix}_{flag}_n`` and ``{prefix}_{flag}_share``: an entity's flagged rows in each period and their share of its team's; 0 where the team has none."""
     counts = rows.groupBy(entity, team, *period).agg(*[F.sum(c.cast("bigint")).alias(f"{prefix}_{n}_n") for n, c in flags.items()])
@@ -88,14 +105,49 @@ def panel(snapshot: DataFrame, actuals: DataFrame, by: Sequence[str], season: st
     rated = actuals.withColumn("ppg", F.try_divide(points, F.nullif(F.col(games).cast("double"), F.lit(0.0))))
     joined = snapshot.join(rated, [*by, season], "left")
     joined = joined.withColumns({c: F.coalesce(c, F.lit(0).cast(dict(actuals.dtypes)[c])) for c in (games, *totals)})
+    return _lagged(joined, rated, by, season, [games, *totals, "ppg"], experience, lags)
+
+
+def upcoming_panel(snapshot: DataFrame, actuals: DataFrame, by: Sequence[str], season: str, totals: Sequence[str], games: str = "games", points: str = "points", experience: Column | None = None, lags: Sequence[int] = (1, 2, 3)) -> DataFrame:
+    """The panel of a season that hasn't been played: lags and flags, and no outcome, not even 0. An empty snapshot raises."""
+    if snapshot.isEmpty():
+        raise ValueError("the snapshot of the upcoming season has no rows")
+    rated = actuals.withColumn("ppg", F.try_divide(points, F.nullif(F.col(games).cast("double"), F.lit(0.0))))
+    return _lagged(snapshot.dropDuplicates([*by, season]), rated, by, season, [games, *totals, "ppg"], experience, lags)
+
+
+def _lagged(joined: DataFrame, rated: DataFrame, by: Sequence[str], season: str, columns: Sequence[str], experience: Column | None, lags: Sequence[int]) -> DataFrame:
+    """``prev{n}_{column}`` of the seasons before, ``n_prior_seasons, has_history, is_rookie``."""
+    games = columns[0]
     for n in lags:
-        earlier = rated.select(*by, (F.col(season) + n).alias(season), *[F.col(c).alias(f"prev{n}_{c}") for c in (games, *totals, "ppg")])
+        earlier = rated.select(*by, (F.col(season) + n).alias(season), *[F.col(c).alias(f"prev{n}_{c}") for c in columns])
         joined = joined.join(earlier, [*by, season], "left")
     known = sum((F.col(f"prev{n}_{games}").isNotNull().cast("int") for n in lags), F.lit(0))
     rookie = known == 0 if experience is None else F.coalesce(experience == 0, F.lit(False))
     return joined.withColumns({"n_prior_seasons": known, "has_history": F.col(f"prev{lags[0]}_{games}").isNotNull(), "is_rookie": rookie})
 
 
+def game_script(rows: DataFrame, period: Sequence[str], kinds: Mapping[str, tuple[Column, str]], difference: Column, margin: float, entity: str = "entity", windows: Sequence[int] = (3, 5, 8)) -> DataFrame:
+    """Shares of each kind's rows while far behind, far ahead and close, and the mean difference, as inclusive means over the entity's periods.
+
+    ``kinds`` names a condition and the column of who took part. Rows without
+    either or without a difference don't count; a kind that a period lacks is null.
+    """
+    out = None
+    for name, (which, who) in kinds.items():
+        some = rows.where(which & F.col(who).isNotNull() & difference.isNotNull())
+        share = lambda c: F.avg(c.cast("double"))
+        own = some.groupBy(F.col(who).alias(entity), *period).agg(
+            F.avg(difference).alias(f"{name}_mean_difference"),
+            share(difference <= -margin).alias(f"{name}_share_behind"),
+            share(difference >= margin).alias(f"{name}_share_ahead"),
+            share((difference > -margin) & (difference < margin)).alias(f"{name}_share_close"),
+        )
+        out = own if out is None else out.join(own, [entity, *period], "full")
+    values = [c for c in out.columns if c not in (entity, *period)]
+    return temporal.inclusive_mean(out, [entity], period, values, windows).drop(*values)
+
+
 def first_period(features: DataFrame, by: Sequence[str], season: str, week: str, order: Sequence[str]) -> DataFrame:
     """The whole row of the first week of each entity-season: what is known before the season."""
     return dedupe.keep_first(features.where(F.col(week) == 1), [*by, season], order)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import avg_if, clip, implied_totals, map_value, piecewise_credit, rate, schedule_length, shrink, steady, sum0, sum_if, weight_mass, weighted_sum
 from ..operators import asof, dedupe, priors, ranks, temporal
 from ..sources.tables import null_rates, table
+from . import blocks
 from . import projectors as P
 from .bases import CM, CY, PANEL, SM, cents, customer_month, customer_year, supplier_month
 
@@ -508,9 +509,8 @@ def two_sides_context(spark, sf):
 def panel_unplayed_year(spark, sf):
     """The panel of a season without outcomes."""
     spine = table(spark, sf, "customer").select(F.col("c_custkey").alias("entity"), F.lit(2002).cast("bigint").alias("season"))
-    base = customer_year(spark, sf).select("entity", "season", "games")
-    lagged = priors.lag_join(spine.withColumn("games", F.lit(None).cast("double")).unionByName(base), ["entity"], "season", ["games"], [1, 2]).where("season = 2002")
-    return lagged.select("entity", "season", "prev1_games", "prev2_games", (F.col("prev1_games").isNull() & F.col("prev2_games").isNull()).alias("rookie"))
+    made = blocks.upcoming_panel(spine, customer_year(spark, sf).select("entity", "season", "games", "points"), ["entity"], "season", ["points"], lags=[1, 2])
+    return made.select("entity", "season", "prev1_games", "prev2_games", F.col("is_rookie").alias("rookie"))
 
 
 @query(f"WITH {_R1}, m AS (SELECT season, sqrt(avg((pred - points) ** 2)) AS r1, sqrt(avg((mu * gmu - points) ** 2)) AS r0, stddev_samp(points) AS sd, max(points) AS most FROM r1 GROUP BY 1) SELECT season, {S('r1 - r0')} AS gap, {S('sd')} AS sd, {S('most')} AS most FROM m")
@@ -530,4 +530,4 @@ def games_from_trees(spark, sf):
     return out.select("entity", "season", "games", clip(F.col("pred"), 0.0, 17.0).alias("pred_games"))
 
 
-from . import catalogue_blocks, catalogue_boosting  # noqa: E402, F401  registers further queries
+from . import catalogue_assembly, catalogue_blocks, catalogue_boosting  # noqa: E402, F401  registers further queries

@@ -124,3 +124,22 @@ def rookies(settings: Learned) -> Callable[[DataFrame, Sequence[int]], DataFrame
 def blended(settings: Learned, weights: Sequence[float] = (5.0, 4.0, 3.0), share: float = 0.35) -> Callable[[DataFrame, Sequence[int]], DataFrame]:
     """The projector with its rate and games moved by ``share`` to those of the weighted prior."""
     return lambda panel, tests: P.blend(settings(panel, tests), P.weighted_prior(panel, tests, weights), share)
+
+
+def project_season(history: DataFrame, target: DataFrame, season: int, settings: Learned, rookie_settings: Learned | None = None, ranked: Callable[[DataFrame, Sequence[int]], DataFrame] | None = None) -> DataFrame:
+    """The board of a season that hasn't been played: everybody from the model of all earlier seasons, rookies from that of earlier rookies, those with a market's rank by ``ranked``.
+
+    Columns of ``target`` with the predictions, ``projection_source``, ``rank`` and ``group_rank``.
+    """
+    past = history.where(F.col("season") < season)
+    if past.isEmpty():
+        raise ValueError(f"no completed seasons before {season}")
+    both = past.unionByName(target.where(F.col("season") == season), allowMissingColumns=True)
+    named = lambda df, name: df.where(F.col("season") == season).withColumn("projection_source", F.lit(name))
+    sources = [named(settings(both, [season]), "gbm")]
+    new = both.where("is_rookie")
+    if rookie_settings is not None and not new.where(F.col("season") == season).isEmpty():
+        sources.insert(0, named(rookies(rookie_settings)(both, [season]), "rookie_gbm"))
+        if ranked is not None:
+            sources.insert(0, named(ranked(new, [season]), "rookie_rank"))
+    return P.board(sources, ["entity", "season"], [F.col("pred_points").desc_nulls_last(), "entity"])

@@ -149,6 +149,33 @@ def weighted_prior(panel: DataFrame, tests: Sequence[int], weights: Sequence[flo
     return finish(test, rate, shrink(games, mass, F.col("games_mu"), F.col("k_games")), most).drop("fold", "adjust", "k_rate_place", "k_games_place")
 
 
+def rank_line(panel: DataFrame, tests: Sequence[int], rank: str = "rank", most: float = 17.0) -> DataFrame:
+    """Rung 3 in every fold: lines from ``log1p(rank)`` to the rate and to games, for each group by least squares on the seasons before the fold's.
+
+    Only rows with a positive rank are learned from and projected. Groups with
+    fewer than three such rows get the mean of all groups' rows; a fold without any
+    projects nobody. All folds come from sums by season and group.
+    """
+    x = F.log1p(F.col(rank).cast("double"))
+    some = panel.where(F.col(rank) > 0)
+    actual = {"rate": F.try_divide("points", F.nullif(F.col("games"), F.lit(0.0))), "games": F.col("games").cast("double")}
+    parts = []
+    for name, y in actual.items():
+        own = F.when(y.isNotNull(), x)
+        parts += [F.count(y).alias(f"{name}_n"), F.sum(own).alias(f"{name}_x"), F.sum(own * own).alias(f"{name}_xx"), F.sum(y).alias(f"{name}_y"), F.sum(own * y).alias(f"{name}_xy")]
+    sums = before_each_fold(some.groupBy("season", "grp").agg(*parts), tests, ["grp"])
+    lines, every = [], []
+    for name in actual:
+        n, sx, sxx, sy, sxy = (F.col(f"{name}_{c}") for c in ("n", "x", "xx", "y", "xy"))
+        slope = F.when(n >= 3, F.coalesce(F.try_divide(n * sxy - sx * sy, F.nullif(n * sxx - sx * sx, F.lit(0.0))), F.lit(0.0)))
+        lines += [slope.alias(f"{name}_slope"), ((sy - slope * sx) / n).alias(f"{name}_start")]
+        every.append(F.try_divide(F.sum(sy), F.sum(n)).alias(f"{name}_mean"))
+    means = F.broadcast(sums.groupBy("fold").agg(*every))  # a row a fold
+    test = _test_rows(some, tests).join(sums.select("fold", "grp", *lines), ["fold", "grp"], "left").join(means, "fold")
+    line = lambda name: F.coalesce(F.col(f"{name}_start") + F.col(f"{name}_slope") * x, F.coalesce(f"{name}_mean", F.lit(0.0)))
+    return finish(test, line("rate"), line("games"), most).drop("fold", *[f"{n}_{c}" for n in actual for c in ("slope", "start", "mean")])
+
+
 def with_residual_quantiles(predicted: DataFrame, train: DataFrame, by: Sequence[str] = (), levels: Sequence[float] = (0.1, 0.5, 0.9)) -> DataFrame:
     """``predicted`` with ``pred_q{percent}``: its points and the quantiles of the residuals of ``train``, not below 0."""
     keyed = train.withColumn("__all", F.lit(1))

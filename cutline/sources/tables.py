@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import logging
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -111,9 +112,41 @@ def exit_code(status: dict[str, str]) -> int:
     return int(any(s.startswith("failed") for s in status.values()))
 
 
+@contextmanager
+def _from_footers(spark: SparkSession) -> Iterator[None]:
+    """Within this, least and greatest values and counts of parquet files come from their footers."""
+    wanted = {"spark.sql.sources.useV1SourceList": "", "spark.sql.parquet.aggregatePushdown": "true"}
+    before = {k: spark.conf.get(k) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def footer_counts(spark: SparkSession, path: str, columns: Sequence[str], season: str | None = None) -> DataFrame:
+    """``rows, newest`` and the values that aren't null of each column; to be run within ``_from_footers``."""
+    df = spark.read.parquet(path)
+    newest = F.max(season) if season in df.columns else F.lit(None)
+    return df.agg(F.count(F.lit(1)).alias("rows"), newest.alias("newest"), *[F.count(c).alias(f"known_{c}") for c in columns])
+
+
+def coverage(spark: SparkSession, paths: dict[str, str], columns: dict[str, Sequence[str]] | None = None, season: str = "season") -> dict[str, dict]:
+    """Rows, newest season and null counts of each file, all from parquet footers: no column is read."""
+    found = {}
+    with _from_footers(spark):
+        for name, path in paths.items():
+            own = list((columns or {}).get(name, ()))
+            row = footer_counts(spark, path, own, season).first()
+            found[name] = {"rows": row["rows"], "newest": row["newest"], "nulls": {c: row["rows"] - row[f"known_{c}"] for c in own}}
+    return found
+
+
 def last_seasons(spark: SparkSession, paths: dict[str, str], season: str = "season") -> dict[str, int | None]:
-    """The newest season of each file, read from footers where they have it: shows a pull that fell behind."""
-    return {name: spark.read.parquet(path).agg(F.max(season)).first()[0] for name, path in paths.items()}
+    """The newest season of each file, from its footer: shows a pull that fell behind."""
+    return {name: found["newest"] for name, found in coverage(spark, paths, season=season).items()}
 
 
 def console(df: DataFrame, rows: int = 20, digits: int = 2) -> str:
