@@ -15,10 +15,11 @@ shingle, the pairs of its nodes with its first ``CENTRES`` ones whose sizes and
 places in the prefixes allow the similarity; then, for each shingle that more nodes
 have, the pairs with the first nodes of its first ``CENTRES`` components. That makes
 groups of near copies, however large, one component each, and writes no more than
-``2 * CENTRES`` pairs a node and shingle. It has tried all pairs but those that only
-share shingles of over ``CENTRES + 1`` nodes which are still of several components.
+``2 * CENTRES`` pairs a node and shingle. Left are shingles of over ``CENTRES + 1``
+nodes which are still of several components: up to ``FEW`` nodes, all pairs of
+different components are tried whose sizes and places allow the similarity.
 
-*Signatures.* Nodes of such crowded shingles meet again, by parts of their sets. Two
+*Signatures.* Nodes of yet more crowded shingles meet by parts of their sets. Two
 sets of ``n`` and ``m`` shingles are similar enough only if they differ in at most
 ``(n + m) (DEN - NUM) / (DEN + NUM)`` shingles. Shingles are dealt to so many parts by
 hash that some part has ``k`` differences at most, and each part to ``j`` cells, of
@@ -57,6 +58,8 @@ SHINGLE = 5
 CENTRES = 8
 #: Signatures of crowded nodes: differences allowed in a part and cells of a part, level by level, and the nodes of a signature whose pairs are all tried before the last level.
 LEVELS, TRIED = ((2, 5), (3, 7), (5, 10)), 256
+#: Nodes of a shingle of several components whose pairs are all tried.
+FEW = 128
 BITMAP = 1_024
 NUM, DEN = 4, 5
 #: Texts of the sample that tells common shingles, how often one is there to be common, and how many are told.
@@ -254,15 +257,15 @@ def _signed(sets: DataFrame, level: int) -> DataFrame:
 
 
 def _crossing(dealt: DataFrame, limit: int | None) -> DataFrame:
-    """Pairs ``a, b`` of nodes of one key, of different roots and sizes that allow the similarity; and, with ``b`` null, the nodes of keys with over ``limit`` nodes.
+    """Pairs ``a, b`` of nodes of one key, of different roots and with sizes and places that allow the similarity; and, with ``b`` null, the nodes of keys with over ``limit`` nodes.
 
-    ``dealt (key, root, node, n)`` is sorted and whole by key in its partitions.
+    ``dealt (key, root, node, n, at)`` is sorted and whole by key in its partitions.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carry = [np.zeros(0, np.int64)] * 4
+        carry = [np.zeros(0, np.int64)] * 5
 
-        def solve(key: np.ndarray, root: np.ndarray, node: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def solve(key: np.ndarray, root: np.ndarray, node: np.ndarray, n: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
             starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             sizes = np.diff(np.r_[starts, len(key)])
             several = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)
@@ -271,14 +274,14 @@ def _crossing(dealt: DataFrame, limit: int | None) -> DataFrame:
             if over.any():
                 yield pa.RecordBatch.from_arrays([pa.array(np.unique(node[over])), pa.nulls(len(np.unique(node[over])), pa.int64())], ["a", "b"])
             kept = np.repeat(few, sizes)
-            key, root, node, n = key[kept], root[kept], node[kept], n[kept]
+            key, root, node, n, at = key[kept], root[kept], node[kept], n[kept], at[kept]
             step = 1
             while step < len(key):
                 near = np.flatnonzero(key[step:] == key[:-step])
                 if not len(near):
                     break
                 far = near + step
-                fit = (root[near] != root[far]) & (DEN * np.minimum(n[near], n[far]) >= NUM * np.maximum(n[near], n[far]))
+                fit = (root[near] != root[far]) & _may_link(n[near], at[near], n[far], at[far])
                 if fit.any():
                     pairs = np.unique(np.sort(np.column_stack([node[near[fit]], node[far[fit]]]), axis=1), axis=0)
                     yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
@@ -298,7 +301,7 @@ def _crossing(dealt: DataFrame, limit: int | None) -> DataFrame:
         if len(carry[0]):
             yield from solve(*carry)
 
-    return dealt.select("key", "root", "node", "n").mapInArrow(run, "a bigint, b bigint")
+    return dealt.select("key", "root", "node", "n", "at").mapInArrow(run, "a bigint, b bigint")
 
 
 def _near_bitmaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -328,22 +331,29 @@ def _near_bitmaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _rest_of_crowds(docs: DataFrame, id_col: str, text: str, shingle: int, nodes: DataFrame, shared: DataFrame, links: DataFrame) -> DataFrame:
     """``node, root`` with the links added that only crowded shingles can tell, given those found so far."""
+
+    def crossing(rows: DataFrame, limit: int | None) -> tuple[DataFrame, DataFrame]:
+        """Pairs to try, and nodes of keys beyond the limit."""
+        dealt = rows.join(rooted, "node", "left").select("key", F.coalesce("root", "node").alias("root"), "node", "n", "at")
+        found = keep(_crossing(dealt.repartition("key").sortWithinPartitions("key", "root", "node"), limit), "crossing")
+        return found.where("b IS NOT NULL").distinct(), found.where("b IS NULL").select(F.col("a").alias("node")).distinct()
+
     rooted = keep(components(links), "components")
-    known = shared.where("s IS NOT NULL").join(rooted, "node", "left").select("s", "node", F.coalesce("root", "node").alias("root"))
-    mixed = known.groupBy("s").agg(F.count(F.lit(1)).alias("nodes"), F.min("root").alias("low"), F.max("root").alias("high")).where((F.col("nodes") > CENTRES + 1) & (F.col("low") != F.col("high")))
-    crowd = keep(known.join(mixed.select("s"), "s").select("node").distinct(), "crowded")
-    sets = None
-    for level in range(len(LEVELS)):
-        if crowd.isEmpty():
-            break
-        sets = _sets(docs, id_col, text, shingle, nodes, crowd) if sets is None else keep(sets.join(crowd, "node", "left_semi"), "shingle-sets")
-        signed = _signed(sets, level).join(rooted, "node", "left").select("key", F.coalesce("root", "node").alias("root"), "node", "n")
-        limit = TRIED if level + 1 < len(LEVELS) else None
-        found = keep(_crossing(signed.repartition("key").sortWithinPartitions("key", "root", "node"), limit), "crossing")
-        tried = found.where("b IS NOT NULL").distinct()
+    known = shared.where("s IS NOT NULL").join(rooted, "node", "left").select("s", F.coalesce("root", "node").alias("root"))
+    mixed = known.groupBy("s").agg(F.count(F.lit(1)).alias("nodes"), F.min("root").alias("low"), F.max("root").alias("high"))
+    mixed = mixed.where((F.col("nodes") > CENTRES + 1) & (F.col("low") != F.col("high"))).select("s")
+    tried, crowd = crossing(shared.where("s IS NOT NULL").join(mixed, "s").select(F.col("s").alias("key"), "node", "n", "at"), FEW)
+    wanted = keep(_nodes_of(tried).union(crowd).distinct(), "crowded")
+    if wanted.isEmpty():
+        return rooted
+    sets = _sets(docs, id_col, text, shingle, nodes, wanted)
+    for level in range(len(LEVELS) + 1):
         new = _confirmed(keep(_near_bitmaps(tried, sets), "near-bitmaps"), sets)
         rooted = keep(components(rooted.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(new)), "components")
-        crowd = keep(found.where("b IS NULL").select(F.col("a").alias("node")).distinct(), "crowded")
+        if level == len(LEVELS) or crowd.isEmpty():
+            break
+        signed = _signed(sets.join(crowd, "node", "left_semi"), level).withColumn("at", F.lit(0))
+        tried, crowd = crossing(signed, TRIED if level + 1 < len(LEVELS) else None)
     return rooted
 
 

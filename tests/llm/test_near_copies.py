@@ -70,10 +70,11 @@ def check_near_dedup(spark):
     assert corpus_pipeline.near_dedup(spark, docs.limit(0), "").count() == 0
 
 
-@pytest.mark.parametrize(("centres", "tried"), [(2, 256), (1, 3)])
-def test_groups_beyond_the_centres(spark, monkeypatch, centres, tried):
+@pytest.mark.parametrize(("centres", "few", "tried"), [(2, 128, 256), (1, 2, 256), (1, 2, 3)])
+def test_groups_beyond_the_centres(spark, monkeypatch, centres, few, tried):
     """Many near copies at the very limit, and a passage that many texts share: just the linked pairs are in one group, at every level of signatures."""
     monkeypatch.setattr(near_copies, "CENTRES", centres)
+    monkeypatch.setattr(near_copies, "FEW", few)
     monkeypatch.setattr(near_copies, "TRIED", tried)
     rng = random.Random(9)
     prose = lambda n: " ".join(f"w{rng.randrange(9000)}" for _ in range(n))
