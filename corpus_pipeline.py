@@ -1,4 +1,11 @@
-"""The corpus pipeline: documents to packed training sequences, one operator a stage."""
+"""The corpus pipeline: documents to packed training sequences, one operator a stage.
+
+Defined results of every stage: a null text counts as an empty one, which the first
+stage rejects; null ids, languages and sources pass through as they are; repeated
+rows are rows each, until near-dedup keeps one of them; very long texts are taken
+whole; further columns, whatever their names, stay untouched in all stages but the
+last, which gives pieces; an empty table gives an empty table at every stage.
+"""
 
 from __future__ import annotations
 
@@ -20,28 +27,35 @@ def _with_text(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass, with their failing lines removed."""
+    """Documents that pass, with their failing lines removed; equal rows get one verdict each, and it is the same."""
     return _with_text(quality.passing(docs), docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8): the one with the least id."""
+    """One document of each group of near copies (five-word shingles, similarity 0.8): the one with the least id.
+
+    Ties of ids go to the least hash of the text, a null id only stays where its
+    group has no other, and of equal rows one stays.
+    """
     return near_copies.keep_one(docs)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, without its bytes that strings of ``REPEAT`` bytes repeat."""
+    """Every document, without its bytes that strings of ``REPEAT`` bytes repeat; both places of a repeat lose them, and a text may become empty."""
     return _with_text(suffix_dedup.remove_repeats(docs, length=REPEAT), docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated; what the others hold of the benchmark below the limit is cut out."""
+    """Documents that are not contaminated; what the others hold of the benchmark below the limit is cut out.
+
+    Items without words, or with a null text, match nothing; an empty benchmark keeps every document as it is.
+    """
     judged = decontaminate.contamination(docs, read_table(spark, sf_dir, "benchmark"))
     return _with_text(judged.where("NOT contaminated"), docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of every document with their place in the packed sequences."""
+    """Pieces of every document with their place in the packed sequences; an empty text is a piece of its end id alone."""
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
