@@ -84,6 +84,20 @@ def keep(df: DataFrame, what: str) -> DataFrame:
     return stored(df, what)[0]
 
 
+def opened() -> int:
+    """How many stored tables this driver has; for ``keep_only``."""
+    return len(_OPENED)
+
+
+def keep_only(df: DataFrame, what: str, since: int) -> DataFrame:
+    """``df`` as it was stored, and all tables deleted that were stored since ``since``: nothing but the result may still need them."""
+    out = keep(df, what)
+    for spark, path in _OPENED[since:-1]:
+        delete(spark, path)
+    del _OPENED[since:-1]
+    return out
+
+
 def text_key(text: Column) -> list[Column]:
     """128 bits that stand for a text: rows with equal texts share one analysis."""
     return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text, F.length(text)).alias("k2")]

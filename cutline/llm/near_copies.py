@@ -50,16 +50,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, ship
+from .common import keep, keep_only, opened, ship
 from .simhash import bucket_links, components, one_each
 
 SHINGLE = 5
 #: Nodes of a shingle that all its others are tried with at first.
 CENTRES = 8
 #: Signatures of crowded nodes: differences allowed in a part and cells of a part, level by level, and the nodes of a signature whose pairs are all tried before the last level.
-LEVELS, TRIED = ((2, 5), (3, 7), (5, 10)), 256
+LEVELS, TRIED = ((1, 3), (2, 5), (4, 8)), 256
 #: Nodes of a shingle of several components whose pairs are all tried.
-FEW = 128
+FEW = 256
 BITMAP = 1_024
 NUM, DEN = 4, 5
 #: Texts of the sample that tells common shingles, how often one is there to be common, and how many are told.
@@ -348,8 +348,9 @@ def _rest_of_crowds(docs: DataFrame, id_col: str, text: str, shingle: int, nodes
         return rooted
     sets = _sets(docs, id_col, text, shingle, nodes, wanted)
     for level in range(len(LEVELS) + 1):
-        new = _confirmed(keep(_near_bitmaps(tried, sets), "near-bitmaps"), sets)
-        rooted = keep(components(rooted.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(new)), "components")
+        new = keep(_confirmed(keep(_near_bitmaps(tried, sets), "near-bitmaps"), sets), "confirmed")
+        if not new.isEmpty():
+            rooted = keep(components(rooted.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(new)), "components")
         if level == len(LEVELS) or crowd.isEmpty():
             break
         signed = _signed(sets.join(crowd, "node", "left_semi"), level).withColumn("at", F.lit(0))
@@ -403,6 +404,7 @@ def _nodes_of(pairs: DataFrame) -> DataFrame:
 def labelled(docs: DataFrame, id_col: str = "doc_id", text: str = "text", *, shingle: int = SHINGLE) -> DataFrame:
     """``id_col, k`` (a hash of the text) and ``root`` (the same for all rows of a group) of each row."""
     ship(docs.sparkSession)
+    since = opened()
     rows = keep(_rows(docs, id_col, text, shingle), "shingle-nodes")
     shared = keep(_shared(rows), "shared-shingles")
     nodes = keep(rows.groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "k")).alias("at")), "nodes")
@@ -426,7 +428,7 @@ def labelled(docs: DataFrame, id_col: str = "doc_id", text: str = "text", *, shi
     links = keep(links.unionByName(_confirmed(rest, again)), "confirmed")
     rooted = _rest_of_crowds(docs, id_col, text, shingle, nodes, shared, links)
     named = rows.join(rooted, "node", "left")
-    return named.select(F.col("id").alias(id_col), "k", F.coalesce("root", "node").alias("root"))
+    return keep_only(named.select(F.col("id").alias(id_col), "k", F.coalesce("root", "node").alias("root")), "near-copies", since)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", *, shingle: int = SHINGLE) -> DataFrame:
