@@ -84,6 +84,17 @@ def keep(df: DataFrame, what: str) -> DataFrame:
     return stored(df, what)[0]
 
 
+def keep_bucketed(df: DataFrame, what: str, key: str) -> tuple[DataFrame, str]:
+    """One row of ``df`` for each ``key``, stored as a table bucketed by it, whose joins on the key don't shuffle it; with the table's name, to be dropped."""
+    spark = df.sparkSession
+    path = shared_path(spark, what)
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.repartition(buckets, key).dropDuplicates([key])
+    placed.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+    return spark.table(name), name
+
+
 def opened() -> int:
     """How many stored tables this driver has; for ``keep_only``."""
     return len(_OPENED)

@@ -31,8 +31,8 @@ tried. Nodes whose signature more than ``TRIED`` nodes have go on to the next of
 ``LEVELS``, with longer signatures; the last has no limit. So no link is lost.
 
 Candidates are confirmed in a join with both sets, which hold 32 bits of each
-shingle's hash there: two sets of 1,000 shingles share 0.0002 by chance. Those of
-signatures meet bitmaps first: each shingle flips one of ``BITMAP`` bits, so two
+shingle's hash there: two sets of 1,000 shingles share 0.0002 by chance. They
+meet bitmaps first: each shingle flips one of ``BITMAP`` bits, so two
 bitmaps differ in no more bits than the sets in shingles.
 
 Defined results: words and nulls as in ``simhash``; texts without a word are one
@@ -50,7 +50,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, keep_only, opened, ship
+from .common import keep, keep_bucketed, keep_only, opened, ship
 from .simhash import bucket_links, components, one_each
 
 SHINGLE = 5
@@ -304,32 +304,28 @@ def _crossing(dealt: DataFrame, limit: int | None) -> DataFrame:
     return dealt.select("key", "root", "node", "n", "at").mapInArrow(run, "a bigint, b bigint")
 
 
+def _bitmap(hashes: np.ndarray) -> bytes:
+    odd = np.bincount((_mixed(hashes.astype(np.uint64)) % np.uint64(BITMAP)).astype(np.int64), minlength=BITMAP) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
 def _near_bitmaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs ``a, b`` whose sets' bitmaps don't differ in more bits than the sets may in shingles."""
 
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            maps, sizes = [], []
-            for raw in batch.column(1).to_pylist():
-                hashes = np.frombuffer(raw, np.uint32)
-                odd = np.bincount((_mixed(hashes.astype(np.uint64)) % np.uint64(BITMAP)).astype(np.int64), minlength=BITMAP) & 1
-                maps.append(np.packbits(odd.astype(np.uint8)).tobytes())
-                sizes.append(len(hashes))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(maps, pa.binary())], ["node", "n", "bits"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if not batch.num_rows:
+                continue
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("ba", "bb"))
             n = batch.column("na").to_numpy().astype(np.int64) + batch.column("nb").to_numpy()
             apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
             yield batch.select(["a", "b"]).filter(pa.array((NUM + DEN) * apart <= (DEN - NUM) * n))
 
-    maps = keep(sets.select("node", "hashes").mapInArrow(build, "node bigint, n int, bits binary"), "bitmaps")
-    first, second = (maps.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"b{c}")) for c in "ab")
+    first, second = (sets.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"b{c}")) for c in "ab")
     return pairs.join(first, "a").join(second, "b").select("a", "b", "na", "nb", "ba", "bb").mapInArrow(run, "a bigint, b bigint")
 
 
-def _rest_of_crowds(docs: DataFrame, id_col: str, text: str, shingle: int, nodes: DataFrame, shared: DataFrame, links: DataFrame) -> DataFrame:
+def _rest_of_crowds(shared: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame:
     """``node, root`` with the links added that only crowded shingles can tell, given those found so far."""
 
     def crossing(rows: DataFrame, limit: int | None) -> tuple[DataFrame, DataFrame]:
@@ -343,12 +339,10 @@ def _rest_of_crowds(docs: DataFrame, id_col: str, text: str, shingle: int, nodes
     mixed = known.groupBy("s").agg(F.count(F.lit(1)).alias("nodes"), F.min("root").alias("low"), F.max("root").alias("high"))
     mixed = mixed.where((F.col("nodes") > CENTRES + 1) & (F.col("low") != F.col("high"))).select("s")
     tried, crowd = crossing(shared.where("s IS NOT NULL").join(mixed, "s").select(F.col("s").alias("key"), "node", "n", "at"), FEW)
-    wanted = keep(_nodes_of(tried).union(crowd).distinct(), "crowded")
-    if wanted.isEmpty():
+    if tried.isEmpty() and crowd.isEmpty():
         return rooted
-    sets = _sets(docs, id_col, text, shingle, nodes, wanted)
     for level in range(len(LEVELS) + 1):
-        new = keep(_confirmed(keep(_near_bitmaps(tried, sets), "near-bitmaps"), sets), "confirmed")
+        new = _confirmed(tried, sets)
         if not new.isEmpty():
             rooted = keep(components(rooted.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(new)), "components")
         if level == len(LEVELS) or crowd.isEmpty():
@@ -359,7 +353,7 @@ def _rest_of_crowds(docs: DataFrame, id_col: str, text: str, shingle: int, nodes
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs ``a, b`` whose sets are similar enough."""
+    """The pairs ``a, b`` whose sets are similar enough, stored; sets only travel for pairs with near bitmaps."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -372,12 +366,13 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 found.append((NUM + DEN) * both >= NUM * (len(x) + len(y)))
             yield batch.select(["a", "b"]).filter(pa.array(found, pa.bool_()))
 
+    near = keep(_near_bitmaps(pairs, sets), "near-bitmaps")
     first, second = (sets.select(F.col("node").alias(c), F.col("hashes").alias(f"h{c}")) for c in "ab")
-    return pairs.join(first, "a").join(second, "b").select("a", "b", "ha", "hb").mapInArrow(run, "a bigint, b bigint")
+    return keep(near.join(first, "a").join(second, "b").select("a", "b", "ha", "hb").mapInArrow(run, "a bigint, b bigint"), "confirmed")
 
 
-def _sets(docs: DataFrame, id_col: str, text: str, shingle: int, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``node, hashes`` for those of ``nodes (node, at)`` that are ``wanted``; few, so texts seldom need a shuffle."""
+def _sets(docs: DataFrame, id_col: str, text: str, shingle: int, nodes: DataFrame, wanted: DataFrame) -> tuple[DataFrame, str]:
+    """``node, n, bits, hashes`` for those of ``nodes (node, at)`` that are ``wanted``, bucketed by node: joins with it move the other side only; and the table's name."""
     wanted = wanted.join(nodes, "node").select("node", "at.id", "at.k")
     wanted = keep(wanted, "wanted").select("node", F.col("id").alias("__id"), F.col("k").alias("__k"))
     owners = docs.select(F.col(id_col).alias("id"), F.col(text).alias("t"))
@@ -386,15 +381,18 @@ def _sets(docs: DataFrame, id_col: str, text: str, shingle: int, nodes: DataFram
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
         for batch in batches:
-            own, hashes = [], []
+            own, sizes, maps, hashes = [], [], [], []
             for node, t in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if node not in met:  # not another copy of the row
                     met.add(node)
+                    found = (shingle_set(t.as_py(), shingle) >> np.uint64(32)).astype(np.uint32)
                     own.append(node)
-                    hashes.append((shingle_set(t.as_py(), shingle) >> np.uint64(32)).astype(np.uint32).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(hashes, pa.binary())], ["node", "hashes"])
+                    sizes.append(len(found))
+                    maps.append(_bitmap(found))
+                    hashes.append(found.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(sizes, pa.int32()), pa.array(maps, pa.binary()), pa.array(hashes, pa.binary())], ["node", "n", "bits", "hashes"])
 
-    return keep(texts.mapInArrow(build, "node bigint, hashes binary").dropDuplicates(["node"]), "shingle-sets")
+    return keep_bucketed(texts.mapInArrow(build, "node bigint, n int, bits binary, hashes binary"), "shingle-sets", "node")
 
 
 def _nodes_of(pairs: DataFrame) -> DataFrame:
@@ -416,19 +414,21 @@ def labelled(docs: DataFrame, id_col: str = "doc_id", text: str = "text", *, shi
     tried = near.select("x", "y").unionByName(equal).unionByName(star).where("x <> y")
     tried = keep(tried.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "candidates")
 
-    sets = _sets(docs, id_col, text, shingle, nodes, _nodes_of(tried))
-    links = keep(_confirmed(tried, sets), "confirmed")
+    # every later candidate is a node of a shared shingle, so texts are read for their sets once
+    crowded = shared.where("s IS NOT NULL").select("node")
+    sets, table = _sets(docs, id_col, text, shingle, nodes, _nodes_of(tried).unionByName(crowded).distinct())
+    links = _confirmed(tried, sets)
     rooted = components(links)
 
     known = shared.where("s IS NOT NULL").join(rooted, "node", "left").select("s", F.coalesce("root", "node").alias("root"), "node", _packed())
     rest = _starred(known.repartition("s").sortWithinPartitions("s", "root", "node")).where("a IS NOT NULL").select("a", "b").distinct()
     rest = keep(rest.join(tried, ["a", "b"], "left_anti"), "candidates")
-    more = _sets(docs, id_col, text, shingle, nodes.join(sets, "node", "left_anti"), _nodes_of(rest))
-    again = sets.join(_nodes_of(rest), "node", "left_semi").unionByName(more)
-    links = keep(links.unionByName(_confirmed(rest, again)), "confirmed")
-    rooted = _rest_of_crowds(docs, id_col, text, shingle, nodes, shared, links)
+    links = links.unionByName(_confirmed(rest, sets))
+    rooted = _rest_of_crowds(shared, sets, links)
     named = rows.join(rooted, "node", "left")
-    return keep_only(named.select(F.col("id").alias(id_col), "k", F.coalesce("root", "node").alias("root")), "near-copies", since)
+    found = keep_only(named.select(F.col("id").alias(id_col), "k", F.coalesce("root", "node").alias("root")), "near-copies", since)
+    docs.sparkSession.sql(f"DROP TABLE IF EXISTS {table}")
+    return found
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", *, shingle: int = SHINGLE) -> DataFrame:
