@@ -175,10 +175,12 @@ def weekly_labels(spine: DataFrame, stats: DataFrame, key: Sequence[str], target
 
 
 def season_labels(weekly: DataFrame, spine: DataFrame, by: Sequence[str], key: Sequence[str], targets: Sequence[str], scheduled: Column, played: str = "played") -> DataFrame:
-    """Games, their share of the schedule, totals, and means a game played (null for none)."""
+    """Games, their share of the schedule, totals (0 where all labels are null), and means a game played (null for no games, or where all labels are null)."""
     joined = weekly.join(spine.select(*key, played), list(key))
-    sums = joined.groupBy(*by).agg(F.sum(F.col(played).cast("bigint")).alias("games"), *[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in targets])
-    return sums.select("*", (F.col("games") / scheduled).alias("games_rate"), *[F.try_divide(c, F.nullif(F.col("games"), F.lit(0))).alias(f"{c}_per_game") for c in targets])
+    sums = joined.groupBy(*by).agg(F.sum(F.col(played).cast("bigint")).alias("games"), *[F.sum(c).alias(c) for c in targets])
+    totals = [F.coalesce(c, F.lit(0.0)).alias(c) for c in targets]
+    means = [F.try_divide(c, F.nullif(F.col("games"), F.lit(0))).alias(f"{c}_per_game") for c in targets]
+    return sums.select(*by, "games", *totals, (F.col("games") / scheduled).alias("games_rate"), *means)
 
 
 def prior_features(entities: DataFrame, picks: DataFrame, entity: str, born: str, start: Column, experience: str, pick: str, round_: str, last_pick: int = 300, last_round: int = 8) -> DataFrame:
