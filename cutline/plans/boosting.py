@@ -2,9 +2,11 @@
 
 A ``Problem`` is one model: a label, a loss, the rows that it learns from. All
 problems share one table of binned features, and a tree level of all of them is one
-job: the gradients' sums by (problem, node, feature, bin) in one ``groupBy`` with
-map-side sums, running sums over the bins, and the best split of each node. The
-driver sees a row for each node, never one for each row or bin.
+job: every task adds its rows' gradients by (problem, node, feature, bin) as arrays,
+one ``groupBy`` adds the tasks' sums, then come running sums over the bins, and the
+best split of each node. What is shuffled grows with tasks and bins, not with rows
+times problems times features. The driver sees a row for each node, never one for
+each row or bin.
 
 * Numbers are binned between quantiles of a mergeable sketch, one aggregate for all.
 * A category's bins are ordered in each node by their mean gradient, so a split takes
@@ -23,9 +25,11 @@ do not depend on how rows are partitioned, nor on lost executors.
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,6 +66,11 @@ class Design:
     def features(self) -> list[str]:
         return [*self.edges, *self.known]
 
+    @property
+    def sizes(self) -> list[int]:
+        """The number of each feature's bins, that of missing values included."""
+        return [*(len(e) + 2 for e in self.edges.values()), *(len(c) + 1 for c in self.known.values())]
+
     def bins(self) -> Column:
         """An array with each feature's bin: 0 for missing, numbers from 1 in their order, categories from 1."""
         found = []
@@ -147,12 +156,6 @@ class Model:
         return sorted(own, key=lambda x: (-x[1], x[0]))[:top]
 
 
-def gradient_sums(rows: DataFrame) -> DataFrame:
-    """``k, node, j, bin, g, n`` from ``k, node, q`` (integer gradients) and ``bins``."""
-    long = rows.select("k", "node", "q", F.posexplode("bins").alias("j", "bin"))
-    return long.groupBy("k", "node", "j", "bin").agg(F.sum("q").alias("g"), F.count(F.lit(1)).alias("n"))
-
-
 def split_candidates(sums: DataFrame, units: Sequence[float], categorical: Sequence[int], rising: Sequence[tuple[int, int]], bounds: Sequence[tuple[int, int, float, float]] = (), least: int = 30, ridge: float = 5.0) -> DataFrame:
     """Every admissible split of every node and feature.
 
@@ -207,6 +210,58 @@ def best_splits(candidates: DataFrame, by: Sequence[str] = ("k", "node")) -> Dat
     return candidates.groupBy(*by).agg(F.max_by(F.struct(*[c for c in candidates.columns if c not in by]), order).alias("s")).select(*by, "s.*")
 
 
+def _passes(model: Model, labels: Sequence[int], done: int, own: list[list[dict]] | None = None, levels: int = 0, only: set[int] | None = None) -> Callable[[pa.RecordBatch], Iterator[tuple]]:
+    """A function that gives, problem by problem, ``k``, the rows' numbers, their bins (feature, row), what the rounds from ``done`` on add, gaps (prediction less label) and nodes in the tree of ``own``, of a batch ``bins, y, uses, scores``.
+
+    Tasks get it whole: it needs nothing of this package.
+    """
+    sizes, depth = model.design.sizes, model.depth
+
+    def ready(nodes: list[dict]) -> tuple[list[tuple[int, np.ndarray | None]], np.ndarray]:
+        splits = []
+        for n in nodes:
+            right = np.ones(sizes[n["j"]], np.int64) if n["j"] >= 0 else None
+            if right is not None:
+                right[n["left"]] = 0
+            splits.append((n["j"], right))
+        return splits, np.array([n["v"] for n in nodes])
+
+    earlier = [[ready(tree) for tree in trees] for trees in model.rounds[done:]]
+    growing = [ready(tree)[0] for tree in own or ()]
+
+    def place(splits: list[tuple[int, np.ndarray | None]], bins: np.ndarray, levels: int) -> np.ndarray:
+        at = np.ones(bins.shape[1], np.int64)
+        for n in range(1, 2**levels):
+            j, right = splits[n - 1]
+            if j >= 0:
+                here = slice(None) if n == 1 else np.flatnonzero(at == n)
+                at[here] = 2 * n + right[bins[j, here]]
+        return at
+
+    def each(batch: pa.RecordBatch) -> Iterator[tuple]:
+        flat = lambda c: batch.column(c).flatten().to_numpy(zero_copy_only=False)
+        rows = batch.num_rows
+        bins = np.ascontiguousarray(flat("bins").reshape(rows, len(sizes)).T)
+        y, scores, uses = flat("y").reshape(rows, -1), flat("scores").reshape(rows, -1), flat("uses")
+        row = np.repeat(np.arange(rows), np.diff(batch.column("uses").offsets.to_numpy()))
+        order = np.argsort(uses, kind="stable")
+        ends = np.searchsorted(uses[order], np.arange(len(labels) + 1))
+        for k, label in enumerate(labels):
+            mine = row[order[ends[k] : ends[k + 1]]]
+            if not len(mine) or only is not None and k not in only:
+                continue
+            b, total = bins[:, mine], np.zeros(len(mine))
+            for trees in earlier:
+                splits, values = trees[k]
+                total += values[place(splits, b, depth) - 1]
+            gap = scores[mine, k] + total - y[mine, label]
+            if not np.isfinite(gap).all():
+                raise ValueError("labels must be finite")
+            yield k, mine, b, total, gap, place(growing[k], b, levels) if growing else np.ones(len(mine), np.int64)
+
+    return each
+
+
 @dataclass
 class _Run:
     """What the rounds of one run share: the table of binned rows, the model so far, and how gradients are formed."""
@@ -216,30 +271,82 @@ class _Run:
     units: list[float]
     quantiles: list[float]
     rising: list[tuple[int, int]]
-    label: Column
-    alpha: Column
+    labels: list[int]
 
     @property
     def categorical(self) -> range:
         return range(len(self.model.design.edges), len(self.model.design.features))
 
-    def rows(self, done: int) -> DataFrame:
-        """``bins, k, gap`` (prediction less label) and ``q`` of every row and problem that it trains, the rounds from ``done`` on added to the stored scores."""
-        k = F.col("k")
-        score = F.get("scores", k) + _total(_trees(self.model.rounds[done:]), k, F.col("bins"), self.model.depth)
-        rows = self.state.select("bins", "y", "scores", F.explode("uses").alias("k")).select("bins", "k", (score - F.get("y", self.label)).alias("gap"))
-        gradient = F.when(self.alpha.isNull(), F.col("gap")).when(F.col("gap") < 0, -self.alpha).otherwise(1 - self.alpha)
-        return rows.withColumn("q", F.round(gradient / F.get(F.array(*map(F.lit, self.units)), k)).cast("bigint"))
+    def sums(self, done: int, own: list[list[dict]] | None = None, level: int = 0) -> DataFrame:
+        """``k, node, j, bin, g`` (integer gradients) ``, n`` of the nodes of a level; a task sends a row for each bin that it met."""
+        each, sizes, units = _passes(self.model, self.labels, done, own, level), self.model.design.sizes, self.units
+        alphas = [p.quantile for p in self.model.problems]
+        starts = np.r_[0, np.cumsum(sizes)].astype(np.int64)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            first, width, found = 2**level, int(starts[-1]), {}
+            for batch in batches:
+                for k, _, bins, _, gap, node in each(batch):
+                    x = gap if alphas[k] is None else np.where(gap < 0, -alphas[k], 1 - alphas[k])
+                    x = x / units[k]
+                    whole = np.trunc(x)
+                    q = whole + np.sign(x) * (np.abs(x - whole) >= 0.5)
+                    if (node < first).any():
+                        kept = node >= first
+                        bins, q, node = bins[:, kept], q[kept], node[kept]
+                    place = (bins + starts[:-1, None] + (node - first) * width).ravel()
+                    # a batch's sums of integers stay below 2^53, so they are exact
+                    g = np.bincount(place, np.broadcast_to(q, bins.shape).ravel(), first * width).astype(np.int64)
+                    n = np.bincount(place, minlength=first * width)
+                    found[k] = (found[k][0] + g, found[k][1] + n) if k in found else (g, n)
+            for k, (g, n) in found.items():
+                at = np.flatnonzero(n)
+                node, place = first + at // max(width, 1), at % max(width, 1)
+                j = np.searchsorted(starts, place, side="right") - 1
+                whole = lambda v: pa.array(v.astype(np.int32))
+                yield pa.RecordBatch.from_arrays([whole(np.full(len(at), k)), whole(node), whole(j), whole(place - starts[j]), pa.array(g[at]), pa.array(n[at])], ["k", "node", "j", "bin", "g", "n"])
+
+        parts = self.state.mapInArrow(run, "k int, node int, j int, bin int, g bigint, n bigint")
+        return parts.groupBy("k", "node", "j", "bin").agg(F.sum("g").alias("g"), F.sum("n").alias("n"))
+
+    def residuals(self, done: int, own: list[list[dict]]) -> DataFrame:
+        """``k, node`` (the leaf in ``own``) ``, residual`` of quantile problems' rows."""
+        of = {k for k, p in enumerate(self.model.problems) if p.quantile is not None}
+        each = _passes(self.model, self.labels, done, own, self.model.depth, of)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for k, _, _, _, gap, node in each(batch):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gap), k, np.int32)), pa.array(node.astype(np.int32)), pa.array(-gap)], ["k", "node", "residual"])
+
+        return self.state.mapInArrow(run, "k int, node int, residual double")
+
+    def scored(self, done: int) -> DataFrame:
+        """The table with the rounds from ``done`` on in the stored scores."""
+        each = _passes(self.model, self.labels, done)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                scores = batch.column("scores")
+                new = scores.flatten().to_numpy().reshape(batch.num_rows, -1).copy()
+                for k, rows, _, total, _, _ in each(batch):
+                    new[rows, k] += total
+                offsets = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * new.shape[1])
+                yield batch.set_column(batch.schema.get_field_index("scores"), "scores", pa.ListArray.from_arrays(offsets, pa.array(new.ravel())))
+
+        return self.state.mapInArrow(run, self.state.schema)
 
 
 def _begin(df: DataFrame, design: Design, problems: Sequence[Problem], depth: int) -> _Run:
     """Bins, labels and uses of the training rows, settled; each problem starts at its mean or quantile."""
     problems = list(problems)
     labels = list(dict.fromkeys(p.label for p in problems))
-    label = F.get(F.array(*[F.lit(labels.index(p.label)) for p in problems]), F.col("k"))
+    places = [labels.index(p.label) for p in problems]
+    label = F.get(F.array(*map(F.lit, places)), F.col("k"))
     uses = F.array(*[F.when(p.rows & F.col(p.label).isNotNull(), F.lit(k)) for k, p in enumerate(problems)])
     state = df.select(design.bins().alias("bins"), F.array(*[F.col(c).cast("double") for c in labels]).alias("y"), F.array_compact(uses).alias("uses"))
-    state = settled(state.where(F.size("uses") > 0))
+    # few bytes a row but much work: an even share of rows for every core
+    state = settled(state.where(F.size("uses") > 0).repartition(df.sparkSession.sparkContext.defaultParallelism))
     quantiles = sorted({p.quantile for p in problems if p.quantile is not None})
     shape = [F.avg("y").alias("mean"), (F.max("y") - F.min("y")).alias("range"), *([F.percentile_approx("y", quantiles, ACCURACY).alias("q")] if quantiles else [])]
     long = state.select(F.explode("uses").alias("k"), "y").select("k", F.get("y", label).alias("y"))
@@ -254,15 +361,13 @@ def _begin(df: DataFrame, design: Design, problems: Sequence[Problem], depth: in
 
     model = Model(design, problems, [start(k, p) for k, p in enumerate(problems)], depth)
     rising = [(k, design.features.index(f)) for k, p in enumerate(problems) for f in p.rising if f in design.features]
-    alpha = F.get(F.array(*[F.lit(p.quantile).cast("double") for p in problems]), F.col("k"))
-    return _Run(state.withColumn("scores", F.array(*map(F.lit, model.start))), model, [unit(k, p) for k, p in enumerate(problems)], quantiles, rising, label, alpha)
+    return _Run(state.withColumn("scores", F.array(*map(F.lit, model.start))), model, [unit(k, p) for k, p in enumerate(problems)], quantiles, rising, places)
 
 
 def root_splits(df: DataFrame, design: Design, problems: Sequence[Problem], least: int = 30, ridge: float = 5.0) -> DataFrame:
     """``k, node, j`` and the best split of every feature at the root of every problem's first tree."""
     run = _begin(df, design, problems, 1)
-    sums = gradient_sums(run.rows(0).withColumn("node", F.lit(1)))
-    return best_splits(split_candidates(sums, run.units, run.categorical, run.rising, (), least, ridge), ["k", "node", "j"])
+    return best_splits(split_candidates(run.sums(0), run.units, run.categorical, run.rising, (), least, ridge), ["k", "node", "j"])
 
 
 def boosted(
@@ -280,19 +385,16 @@ def boosted(
     run, done = _begin(df, design, problems, depth), 0
     model = run.model
     for r in range(rounds):
-        rows = run.rows(done)
-        grown = _grow(rows, run, least, ridge, rate)
+        grown = _grow(run, done, least, ridge, rate)
         if run.quantiles:
-            _nearest_steps(rows, grown, model.problems, run.quantiles, depth, rate)
+            _nearest_steps(run, done, grown, rate)
         model.rounds.append([t["nodes"] for t in grown])
         if r + 1 < rounds and len(model.rounds) - done >= settle:
-            new = _trees(model.rounds[done:])
-            every = F.transform(F.sequence(F.lit(0), F.lit(len(model.problems) - 1)), lambda k: F.get("scores", k) + _total(new, k, F.col("bins"), depth))  # noqa: B023  used at once
-            run.state, done = settled(run.state.withColumn("scores", every)), len(model.rounds)
+            run.state, done = settled(run.scored(done)), len(model.rounds)
     return model
 
 
-def _grow(rows: DataFrame, run: _Run, least: int, ridge: float, rate: float) -> list[dict]:
+def _grow(run: _Run, done: int, least: int, ridge: float, rate: float) -> list[dict]:
     """One tree a problem: nodes with their splits and steps, and the bounds of their steps."""
     model, depth = run.model, run.model.depth
     trees = [{"nodes": [{"j": -1, "left": [], "v": 0.0} for _ in range(2 ** (depth + 1))], "bounds": {1: (float("-inf"), float("inf"))}} for _ in model.problems]
@@ -301,9 +403,8 @@ def _grow(rows: DataFrame, run: _Run, least: int, ridge: float, rate: float) ->
         open_ = [(k, n, *t["bounds"][n]) for k, t in enumerate(trees) for n in t["bounds"] if n >= 2**level]
         if not open_:
             break
-        own = F.get(F.element_at(_trees([[t["nodes"][1:] for t in trees]]), 1), F.col("k"))
-        placed = rows.withColumn("node", _leaf(own, F.col("bins"), level)).where(F.col("node") >= 2**level)
-        found = best_splits(split_candidates(gradient_sums(placed), run.units, run.categorical, run.rising, open_, least, ridge))
+        sums = run.sums(done, [t["nodes"][1:] for t in trees], level)
+        found = best_splits(split_candidates(sums, run.units, run.categorical, run.rising, open_, least, ridge))
         for s in found.collect():  # a row a node
             tree, node = trees[s["k"]], s["node"]
             left = (s["set"] if s["j"] >= numbers else list(range(1, s["at"] + 1))) + ([0] if s["absent_left"] else [])
@@ -320,11 +421,10 @@ def _grow(rows: DataFrame, run: _Run, least: int, ridge: float, rate: float) ->
     return trees
 
 
-def _nearest_steps(rows: DataFrame, grown: list[dict], problems: Sequence[Problem], quantiles: Sequence[float], depth: int, rate: float) -> None:
+def _nearest_steps(run: _Run, done: int, grown: list[dict], rate: float) -> None:
     """Give the leaves of quantile problems the nearest quantile of their residuals, within the leaves' bounds."""
-    of = [k for k, p in enumerate(problems) if p.quantile is not None]
-    own = F.get(F.element_at(_trees([[t["nodes"] for t in grown]]), 1), F.col("k"))
-    placed = rows.where(F.col("k").isin(*of)).select("k", _leaf(own, F.col("bins"), depth).alias("node"), (-F.col("gap")).alias("residual"))
+    problems, quantiles = run.model.problems, run.quantiles
+    placed = run.residuals(done, [t["nodes"] for t in grown])
     for r in placed.groupBy("k", "node").agg(F.percentile_approx("residual", list(quantiles), ACCURACY).alias("q")).collect():  # a row a leaf
         tree = grown[r["k"]]
         low, high = tree["bounds"][r["node"]]
