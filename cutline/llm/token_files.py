@@ -7,7 +7,8 @@ values) and a Bloom filter on the document id, so a filter on ids skips files,
 stripes and row groups by their metadata.
 
 A file's rows: the id, ``part`` (the file's number, in the order of the ranges),
-``offset`` (token ids before it in the file) and ``ids`` with the end id.
+``offset`` (token ids before it in the file), ``ids`` with the end id, and ``n_ids``,
+their number, so that a file's ids are counted without decoding them.
 
 Defined results: a null or empty text is the end id alone; rows with a null id
 come first; equal ids are ordered by text, equal rows are kept; an empty table
@@ -47,7 +48,7 @@ def write_token_files(df: DataFrame, path: str, vocabulary: str, *, id_col: str
                 bounds = np.concatenate([[0], np.cumsum(sizes)])
                 lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), "<i4")))
                 number = pa.array(np.full(len(ids), which, np.int32))
-                yield pa.RecordBatch.from_arrays([part.column(0), number, pa.array(offset + bounds[:-1]), lists], [id_col, "part", "offset", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column(0), number, pa.array(offset + bounds[:-1]), lists, pa.array(sizes)], [id_col, "part", "offset", "ids", "n_ids"])
                 offset += int(bounds[-1])
 
     kind = dict(df.dtypes)[id_col]
@@ -60,7 +61,7 @@ def write_token_files(df: DataFrame, path: str, vocabulary: str, *, id_col: str
         "orc.bloom.filter.columns": id_col,
         "orc.bloom.filter.fpp": str(BLOOM_FPP),
     }
-    ordered.mapInArrow(run, f"`{id_col}` {kind}, part int, offset bigint, ids array<int>").write.options(**options).orc(path)
+    ordered.mapInArrow(run, f"`{id_col}` {kind}, part int, offset bigint, ids array<int>, n_ids bigint").write.options(**options).orc(path)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
@@ -80,12 +81,12 @@ def token_digests(rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
             lists = batch.column(3)
             bounds = lists.offsets.to_numpy()
             values = lists.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False)
-            crcs = [zlib.crc32(values[a:b].tobytes()) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+            crcs = [zlib.crc32(values[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.diff(bounds).astype(np.int64)), pa.array(crcs, pa.int64())], [id_col, "part", "offset", "n_tokens", "ids_crc32"])
 
     kind = dict(rows.dtypes)[id_col]
     digests = rows.select(id_col, "part", "offset", "ids").mapInArrow(run, f"`{id_col}` {kind}, part int, offset bigint, n_tokens bigint, ids_crc32 bigint")
-    sizes = rows.groupBy("part").agg(F.sum(F.size("ids")).alias("n"))  # a row a file
+    sizes = rows.groupBy("part").agg(F.sum("n_ids").alias("n"))  # a row a file
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     return digests.join(bases, "part").select(id_col, (F.col("base") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")
