@@ -17,7 +17,11 @@ have, the pairs with the first nodes of its first ``CENTRES`` components. That m
 groups of near copies, however large, one component each, and writes no more than
 ``2 * CENTRES`` pairs a node and shingle. Left are shingles of over ``CENTRES + 1``
 nodes which are still of several components: up to ``FEW`` nodes, all pairs of
-different components are tried whose sizes and places allow the similarity.
+different components are tried whose sizes and places allow the similarity. They
+meet in the task that has the shingle, which compares bitmaps and sends on only the
+pairs whose bitmaps are near; so what is written and joined follows the near pairs,
+not the square of a shingle's nodes. Components and bitmaps are joined a row a node,
+before its shingles or signatures are dealt.
 
 *Signatures.* Nodes of yet more crowded shingles meet by parts of their sets. Two
 sets of ``n`` and ``m`` shingles are similar enough only if they differ in at most
@@ -31,8 +35,8 @@ tried. Nodes whose signature more than ``TRIED`` nodes have go on to the next of
 ``LEVELS``, with longer signatures; the last has no limit. So no link is lost.
 
 Candidates are confirmed in a join with both sets, which hold 32 bits of each
-shingle's hash there: two sets of 1,000 shingles share 0.0002 by chance. They
-meet bitmaps first: each shingle flips one of ``BITMAP`` bits, so two
+shingle's hash there: two sets of 1,000 shingles share 0.0002 by chance. Their
+bitmaps are compared first: each shingle flips one of ``BITMAP`` bits, so two
 bitmaps differ in no more bits than the sets in shingles.
 
 Defined results: words and nulls as in ``simhash``; texts without a word are one
@@ -47,7 +51,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import keep, keep_bucketed, keep_only, opened, ship
@@ -57,9 +61,11 @@ SHINGLE = 5
 #: Nodes of a shingle that all its others are tried with at first.
 CENTRES = 8
 #: Signatures of crowded nodes: differences allowed in a part and cells of a part, level by level, and the nodes of a signature whose pairs are all tried before the last level.
-LEVELS, TRIED = ((1, 3), (2, 5), (4, 8)), 256
-#: Nodes of a shingle of several components whose pairs are all tried.
-FEW = 256
+LEVELS, TRIED = ((1, 3), (2, 5), (4, 8)), 32_768
+#: Nodes of a shingle of several components whose pairs are all tried. A pair costs its task some 10 ns, a node's signatures some hundreds of shuffled rows.
+FEW = 32_768
+#: Near pairs that a task gathers before it sends them on.
+GATHERED = 100_000
 BITMAP = 1_024
 NUM, DEN = 4, 5
 #: Texts of the sample that tells common shingles, how often one is there to be common, and how many are told.
@@ -244,28 +250,34 @@ def signatures(hashes: np.ndarray, level: int) -> np.ndarray:
 
 
 def _signed(sets: DataFrame, level: int) -> DataFrame:
-    """``key, node, n`` for every signature of ``sets (node, hashes)``."""
+    """``key, root, node, n, at, bits`` for every signature of ``sets (root, node, bits, hashes)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for node, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for root, node, bits, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 hashes = np.frombuffer(raw, np.uint32)
                 keys = signatures(hashes, level)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(len(keys), node, np.int64)), pa.array(np.full(len(keys), len(hashes), np.int32))], ["key", "node", "n"])
+                same = lambda x, kind, k=len(keys): pa.array(np.full(k, x, kind))
+                columns = [pa.array(keys), same(root, np.int64), same(node, np.int64), same(len(hashes), np.int32), same(0, np.int32), pa.array([bits] * len(keys), pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "root", "node", "n", "at", "bits"])
 
-    return sets.select("node", "hashes").mapInArrow(run, "key bigint, node bigint, n int")
+    return sets.select("root", "node", "bits", "hashes").mapInArrow(run, "key bigint, root bigint, node bigint, n int, at int, bits binary")
 
 
 def _crossing(dealt: DataFrame, limit: int | None) -> DataFrame:
-    """Pairs ``a, b`` of nodes of one key, of different roots and with sizes and places that allow the similarity; and, with ``b`` null, the nodes of keys with over ``limit`` nodes.
+    """Pairs ``a, b`` of nodes of one key, of different roots, with sizes and places that allow the similarity and with near bitmaps; and, with ``b`` null, the nodes of keys with over ``limit`` nodes.
 
-    ``dealt (key, root, node, n, at)`` is sorted and whole by key in its partitions.
+    ``dealt (key, root, node, n, at, bits)`` is sorted and whole by key in its partitions.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carry = [np.zeros(0, np.int64)] * 5
+        carry = [np.zeros(0, np.int64)] * 5 + [np.zeros((0, BITMAP // 64), np.uint64)]
 
-        def solve(key: np.ndarray, root: np.ndarray, node: np.ndarray, n: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def send(found: list[np.ndarray]) -> pa.RecordBatch:
+            pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+        def solve(key: np.ndarray, root: np.ndarray, node: np.ndarray, n: np.ndarray, at: np.ndarray, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
             starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             sizes = np.diff(np.r_[starts, len(key)])
             several = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)
@@ -274,22 +286,28 @@ def _crossing(dealt: DataFrame, limit: int | None) -> DataFrame:
             if over.any():
                 yield pa.RecordBatch.from_arrays([pa.array(np.unique(node[over])), pa.nulls(len(np.unique(node[over])), pa.int64())], ["a", "b"])
             kept = np.repeat(few, sizes)
-            key, root, node, n, at = key[kept], root[kept], node[kept], n[kept], at[kept]
-            step = 1
-            while step < len(key):
-                near = np.flatnonzero(key[step:] == key[:-step])
-                if not len(near):
-                    break
+            root, node, n, at, bits = root[kept], node[kept], n[kept], at[kept], bits[kept]
+            stops = np.repeat(np.cumsum(sizes[few]), sizes[few])
+            near, step, found = np.arange(len(stops)), 1, []
+            while len(near := near[near + step < stops[near]]):  # rows with a row of their key ``step`` further on
                 far = near + step
-                fit = (root[near] != root[far]) & _may_link(n[near], at[near], n[far], at[far])
-                if fit.any():
-                    pairs = np.unique(np.sort(np.column_stack([node[near[fit]], node[far[fit]]]), axis=1), axis=0)
-                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+                fit = root[near] != root[far]
+                fit[fit] = _may_link(n[near[fit]], at[near[fit]], n[far[fit]], at[far[fit]])
+                a, b = near[fit], far[fit]
+                alike = _alike(bits[a], bits[b], n[a] + n[b])
+                if alike.any():
+                    found.append(np.column_stack([node[a[alike]], node[b[alike]]]))
+                    if sum(map(len, found)) >= GATHERED:
+                        yield send(found)
+                        found = []
                 step += 1
+            if found:
+                yield send(found)
 
         for batch in batches:
             if batch.num_rows:
-                rows = [np.concatenate([c, b.to_numpy().astype(np.int64)]) for c, b in zip(carry, batch.columns, strict=True)]
+                own = [*(c.to_numpy().astype(np.int64) for c in batch.columns[:5]), _words(batch.column(5))]
+                rows = [np.concatenate(x) for x in zip(carry, own, strict=True)]
                 last = int(np.searchsorted(rows[0], rows[0][-1]))
                 if last:
                     yield from solve(*[x[:last] for x in rows])
@@ -301,7 +319,7 @@ def _crossing(dealt: DataFrame, limit: int | None) -> DataFrame:
         if len(carry[0]):
             yield from solve(*carry)
 
-    return dealt.select("key", "root", "node", "n", "at").mapInArrow(run, "a bigint, b bigint")
+    return dealt.select("key", "root", "node", "n", "at", "bits").mapInArrow(run, "a bigint, b bigint")
 
 
 def _bitmap(hashes: np.ndarray) -> bytes:
@@ -309,6 +327,16 @@ def _bitmap(hashes: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+def _words(bitmaps: pa.Array) -> np.ndarray:
+    """Bitmaps as rows of 64-bit words."""
+    return np.frombuffer(b"".join(bitmaps.to_pylist()), np.uint64).reshape(len(bitmaps), -1)
+
+
+def _alike(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether bitmaps don't differ in more bits than their sets, of ``n`` shingles together, may in shingles."""
+    return (NUM + DEN) * np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= (DEN - NUM) * n
+
+
 def _near_bitmaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs ``a, b`` whose sets' bitmaps don't differ in more bits than the sets may in shingles."""
 
@@ -316,44 +344,55 @@ def _near_bitmaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("ba", "bb"))
             n = batch.column("na").to_numpy().astype(np.int64) + batch.column("nb").to_numpy()
-            apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
-            yield batch.select(["a", "b"]).filter(pa.array((NUM + DEN) * apart <= (DEN - NUM) * n))
+            yield batch.select(["a", "b"]).filter(pa.array(_alike(_words(batch.column("ba")), _words(batch.column("bb")), n)))
 
     first, second = (sets.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"b{c}")) for c in "ab")
     return pairs.join(first, "a").join(second, "b").select("a", "b", "na", "nb", "ba", "bb").mapInArrow(run, "a bigint, b bigint")
 
 
-def _rest_of_crowds(shared: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame:
-    """``node, root`` with the links added that only crowded shingles can tell, given those found so far."""
+def _in_components(nodes: DataFrame, rooted: DataFrame) -> DataFrame:
+    """``nodes`` (a row a node) with ``root``: their component, or themselves."""
+    return nodes.join(rooted, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def _dealt(nodes: DataFrame, *more: str) -> DataFrame:
+    """``s, root, node, n, at`` and ``more`` for each of the ``places`` of ``nodes``."""
+    return nodes.select("root", "node", "n", *more, F.explode("places").alias("p")).select("p.s", "root", "node", "n", "p.at", *more)
+
+
+def _places(rows: DataFrame, *more: str) -> DataFrame:
+    """A row a node of ``rows (s, node, n, at)``, with its shingles in ``places``."""
+    return rows.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", *more)], F.collect_list(F.struct("s", "at")).alias("places"))
+
+
+def _rest_of_crowds(crowded: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame:
+    """``node, root`` with the links added that only shingles of many nodes can tell, given those found so far."""
 
-    def crossing(rows: DataFrame, limit: int | None) -> tuple[DataFrame, DataFrame]:
-        """Pairs to try, and nodes of keys beyond the limit."""
-        dealt = rows.join(rooted, "node", "left").select("key", F.coalesce("root", "node").alias("root"), "node", "n", "at")
+    def crossing(dealt: DataFrame, limit: int | None) -> tuple[DataFrame, DataFrame]:
+        """Pairs to confirm, and nodes of keys beyond the limit."""
         found = keep(_crossing(dealt.repartition("key").sortWithinPartitions("key", "root", "node"), limit), "crossing")
         return found.where("b IS NOT NULL").distinct(), found.where("b IS NULL").select(F.col("a").alias("node")).distinct()
 
     rooted = keep(components(links), "components")
-    known = shared.where("s IS NOT NULL").join(rooted, "node", "left").select("s", F.coalesce("root", "node").alias("root"))
-    mixed = known.groupBy("s").agg(F.count(F.lit(1)).alias("nodes"), F.min("root").alias("low"), F.max("root").alias("high"))
-    mixed = mixed.where((F.col("nodes") > CENTRES + 1) & (F.col("low") != F.col("high"))).select("s")
-    tried, crowd = crossing(shared.where("s IS NOT NULL").join(mixed, "s").select(F.col("s").alias("key"), "node", "n", "at"), FEW)
-    if tried.isEmpty() and crowd.isEmpty():
-        return rooted
+    whole = Window.partitionBy("s")
+    seen = {"nodes": F.count(F.lit(1)).over(whole), "low": F.min("root").over(whole), "high": F.max("root").over(whole)}
+    mixed = _dealt(_in_components(crowded, rooted)).withColumns(seen).where((F.col("nodes") > CENTRES + 1) & (F.col("low") != F.col("high")))
+    mapped = _places(mixed, "root").join(sets.select("node", "bits"), "node")
+    tried, crowd = crossing(_dealt(mapped, "bits").withColumnRenamed("s", "key"), FEW)
     for level in range(len(LEVELS) + 1):
         new = _confirmed(tried, sets)
         if not new.isEmpty():
             rooted = keep(components(rooted.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(new)), "components")
         if level == len(LEVELS) or crowd.isEmpty():
             break
-        signed = _signed(sets.join(crowd, "node", "left_semi"), level).withColumn("at", F.lit(0))
+        signed = _signed(_in_components(sets.join(crowd, "node", "left_semi"), rooted), level)
         tried, crowd = crossing(signed, TRIED if level + 1 < len(LEVELS) else None)
     return rooted
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs ``a, b`` whose sets are similar enough, stored; sets only travel for pairs with near bitmaps."""
+    """The pairs ``a, b`` (with near bitmaps) whose sets are similar enough, stored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -366,9 +405,8 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 found.append((NUM + DEN) * both >= NUM * (len(x) + len(y)))
             yield batch.select(["a", "b"]).filter(pa.array(found, pa.bool_()))
 
-    near = keep(_near_bitmaps(pairs, sets), "near-bitmaps")
     first, second = (sets.select(F.col("node").alias(c), F.col("hashes").alias(f"h{c}")) for c in "ab")
-    return keep(near.join(first, "a").join(second, "b").select("a", "b", "ha", "hb").mapInArrow(run, "a bigint, b bigint"), "confirmed")
+    return keep(pairs.join(first, "a").join(second, "b").select("a", "b", "ha", "hb").mapInArrow(run, "a bigint, b bigint"), "confirmed")
 
 
 def _sets(docs: DataFrame, id_col: str, text: str, shingle: int, nodes: DataFrame, wanted: DataFrame) -> tuple[DataFrame, str]:
@@ -415,16 +453,16 @@ def labelled(docs: DataFrame, id_col: str = "doc_id", text: str = "text", *, shi
     tried = keep(tried.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "candidates")
 
     # every later candidate is a node of a shared shingle, so texts are read for their sets once
-    crowded = shared.where("s IS NOT NULL").select("node")
-    sets, table = _sets(docs, id_col, text, shingle, nodes, _nodes_of(tried).unionByName(crowded).distinct())
-    links = _confirmed(tried, sets)
+    crowded = keep(_places(shared.where("s IS NOT NULL")), "crowded")
+    sets, table = _sets(docs, id_col, text, shingle, nodes, _nodes_of(tried).unionByName(crowded.select("node")).distinct())
+    links = _confirmed(keep(_near_bitmaps(tried, sets), "near-bitmaps"), sets)
     rooted = components(links)
 
-    known = shared.where("s IS NOT NULL").join(rooted, "node", "left").select("s", F.coalesce("root", "node").alias("root"), "node", _packed())
+    known = _dealt(_in_components(crowded, rooted)).select("s", "root", "node", _packed())
     rest = _starred(known.repartition("s").sortWithinPartitions("s", "root", "node")).where("a IS NOT NULL").select("a", "b").distinct()
     rest = keep(rest.join(tried, ["a", "b"], "left_anti"), "candidates")
-    links = links.unionByName(_confirmed(rest, sets))
-    rooted = _rest_of_crowds(shared, sets, links)
+    links = links.unionByName(_confirmed(keep(_near_bitmaps(rest, sets), "near-bitmaps"), sets))
+    rooted = _rest_of_crowds(crowded, sets, links)
     named = rows.join(rooted, "node", "left")
     found = keep_only(named.select(F.col("id").alias(id_col), "k", F.coalesce("root", "node").alias("root")), "near-copies", since)
     docs.sparkSession.sql(f"DROP TABLE IF EXISTS {table}")

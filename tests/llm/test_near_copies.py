@@ -116,3 +116,25 @@ def test_similar_sets_share_a_signature(level):
             two = np.unique(np.r_[one[cut:], more])
             if len(two) and 9 * len(np.intersect1d(one, two)) >= 4 * (len(one) + len(two)):
                 assert len(np.intersect1d(near_copies.signatures(np.unique(one), level), near_copies.signatures(two, level))), (n, cut)
+
+
+def test_unlike_texts_of_a_common_passage_make_no_pairs(spark, monkeypatch):
+    """100 unlike texts share a passage: beyond the pairs with its centres, only pairs with near bitmaps leave the tasks that compare them (4,186 unlike ones did before)."""
+    monkeypatch.setattr(near_copies, "COMMON", 10**9)
+    rng = random.Random(5)
+    prose = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    passage = prose(60)
+    texts = [" ".join([*passage, *prose(60)]) for _ in range(100)]
+    texts.append(edited(rng, texts[50].split(), 1))
+    written = {}
+    keep = near_copies.keep
+
+    def counted(df, what):
+        out = keep(df, what)
+        written[what] = written.get(what, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(near_copies, "keep", counted)
+    found = {r.doc_id: r.root for r in near_copies.labelled(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)).collect()}
+    assert found[50] == found[100] and len(set(found.values())) == 100
+    assert written["crossing"] <= 10
