@@ -12,14 +12,16 @@ the library's plain call has it; texts that hold one are encoded whole.
 
 from __future__ import annotations
 
+import gc
 import json
 import re
+import string
 import struct
 
 import numpy as np
 import regex
 
-#: Units that a worker remembers; the cache is emptied beyond, which costs time only.
+#: Units of a generation that a worker remembers, beside those of the generation before that it has not met again.
 CACHE_UNITS = 500_000
 
 _DOUBLES = ("  ", "\n\n", " \n", "\n ")
@@ -48,16 +50,20 @@ _LOADED: dict[str, "CachedTokenizer"] = {}
 
 
 class _Cache(dict):
-    """Remembers what ``make`` gives, up to ``CACHE_UNITS`` keys."""
+    """Remembers what ``make`` gives, up to ``CACHE_UNITS`` keys, and as many before those: keys in use outlast the others."""
 
     def __init__(self, make):
         super().__init__()
-        self.make = make
+        self.make, self.older = make, {}
 
     def __missing__(self, key):
         if len(self) >= CACHE_UNITS:
+            self.older = dict(self)
             self.clear()
-        found = self[key] = self.make(key)
+        found = self.older.get(key)
+        if found is None:
+            found = self.make(key)
+        self[key] = found
         return found
 
 
@@ -117,8 +123,12 @@ class CachedTokenizer:
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _unit(self, unit: str, space: str = "") -> bytes:
-        if unit.isalpha() and unit.isascii():  # one pre-token in either kind of vocabulary
-            return self.pieces[unit.lower() if self.normalizer else space + unit]
+        if unit.isascii():
+            word = unit.rstrip(string.punctuation)
+            if word.isalpha():  # one pre-token in either kind of vocabulary, and so is the punctuation after it
+                if len(word) < len(unit):
+                    return (self.spaced if space else self.bare)[word] + self.pieces[unit[len(word) :]]
+                return self._merge(unit.lower() if self.normalizer else space + unit)
         unit = space + unit
         if not LATIN.fullmatch(unit):
             return self.encode(unit)
@@ -146,6 +156,7 @@ def tokenizer(path: str) -> CachedTokenizer:
     if path not in _LOADED:
         _LOADED.clear()
         _LOADED[path] = CachedTokenizer(path)
+        gc.freeze()  # else full collections walk through the caches, again and again
     return _LOADED[path]
 
 
