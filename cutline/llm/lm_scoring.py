@@ -141,21 +141,23 @@ def build_vocabulary(counts: DataFrame, size: int = VOCABULARY) -> Vocabulary:
 
 def encode(rows: DataFrame, sent) -> DataFrame:
     """``rows (id, text, held_out)`` with ``codes`` (little-endian 32-bit integers) and ``rare`` tokens for the text."""
-    rare_kind = pa.list_(pa.struct([("token", pa.binary()), ("n", pa.int64())]))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
-                codes, rare = [], []
+                codes, tokens, times, ends = [], [], [], [0]
                 for value in part.column(1):
                     words = words_of(value.as_py())
                     own = known.codes(words)
                     out = Counter(key_of(words[i]) if i < len(words) else END for i in np.flatnonzero(own == known.rare).tolist())
                     codes.append(own.astype("<i4").tobytes())
-                    rare.append([{"token": t, "n": n} for t, n in out.items()])
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(codes, pa.binary()), pa.array(rare, rare_kind)], ["id", "held_out", "codes", "rare"])
+                    tokens += out
+                    times += out.values()
+                    ends.append(len(tokens))
+                rare = pa.StructArray.from_arrays([pa.array(tokens, pa.binary()), pa.array(times, pa.int64())], ["token", "n"])
+                rare = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rare)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(codes, pa.binary()), rare], ["id", "held_out", "codes", "rare"])
 
     kind = dict(rows.dtypes)["id"]
     return rows.select("id", "text", "held_out").mapInArrow(run, f"id {kind}, held_out boolean, codes binary, rare array<struct<token: binary, n: bigint>>")

@@ -50,22 +50,24 @@ def inputs_of(w: Weights, codes: np.ndarray) -> np.ndarray:
     return np.where(codes < 0, kept + 1, np.minimum(codes, kept))
 
 
-def run(w: Weights, state: np.ndarray, rows: np.ndarray, fresh_start: np.ndarray | None) -> tuple[np.ndarray, ...]:
+def run(w: Weights, state: np.ndarray, rows: np.ndarray, fresh_start: np.ndarray | None, history: bool = True) -> tuple[np.ndarray, ...]:
     """States after each of ``rows`` (time by lanes, rows of ``read``), and for each step the state before, the gates, the reset state and the new content.
 
-    ``fresh_start`` marks where a lane begins anew.
+    ``fresh_start`` marks where a lane begins anew. Without ``history`` only the states are of every step.
     """
     steps, n = rows.shape
     size = w["gates"].shape[0]
     read = w["read"][rows]
-    states, kept, new = (np.empty((steps, n, size), np.float32) for _ in range(3))
-    prior, gates = np.empty((steps, n, size), np.float32), np.empty((steps, n, 2 * size), np.float32)
+    states, past = np.empty((steps, n, size), np.float32), steps if history else 1
+    prior, kept, new = (np.empty((past, n, size), np.float32) for _ in range(3))
+    gates = np.empty((past, n, 2 * size), np.float32)
     half = np.float32(0.5)  # the logistic function of x is (1 + tanh(x / 2)) / 2
     to_gates = w["gates"] * half
     read[:, :, : 2 * size] *= half
     begins = [False] * steps if fresh_start is None else fresh_start.any(axis=1).tolist()
     for t in range(steps):
-        before, g, k, x, after = prior[t], gates[t], kept[t], new[t], states[t]
+        own = t if history else 0
+        before, g, k, x, after = prior[own], gates[own], kept[own], new[own], states[t]
         before[:] = state
         if begins[t]:
             before[fresh_start[t]] = 0
@@ -95,6 +97,14 @@ def _soft(logits: np.ndarray, target: np.ndarray) -> np.ndarray:
     return own - np.log(total)
 
 
+def _log_soft(logits: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Log probability of each row's target; ``logits`` are used up."""
+    logits -= logits.max(axis=1, keepdims=True)
+    own = logits[np.arange(len(target)), target]
+    np.exp(logits, out=logits)
+    return own - np.log(logits @ np.ones(logits.shape[1], logits.dtype))
+
+
 def _by_class(target: np.ndarray, classes: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
     """Positions in the order of their class, and (class, first, last) of each class that occurs but the shared one."""
     order = np.argsort(target, kind="stable")
@@ -115,11 +125,13 @@ def log_probabilities(w: Weights, states: np.ndarray, codes: np.ndarray) -> np.n
     """Natural-log probability of each code after its state (of its class, where the code is shared)."""
     classes, _, members = w["word"].shape
     target = np.minimum(codes // members, classes)
-    found = _soft(states @ w["out"] + w["bias"], target)
+    logits = states @ w["out"]
+    logits += w["bias"]
+    found = _log_soft(logits, target)
     order, parts = _by_class(target, classes)
     logits = _inside(w, states[order], parts)
     own = order[: len(logits)]
-    found[own] += _soft(logits, codes[own] % members)
+    found[own] += _log_soft(logits, codes[own] % members)
     return found
 
 
@@ -143,7 +155,7 @@ def score(w: Weights, documents: Sequence[np.ndarray]) -> np.ndarray:
             codes[k, : len(part)] = part
         codes = codes.T
         before = np.concatenate([last[None, :n], codes[:-1]])
-        states = run(w, state[:n], inputs_of(w, before), None)[0]
+        states = run(w, state[:n], inputs_of(w, before), None, history=False)[0]
         real = at + np.arange(steps)[:, None] < sizes[None, :n]
         found = np.zeros(codes.shape)
         found[real] = log_probabilities(w, states[real], codes[real])
