@@ -86,7 +86,8 @@ def token_digests(rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
     kind = dict(rows.dtypes)[id_col]
     digests = rows.select(id_col, "part", "offset", "ids").mapInArrow(run, f"`{id_col}` {kind}, part int, offset bigint, n_tokens bigint, ids_crc32 bigint")
-    sizes = rows.groupBy("part").agg(F.sum("n_ids").alias("n"))  # a row a file
+    n_ids = F.col("n_ids") if "n_ids" in rows.columns else F.size("ids").cast("long")  # files written before have none
+    sizes = rows.groupBy("part").agg(F.sum(n_ids).alias("n"))  # a row a file
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     return digests.join(bases, "part").select(id_col, (F.col("base") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")
