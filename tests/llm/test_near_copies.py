@@ -119,7 +119,7 @@ def test_similar_sets_share_a_signature(level):
 
 
 def test_unlike_texts_of_a_common_passage_make_no_pairs(spark, monkeypatch):
-    """100 unlike texts share a passage: beyond the pairs with its centres, only pairs with near bitmaps leave the tasks that compare them (4,186 unlike ones did before)."""
+    """100 unlike texts share a passage: beyond the pairs with its centres, only pairs with near bitmaps leave the tasks that compare them; before, all pairs did."""
     monkeypatch.setattr(near_copies, "COMMON", 10**9)
     rng = random.Random(5)
     prose = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
