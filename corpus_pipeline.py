@@ -18,6 +18,8 @@ from cutline.llm.common import keep, read_table
 
 #: Bytes of a repeat in the suffix-array stage: passages of over 50 words reach it (words take 6.3 bytes on average, so 50 take about 317).
 REPEAT = 256
+#: Units that a packing task remembers a generation; workers go from stage to stage, and what they hold adds up beside the others' work.
+UNITS = 100_000
 
 
 def _with_text(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -56,7 +58,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of every document with their place in the packed sequences; an empty text is a piece of its end id alone."""
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), units=UNITS)
 
 
 STAGES = [

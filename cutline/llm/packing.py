@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import keep, ship
-from .tokens import document_ids
+from .tokens import document_ids, forget
 
 CAPACITY = 2048
 GRAIN = 16
@@ -45,8 +45,12 @@ GRAIN = 16
 BUCKET_ROWS = 100_000
 
 
-def pieces(df: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end: int = 0) -> DataFrame:
-    """``id_col, piece, start, length, ids_crc32`` of every piece, and ``salt``, which deals even equal rows apart."""
+def pieces(df: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end: int = 0, units: int | None = None) -> DataFrame:
+    """``id_col, piece, start, length, ids_crc32`` of every piece, and ``salt``, which deals even equal rows apart.
+
+    With ``units`` a worker remembers no more of them a generation, and nothing
+    once a task has ended: for jobs whose other stages need its memory.
+    """
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,7 +58,7 @@ def pieces(df: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text: str
         for batch in batches:
             rows: list[tuple[int, int, int, int, int]] = []
             for at, value in enumerate(batch.column(1).to_pylist()):
-                ids = memoryview(document_ids(vocabulary, value, end))
+                ids = memoryview(document_ids(vocabulary, value, end, units))
                 for piece, start in enumerate(range(0, len(ids) // 4, capacity)):
                     part = ids[4 * start : 4 * (start + capacity)]
                     rows.append((at, piece, start, len(part) // 4, zlib.crc32(part)))
@@ -63,6 +67,8 @@ def pieces(df: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text: str
             columns.append(pa.array(range(salt, salt + len(at)), pa.int64()))
             salt += len(at)
             yield pa.RecordBatch.from_arrays(columns, [id_col, "piece", "start", "length", "ids_crc32", "salt"])
+        if units:
+            forget()
 
     kind = dict(df.dtypes)[id_col]
     return df.select(id_col, text).mapInArrow(run, f"`{id_col}` {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, salt bigint")
@@ -258,6 +264,6 @@ def pack(found: DataFrame, *, id_col: str = "doc_id", capacity: int = CAPACITY,
     return placed.select(*columns, (F.col("__slot.base") + F.col("__rank") - F.col("__slot.first")).alias("sequence_id"), F.col("__slot.at").alias("offset")).unionByName(full)
 
 
-def pack_documents(df: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text: str = "text", capacity: int = CAPACITY, grain: int = GRAIN) -> DataFrame:
-    """Pieces of every document with their place in the packed sequences."""
-    return pack(keep(pieces(df, vocabulary, id_col=id_col, text=text, capacity=capacity), "pieces"), id_col=id_col, capacity=capacity, grain=grain)
+def pack_documents(df: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text: str = "text", capacity: int = CAPACITY, grain: int = GRAIN, units: int | None = None) -> DataFrame:
+    """Pieces of every document with their place in the packed sequences; ``units`` as in ``pieces``."""
+    return pack(keep(pieces(df, vocabulary, id_col=id_col, text=text, capacity=capacity, units=units), "pieces"), id_col=id_col, capacity=capacity, grain=grain)

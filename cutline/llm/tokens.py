@@ -46,18 +46,18 @@ def byte_letters() -> dict[int, int]:
 
 _LETTERS = byte_letters()
 
-_LOADED: dict[str, "CachedTokenizer"] = {}
+_LOADED: dict[tuple[str, int | None], "CachedTokenizer"] = {}
 
 
 class _Cache(dict):
-    """Remembers what ``make`` gives, up to ``CACHE_UNITS`` keys, and as many before those: keys in use outlast the others."""
+    """Remembers what ``make`` gives, up to ``most`` keys (else ``CACHE_UNITS``), and as many before those: keys in use outlast the others."""
 
-    def __init__(self, make):
+    def __init__(self, make, most: int | None = None):
         super().__init__()
-        self.make, self.older = make, {}
+        self.make, self.most, self.older = make, most, {}
 
     def __missing__(self, key):
-        if len(self) >= CACHE_UNITS:
+        if len(self) >= (self.most or CACHE_UNITS):
             self.older = dict(self)
             self.clear()
         found = self.older.get(key)
@@ -97,18 +97,18 @@ def way_of_splitting(spec: dict) -> str | None:
 
 
 class CachedTokenizer:
-    """Ids as little-endian unsigned 32-bit bytes."""
+    """Ids as little-endian unsigned 32-bit bytes; each cache holds ``units`` a generation."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, units: int | None = None):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         spec = json.loads(self.tokenizer.to_str())
         self.way, self.added = way_of_splitting(spec), [t["content"] for t in spec["added_tokens"]]
         self.model, self.normalizer = self.tokenizer.model, self.tokenizer.normalizer
-        self.pieces = _Cache(self._merge)
-        self.bare = _Cache(self._unit)
-        self.spaced = _Cache(lambda word: self._unit(word, " "))
+        self.pieces = _Cache(self._merge, units)
+        self.bare = _Cache(self._unit, units)
+        self.spaced = _Cache(lambda word: self._unit(word, " "), units)
         self.newline = self.encode("\n")
 
     def encode(self, text: str) -> bytes:
@@ -151,15 +151,25 @@ class CachedTokenizer:
         return self.newline.join(out)
 
 
-def tokenizer(path: str) -> CachedTokenizer:
-    """The tokenizer of a vocabulary file, loaded once in a worker."""
-    if path not in _LOADED:
+def forget() -> None:
+    """Give back the memory of what the worker's tokenizer remembers; it stays loaded."""
+    for own in _LOADED.values():
+        for cache in (own.pieces, own.bare, own.spaced):
+            cache.clear()
+            cache.older = {}
+
+
+def tokenizer(path: str, units: int | None = None) -> CachedTokenizer:
+    """The tokenizer of a vocabulary file, loaded once in a worker; another one takes its place."""
+    if (path, units) not in _LOADED:
+        for own in _LOADED.values():
+            vars(own).clear()  # it refers to itself and is hidden from collections, so it would stay
         _LOADED.clear()
-        _LOADED[path] = CachedTokenizer(path)
+        _LOADED[path, units] = CachedTokenizer(path, units)
         gc.freeze()  # else full collections walk through the caches, again and again
-    return _LOADED[path]
+    return _LOADED[path, units]
 
 
-def document_ids(path: str, text: str | None, end: int = 0) -> bytes:
+def document_ids(path: str, text: str | None, end: int = 0, units: int | None = None) -> bytes:
     """Ids of a text (null: empty) with the end id after them."""
-    return (tokenizer(path).ids(text) if text else b"") + np.array([end], "<u4").tobytes()
+    return (tokenizer(path, units).ids(text) if text else b"") + np.array([end], "<u4").tobytes()
