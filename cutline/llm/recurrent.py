@@ -24,6 +24,8 @@ CLASSES, MEMBERS = 64, 64
 WINDOW, LANES, LONGEST = 16, 512, 512
 #: Positions of a scoring window, at most (lanes times steps).
 POSITIONS = 16_384
+#: Logits whose rows' maxima are within this of a common bound need no maximum of their own: their sums are normal 32-bit numbers.
+NEAR = 60.0
 
 Weights = dict[str, np.ndarray]
 
@@ -87,19 +89,33 @@ def run(w: Weights, state: np.ndarray, rows: np.ndarray, fresh_start: np.ndarray
     return states, prior, gates, kept, new
 
 
-def _soft(logits: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Log probability of each row's target; ``logits`` become probabilities."""
-    logits -= logits.max(axis=1, keepdims=True)
+def _shifted(weights: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``bias`` less a bound of each row of logits, and whether that is as good as taking each row's own maximum away.
+
+    States are between -1 and 1, so no logit of states times ``weights`` passes its
+    bias by more than the sum of its weights' sizes, up or down.
+    """
+    reach = np.abs(weights).sum(axis=-2)
+    high, low = (bias + reach).max(axis=-1), (bias - reach).max(axis=-1)
+    near = high - low < NEAR
+    return np.where(near[..., None], bias - high[..., None], bias).astype(np.float32), near
+
+
+def _soft(logits: np.ndarray, target: np.ndarray, near: bool) -> np.ndarray:
+    """Log probability of each row's target; ``logits`` become probabilities. ``near``: no row needs its maximum taken away."""
+    if not near:
+        logits -= logits.max(axis=1, keepdims=True)
     own = logits[np.arange(len(target)), target]
     np.exp(logits, out=logits)
-    total = logits.sum(axis=1)
+    total = logits @ np.ones(logits.shape[1], logits.dtype)
     logits /= total[:, None]
     return own - np.log(total)
 
 
-def _log_soft(logits: np.ndarray, target: np.ndarray) -> np.ndarray:
+def _log_soft(logits: np.ndarray, target: np.ndarray, near: bool) -> np.ndarray:
     """Log probability of each row's target; ``logits`` are used up."""
-    logits -= logits.max(axis=1, keepdims=True)
+    if not near:
+        logits -= logits.max(axis=1, keepdims=True)
     own = logits[np.arange(len(target)), target]
     np.exp(logits, out=logits)
     return own - np.log(logits @ np.ones(logits.shape[1], logits.dtype))
@@ -112,26 +128,28 @@ def _by_class(target: np.ndarray, classes: int) -> tuple[np.ndarray, list[tuple[
     return order, [(c, a, b) for c, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
 
 
-def _inside(w: Weights, states: np.ndarray, parts: list[tuple[int, int, int]]) -> np.ndarray:
-    """Logits of the members of each row's class."""
+def _inside(w: Weights, states: np.ndarray, parts: list[tuple[int, int, int]]) -> tuple[np.ndarray, bool]:
+    """Logits of the members of each row's class, and whether no row needs its maximum taken away."""
+    bias, near = _shifted(w["word"], w["word_bias"])
     logits = np.empty((parts[-1][2] if parts else 0, w["word_bias"].shape[1]), np.float32)
     for c, a, b in parts:
         np.matmul(states[a:b], w["word"][c], out=logits[a:b])
-        logits[a:b] += w["word_bias"][c]
-    return logits
+        logits[a:b] += bias[c]
+    return logits, all(near[c] for c, _, _ in parts)
 
 
 def log_probabilities(w: Weights, states: np.ndarray, codes: np.ndarray) -> np.ndarray:
     """Natural-log probability of each code after its state (of its class, where the code is shared)."""
     classes, _, members = w["word"].shape
     target = np.minimum(codes // members, classes)
+    bias, near = _shifted(w["out"], w["bias"])
     logits = states @ w["out"]
-    logits += w["bias"]
-    found = _log_soft(logits, target)
+    logits += bias
+    found = _log_soft(logits, target, bool(near))
     order, parts = _by_class(target, classes)
-    logits = _inside(w, states[order], parts)
+    logits, near = _inside(w, states[order], parts)
     own = order[: len(logits)]
-    found[own] += _log_soft(logits, codes[own] % members)
+    found[own] += _log_soft(logits, codes[own] % members, near)
     return found
 
 
@@ -179,14 +197,16 @@ def gradients(w: Weights, state: np.ndarray, before: np.ndarray, codes: np.ndarr
     flat, goal, counted = states.reshape(-1, size)[order], goal[order], counted[order]
     g: Weights = {"word": np.zeros_like(w["word"]), "word_bias": np.zeros_like(w["word_bias"])}
     target = np.minimum(goal // members, classes)
-    error = flat @ w["out"] + w["bias"]
-    _soft(error, target)
+    bias, near = _shifted(w["out"], w["bias"])
+    error = flat @ w["out"]
+    error += bias
+    _soft(error, target, bool(near))
     error[np.arange(len(goal)), target] -= 1
     error[~counted] = 0
     g["out"], g["bias"] = flat.T @ error, error.sum(axis=0)
     back = error @ w["out"].T
-    miss = _inside(w, flat, parts)
-    _soft(miss, goal[: len(miss)] % members)
+    miss, near = _inside(w, flat, parts)
+    _soft(miss, goal[: len(miss)] % members, near)
     miss[np.arange(len(miss)), goal[: len(miss)] % members] -= 1
     for c, a, b in parts:
         np.matmul(flat[a:b].T, miss[a:b], out=g["word"][c])

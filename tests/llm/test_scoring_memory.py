@@ -39,3 +39,21 @@ def test_rare_tokens_of_each_text(spark):
         want = Counter(map(lm_scoring.key_of, lm_scoring.words_of(texts[r.id])))
         del want[b"a"]
         assert {bytes(x.token): x.n for x in r.rare} == want and r.held_out == (r.id % 2 == 0)
+
+
+def test_probabilities_without_row_maxima_and_where_weights_need_them():
+    """A bound of the weights takes the place of each row's maximum; weights too far apart keep it."""
+    rng = np.random.default_rng(3)
+    states = rng.uniform(-1, 1, (500, recurrent.STATE)).astype(np.float32)
+    codes = rng.integers(0, recurrent.CLASSES * recurrent.MEMBERS + 50, 500)
+    for size, close in ((1.0, True), (40.0, False)):
+        w = weights()
+        w |= {"out": w["out"] * np.float32(size), "word": w["word"] * np.float32(size)}
+        assert recurrent._shifted(w["out"], w["bias"])[1] == close and (recurrent._shifted(w["word"], w["word_bias"])[1] == close).all()
+        target = np.minimum(codes // recurrent.MEMBERS, recurrent.CLASSES)
+        logits = states.astype(float) @ w["out"] + w["bias"]
+        want = logits[np.arange(500), target] - np.logaddexp.reduce(logits, axis=1)
+        for i in np.flatnonzero(target < recurrent.CLASSES):
+            inside = states[i].astype(float) @ w["word"][target[i]] + w["word_bias"][target[i]]
+            want[i] += inside[codes[i] % recurrent.MEMBERS] - np.logaddexp.reduce(inside)
+        assert np.allclose(recurrent.log_probabilities(w, states, codes), want, rtol=1e-4, atol=1e-3)
