@@ -24,7 +24,6 @@ do not depend on how rows are partitioned, nor on lost executors.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -40,7 +39,6 @@ from ..operators.lineage import settled
 UNIT = 2.0**-30
 #: Relative error of sketched quantiles.
 ACCURACY = 10_000
-_TREES = "array<array<array<struct<j:int,left:array<int>,v:double>>>>"
 
 
 @dataclass(frozen=True)
@@ -73,15 +71,21 @@ class Design:
 
     def bins(self) -> Column:
         """An array with each feature's bin: 0 for missing, numbers from 1 in their order, categories from 1."""
-        found = []
-        for name, edges in self.edges.items():
-            x = F.col(name).cast("double")
-            above = F.size(F.filter(F.array(*map(F.lit, edges)).cast("array<double>"), lambda e: e < x)) + 1  # noqa: B023  used at once
-            found.append(F.when(x.isNull() | F.isnan(x), 0).otherwise(above))
-        for name, known in self.known.items():
-            place = F.array_position(F.array(*map(F.lit, known)).cast("array<string>"), F.col(name).cast("string"))
-            found.append(F.coalesce(place.cast("int"), F.lit(0)))
-        return F.array(*found).cast("array<int>")
+        numbers = F.array(*[F.col(c).cast("double") for c in self.edges]).cast("array<double>")
+        places = [F.array_position(F.array(*map(F.lit, known)).cast("array<string>"), F.col(c).cast("string")) for c, known in self.known.items()]
+        codes = F.array(*[F.coalesce(p.cast("int"), F.lit(0)) for p in places]).cast("array<int>")
+        ends, width = [np.sort(np.array(e, float)) for e in self.edges.values()], len(self.features)
+
+        def run(numbers: pa.Array, codes: pa.Array) -> pa.Array:
+            rows = len(numbers)
+            x = numbers.flatten().to_numpy(zero_copy_only=False).reshape(rows, len(ends))
+            bins = np.empty((rows, width), np.int32)
+            for j, e in enumerate(ends):
+                bins[:, j] = np.where(np.isnan(x[:, j]), 0, 1 + np.searchsorted(e, x[:, j]))
+            bins[:, len(ends) :] = codes.flatten().to_numpy(zero_copy_only=False).reshape(rows, width - len(ends))
+            return pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * width), pa.array(bins.ravel()))
+
+        return F.arrow_udf(run, "array<int>")(numbers, codes)
 
 
 def fit_design(train: DataFrame, numeric: Sequence[str], categories: Sequence[str] = (), bins: int = 32, most: int = 1_000) -> Design:
@@ -100,29 +104,59 @@ def fit_design(train: DataFrame, numeric: Sequence[str], categories: Sequence[st
     return design
 
 
-def _leaf(tree: Column, bins: Column, depth: int) -> Column:
-    """The node of ``tree`` (an array of nodes, node ``n`` having children ``2 n`` and ``2 n + 1``) where a row comes to rest."""
-
-    def step(n: Column, _: Column) -> Column:
-        node = F.element_at(tree, n)
-        side = F.when(F.array_contains(node["left"], F.get(bins, node["j"])), 0).otherwise(1)
-        return F.when(node["j"] >= 0, 2 * n + side).otherwise(n)
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.lit(1), step) if depth else F.lit(1)
+def _descent(sizes: Sequence[int]) -> tuple[Callable, Callable]:
+    """How rows go down a tree: ``ready`` (its nodes) gives their splits and values, ``place`` the nodes of bins (feature, row) at a level, node ``n`` having children ``2 n`` and ``2 n + 1``."""
 
+    def ready(nodes: list[dict]) -> tuple[list[tuple[int, np.ndarray | None]], np.ndarray]:
+        splits = []
+        for n in nodes:
+            right = np.ones(sizes[n["j"]], np.int64) if n["j"] >= 0 else None
+            if right is not None:
+                right[n["left"]] = 0
+            splits.append((n["j"], right))
+        return splits, np.array([n["v"] for n in nodes])
 
-def _trees(rounds: list[list[list[dict]]]) -> Column:
-    return F.from_json(F.lit(json.dumps([[[{k: n[k] for k in ("j", "left", "v")} for n in tree] for tree in trees] for trees in rounds])), _TREES)
+    def place(splits: list[tuple[int, np.ndarray | None]], bins: np.ndarray, levels: int) -> np.ndarray:
+        at = np.ones(bins.shape[1], np.int64)
+        for n in range(1, 2**levels):
+            j, right = splits[n - 1]
+            if j >= 0:
+                here = slice(None) if n == 1 else np.flatnonzero(at == n)
+                at[here] = 2 * n + right[bins[j, here]]
+        return at
 
+    return ready, place
 
-def _total(trees: Column, k: Column, bins: Column, depth: int) -> Column:
-    """What the rounds of ``trees`` add to problem ``k``'s prediction."""
 
-    def add(sum_: Column, trees: Column) -> Column:
-        tree = F.get(trees, k)
-        return sum_ + F.element_at(tree, _leaf(tree, bins, depth))["v"]
+def _predicted(model: Model, every: bool = False) -> Callable[[Column, Column], Column]:
+    """A function of bins and an array of problems' numbers: their predictions (null for a null number), or with ``every`` those of the only number after 0, 1, ... rounds.
 
-    return F.aggregate(trees, F.lit(0.0), add)
+    Tasks get the trees as arrays and a batch of rows goes down a tree at once.
+    """
+    (ready, place), depth, width, start = _descent(model.design.sizes), model.depth, len(model.design.features), model.start
+    rounds = [[ready(tree) for tree in trees] for trees in model.rounds]
+
+    def run(bins: pa.Array, numbers: pa.Array) -> pa.Array:
+        rows = len(bins)
+        all_bins = np.ascontiguousarray(bins.flatten().to_numpy(zero_copy_only=False).reshape(rows, width).T)
+        flat = numbers.flatten()
+        ks = flat.fill_null(-1).to_numpy(zero_copy_only=False).reshape(rows, -1 if rows else 1)
+        each = len(rounds) + 1 if every else ks.shape[1]
+        out = np.zeros((rows, each))
+        for i in range(ks.shape[1]):
+            for k in np.unique(ks[ks[:, i] >= 0, i]):
+                mine = np.flatnonzero(ks[:, i] == k)
+                b, total = all_bins[:, mine], np.full(len(mine), start[k] if every else 0.0)
+                for r, trees in enumerate(rounds):
+                    if every:
+                        out[mine, r] = total
+                    splits, values = trees[k]
+                    total = total + values[place(splits, b, depth) - 1]
+                out[mine, -1 if every else i] = total if every else start[k] + total
+        offsets = pa.array(np.arange(rows + 1, dtype=np.int32) * each)
+        return pa.ListArray.from_arrays(offsets, pa.array(out.ravel(), mask=None if every else (ks < 0).ravel()))
+
+    return F.arrow_udf(run, "array<double>")
 
 
 @dataclass
@@ -143,12 +177,11 @@ class Model:
     def predict(self, df: DataFrame, columns: dict[str, Column | str]) -> DataFrame:
         """``df`` with predictions: for each column the name of its problem, or a column of such names (null: null)."""
         place = F.create_map(*[F.lit(x) for i, p in enumerate(self.problems) for x in (p.name, i)])
-        start, trees = F.array(*map(F.lit, self.start)), _trees(self.rounds)
-        out = df.withColumn("__bins", self.design.bins())
-        for name, problem in columns.items():
-            k = place[F.lit(problem) if isinstance(problem, str) else problem]
-            out = out.withColumn(name, F.when(k.isNotNull(), F.get(start, k) + _total(trees, k, F.col("__bins"), self.depth)))
-        return out.drop("__bins")
+        if not columns:
+            return df
+        numbers = F.array(*[place[F.lit(p) if isinstance(p, str) else p] for p in columns.values()])
+        out = df.withColumn("__predicted", _predicted(self)(self.design.bins(), numbers))
+        return out.withColumns({name: F.get("__predicted", F.lit(i)) for i, name in enumerate(columns)}).drop("__predicted")
 
     def importances(self, problem: str, top: int = 20) -> list[tuple[str, float]]:
         """Features with the greatest sums of split gains."""
@@ -216,28 +249,10 @@ def _passes(model: Model, labels: Sequence[int], done: int, own: list[list[dict]
     Tasks get it whole: it needs nothing of this package.
     """
     sizes, depth = model.design.sizes, model.depth
-
-    def ready(nodes: list[dict]) -> tuple[list[tuple[int, np.ndarray | None]], np.ndarray]:
-        splits = []
-        for n in nodes:
-            right = np.ones(sizes[n["j"]], np.int64) if n["j"] >= 0 else None
-            if right is not None:
-                right[n["left"]] = 0
-            splits.append((n["j"], right))
-        return splits, np.array([n["v"] for n in nodes])
-
+    ready, place = _descent(sizes)
     earlier = [[ready(tree) for tree in trees] for trees in model.rounds[done:]]
     growing = [ready(tree)[0] for tree in own or ()]
 
-    def place(splits: list[tuple[int, np.ndarray | None]], bins: np.ndarray, levels: int) -> np.ndarray:
-        at = np.ones(bins.shape[1], np.int64)
-        for n in range(1, 2**levels):
-            j, right = splits[n - 1]
-            if j >= 0:
-                here = slice(None) if n == 1 else np.flatnonzero(at == n)
-                at[here] = 2 * n + right[bins[j, here]]
-        return at
-
     def each(batch: pa.RecordBatch) -> Iterator[tuple]:
         flat = lambda c: batch.column(c).flatten().to_numpy(zero_copy_only=False)
         rows = batch.num_rows
@@ -439,16 +454,9 @@ def tuned_rounds(model: Model, df: DataFrame, default: int, least_train: int = 2
     able = [k for k, p in enumerate(model.problems) if p.held is not None and counts[f"t{k}"] >= least_train and counts[f"h{k}"] >= least_held]
     if not able or not model.rounds:
         return out
-    trees = _trees(model.rounds)
     uses = F.array_compact(F.array(*[F.when(model.problems[k].held & F.col(model.problems[k].label).isNotNull(), F.struct(F.lit(k).alias("k"), F.col(model.problems[k].label).cast("double").alias("y"))) for k in able]))
     rows = df.select(model.design.bins().alias("bins"), F.explode(uses).alias("u")).select("bins", "u.*")
-    first = F.get(F.array(*map(F.lit, model.start)), F.col("k"))
-
-    def along(sums: Column, trees: Column) -> Column:
-        tree = F.get(trees, F.col("k"))
-        return F.concat(sums, F.array(F.element_at(sums, -1) + F.element_at(tree, _leaf(tree, F.col("bins"), model.depth))["v"]))
-
-    scores = F.aggregate(trees, F.array(first), along)
+    scores = _predicted(model, every=True)(F.col("bins"), F.array("k"))
     alpha = F.get(F.array(*[F.lit(p.quantile).cast("double") for p in model.problems]), F.col("k"))
     over = lambda s: s - F.col("y")
     loss = F.transform(scores, lambda s: F.when(alpha.isNull(), over(s) * over(s)).when(over(s) < 0, -alpha * over(s)).otherwise((1 - alpha) * over(s)))
