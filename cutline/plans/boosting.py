@@ -110,18 +110,24 @@ def _descent(sizes: Sequence[int]) -> tuple[Callable, Callable]:
     def ready(nodes: list[dict]) -> tuple[list[tuple[int, np.ndarray | None]], np.ndarray]:
         splits = []
         for n in nodes:
-            right = np.ones(sizes[n["j"]], np.int64) if n["j"] >= 0 else None
+            right = np.ones(sizes[n["j"]], np.int32) if n["j"] >= 0 else None
             if right is not None:
                 right[n["left"]] = 0
             splits.append((n["j"], right))
         return splits, np.array([n["v"] for n in nodes])
 
     def place(splits: list[tuple[int, np.ndarray | None]], bins: np.ndarray, levels: int) -> np.ndarray:
-        at = np.ones(bins.shape[1], np.int64)
+        at = np.ones(bins.shape[1], np.int32)
         for n in range(1, 2**levels):
             j, right = splits[n - 1]
-            if j >= 0:
-                here = slice(None) if n == 1 else np.flatnonzero(at == n)
+            if j < 0:
+                continue
+            if n < 4:  # most rows of a level: taking all is faster than finding them
+                side = right.take(bins[j])
+                side += 2 * n
+                at = side if n == 1 else np.where(at == n, side, at)
+            else:
+                here = np.flatnonzero(at == n)
                 at[here] = 2 * n + right[bins[j, here]]
         return at
 
@@ -151,7 +157,7 @@ def _predicted(model: Model, every: bool = False) -> Callable[[Column, Column],
                     if every:
                         out[mine, r] = total
                     splits, values = trees[k]
-                    total = total + values[place(splits, b, depth) - 1]
+                    total = total + values.take(place(splits, b, depth) - 1)
                 out[mine, -1 if every else i] = total if every else start[k] + total
         offsets = pa.array(np.arange(rows + 1, dtype=np.int32) * each)
         return pa.ListArray.from_arrays(offsets, pa.array(out.ravel(), mask=None if every else (ks < 0).ravel()))
@@ -244,32 +250,40 @@ def best_splits(candidates: DataFrame, by: Sequence[str] = ("k", "node")) -> Dat
 
 
 def _passes(model: Model, labels: Sequence[int], done: int, own: list[list[dict]] | None = None, levels: int = 0, only: set[int] | None = None) -> Callable[[pa.RecordBatch], Iterator[tuple]]:
-    """A function that gives, problem by problem, ``k``, the rows' numbers, their bins (feature, row), what the rounds from ``done`` on add, gaps (prediction less label) and nodes in the tree of ``own``, of a batch ``bins, y, uses, scores``.
+    """A function that gives, problem by problem, ``k``, the rows' numbers, their bins (feature, row), what the rounds from ``done`` on add, gaps (prediction less label) and nodes in the tree of ``own``, of a batch ``bins, y, uses`` and, unless they are still the model's start, ``scores``.
 
-    Tasks get it whole: it needs nothing of this package.
+    Problems that learn from the same rows share one copy of their bins. Tasks get it whole: it needs nothing of this package.
     """
     sizes, depth = model.design.sizes, model.depth
     ready, place = _descent(sizes)
+    start, small = model.start, np.min_scalar_type(max(sizes, default=0))
     earlier = [[ready(tree) for tree in trees] for trees in model.rounds[done:]]
     growing = [ready(tree)[0] for tree in own or ()]
 
     def each(batch: pa.RecordBatch) -> Iterator[tuple]:
         flat = lambda c: batch.column(c).flatten().to_numpy(zero_copy_only=False)
         rows = batch.num_rows
-        bins = np.ascontiguousarray(flat("bins").reshape(rows, len(sizes)).T)
-        y, scores, uses = flat("y").reshape(rows, -1), flat("scores").reshape(rows, -1), flat("uses")
+        bins = np.ascontiguousarray(flat("bins").reshape(rows, len(sizes)).T.astype(small))
+        y, uses = flat("y").reshape(rows, -1), flat("uses").astype(np.min_scalar_type(len(labels)))
+        scores = flat("scores").reshape(rows, -1) if "scores" in batch.schema.names else None
         row = np.repeat(np.arange(rows), np.diff(batch.column("uses").offsets.to_numpy()))
         order = np.argsort(uses, kind="stable")
         ends = np.searchsorted(uses[order], np.arange(len(labels) + 1))
+        shared = {}
         for k, label in enumerate(labels):
             mine = row[order[ends[k] : ends[k + 1]]]
             if not len(mine) or only is not None and k not in only:
                 continue
-            b, total = bins[:, mine], np.zeros(len(mine))
+            alike = shared.setdefault((len(mine), mine[0], mine[-1]), [])
+            b = next((b for rows, b in alike if np.array_equal(rows, mine)), None)
+            if b is None:
+                b = bins[:, mine]
+                alike.append((mine, b))
+            total = np.zeros(len(mine))
             for trees in earlier:
                 splits, values = trees[k]
-                total += values[place(splits, b, depth) - 1]
-            gap = scores[mine, k] + total - y[mine, label]
+                total += values.take(place(splits, b, depth) - 1)
+            gap = (start[k] if scores is None else scores[mine, k]) + total - y[mine, label]
             if not np.isfinite(gap).all():
                 raise ValueError("labels must be finite")
             yield k, mine, b, total, gap, place(growing[k], b, levels) if growing else np.ones(len(mine), np.int64)
@@ -292,6 +306,10 @@ class _Run:
     def categorical(self) -> range:
         return range(len(self.model.design.edges), len(self.model.design.features))
 
+    def rows(self, done: int) -> DataFrame:
+        """The table as passes read it: scores are left out while they are the same in every row."""
+        return self.state if done else self.state.drop("scores")
+
     def sums(self, done: int, own: list[list[dict]] | None = None, level: int = 0) -> DataFrame:
         """``k, node, j, bin, g`` (integer gradients) ``, n`` of the nodes of a level; a task sends a row for each bin that it met."""
         each, sizes, units = _passes(self.model, self.labels, done, own, level), self.model.design.sizes, self.units
@@ -309,19 +327,22 @@ class _Run:
                     if (node < first).any():
                         kept = node >= first
                         bins, q, node = bins[:, kept], q[kept], node[kept]
-                    place = (bins + starts[:-1, None] + (node - first) * width).ravel()
-                    # a batch's sums of integers stay below 2^53, so they are exact
-                    g = np.bincount(place, np.broadcast_to(q, bins.shape).ravel(), first * width).astype(np.int64)
-                    n = np.bincount(place, minlength=first * width)
-                    found[k] = (found[k][0] + g, found[k][1] + n) if k in found else (g, n)
+                    if k not in found:
+                        found[k] = np.zeros((first, width), np.int64), np.zeros((first, width), np.int64)
+                    for j, size in enumerate(sizes):
+                        place, own = (node - first) * size + bins[j], slice(starts[j], starts[j + 1])
+                        # a batch's sums of integers stay below 2^53, so they are exact
+                        found[k][0][:, own] += np.bincount(place, q, first * size).astype(np.int64).reshape(first, size)
+                        found[k][1][:, own] += np.bincount(place, minlength=first * size).reshape(first, size)
             for k, (g, n) in found.items():
+                g, n = g.ravel(), n.ravel()
                 at = np.flatnonzero(n)
                 node, place = first + at // max(width, 1), at % max(width, 1)
                 j = np.searchsorted(starts, place, side="right") - 1
                 whole = lambda v: pa.array(v.astype(np.int32))
                 yield pa.RecordBatch.from_arrays([whole(np.full(len(at), k)), whole(node), whole(j), whole(place - starts[j]), pa.array(g[at]), pa.array(n[at])], ["k", "node", "j", "bin", "g", "n"])
 
-        parts = self.state.mapInArrow(run, "k int, node int, j int, bin int, g bigint, n bigint")
+        parts = self.rows(done).mapInArrow(run, "k int, node int, j int, bin int, g bigint, n bigint")
         return parts.groupBy("k", "node", "j", "bin").agg(F.sum("g").alias("g"), F.sum("n").alias("n"))
 
     def residuals(self, done: int, own: list[list[dict]]) -> DataFrame:
@@ -334,7 +355,7 @@ class _Run:
                 for k, _, _, _, gap, node in each(batch):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gap), k, np.int32)), pa.array(node.astype(np.int32)), pa.array(-gap)], ["k", "node", "residual"])
 
-        return self.state.mapInArrow(run, "k int, node int, residual double")
+        return self.rows(done).mapInArrow(run, "k int, node int, residual double")
 
     def scored(self, done: int) -> DataFrame:
         """The table with the rounds from ``done`` on in the stored scores."""

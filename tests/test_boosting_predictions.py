@@ -47,3 +47,16 @@ def test_predictions_are_plain_walks_made_in_batches(spark):
 def test_a_model_without_features_or_rounds_predicts_its_start(spark):
     model = B.Model(B.Design(), [B.Problem("m", "y", F.lit(True))], [3.0], 1)
     assert [r.p for r in model.predict(spark.range(2), {"p": "m"}).collect()] == [3.0, 3.0]
+
+
+def test_passes_leave_out_scores_while_they_are_the_start(spark):
+    df = spark.createDataFrame([(i % 3, float(i % 11), float(i)) for i in range(200)], "season int, x double, y double").repartition(3)
+    run = B._begin(df, B.Design({"x": [2.0, 5.0, 8.0]}), [B.Problem("a", "y", F.col("season") < 2), B.Problem("b", "y", F.col("season") < 2), B.Problem("q", "y", F.col("season") < 1, quantile=0.5)], 3)
+    split = lambda left: {"j": 0, "left": left, "v": 0.0}
+    leaf = lambda v: {"j": -1, "left": [], "v": v}
+    tree = [split([0, 1, 2]), split([1]), split([3]), leaf(0.0), split([2]), leaf(0.0), leaf(0.0), *[leaf(0.25 * n) for n in range(8)]]
+    run.model.rounds.append([tree] * 3)
+    assert "scores" not in run.rows(0).columns and "scores" in run.rows(1).columns
+    fresh = {tuple(r) for r in run.sums(0, [tree] * 3, 2).collect()}
+    run.state = run.scored(0)
+    assert fresh and fresh == {tuple(r) for r in run.sums(1, [tree] * 3, 2).collect()}
